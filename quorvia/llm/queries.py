@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorvia.llm.common import table
+from quorvia.llm.mixing import mix_documents
 from quorvia.llm.packing import pack_documents
+from quorvia.llm.sharding import shard_documents
+from quorvia.llm.toxicity import toxicity
+from quorvia.llm.urls import OWN_RULES, host_rule, judge_urls
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -20,8 +24,90 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+HOST_RULES = (host_rule("net/", "block"), host_rule("example.net/en/", "allow"), host_rule("example.com/de/", "block"), host_rule("org/fr/", "allow"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), [*HOST_RULES, *OWN_RULES])
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP4_SQL = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), ruled AS (
+  SELECT page_id, host, path, CASE
+    WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM split
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN regexp_matches(host || path, '^([^/]*[.])?((cheap|buy|discount)-pills|spam-farm|link-exchange)[.]') THEN 'block'
+    WHEN regexp_matches(host || path, '^([^/]*[.-])?(casino|poker|viagra)([.-][^/]*)?(/|$)|^([^/]*[.])?adult([.-][^/]*)?(/|$)') THEN 'block'
+    WHEN regexp_matches(host || path, '^[^/]*/([^/]*/)*wp-login[.]php$|^[^/]*/cgi-bin/') THEN 'block'
+    ELSE 'allow' END AS verdict FROM ruled
+"""
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(table(spark, sf_dir, "documents"), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hops")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP8_SQL = r"""
+WITH n AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 6) AS BIGINT) AS prefix
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * sum(size) AS cap,
+         list_value(5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE)[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS weight
+  FROM n GROUP BY source
+), r AS (
+  SELECT *, cap / weight AS ratio, (1.5::DOUBLE * sum(source_size) OVER ()
+         - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM s
+), t AS (
+  SELECT source, source_size, least(cap, weight * (SELECT max(lvl) FROM r WHERE lvl <= ratio)) AS target FROM r
+), t2 AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS times FROM t
+), b AS (
+  SELECT source, prefix, sum(size) AS size, sum(sum(size)) OVER (PARTITION BY source ORDER BY prefix) AS upto FROM n GROUP BY source, prefix
+), e AS (
+  SELECT b.source, b.prefix, b.size, b.upto - (t2.target - t2.times * t2.source_size) AS gap,
+         row_number() OVER (PARTITION BY b.source ORDER BY b.prefix) AS k
+  FROM b JOIN t2 ON b.source IS NOT DISTINCT FROM t2.source
+  WHERE b.upto > t2.target - t2.times * t2.source_size
+)
+SELECT n.doc_id, n.size, t2.source_size, t2.target,
+       CAST(n.size * (t2.times + CASE WHEN n.prefix < coalesce(e.prefix + CASE WHEN e.gap <= e.size - e.gap THEN 1 ELSE 0 END,
+         CASE WHEN t2.target - t2.times * t2.source_size > 0 THEN 16777216 ELSE 0 END) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM n JOIN t2 ON n.source IS NOT DISTINCT FROM t2.source
+LEFT JOIN e ON e.source IS NOT DISTINCT FROM n.source AND e.k = 1
+"""
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_url_filters": op4_url_filters,
+    "op5_sharding": op5_sharding,
+    "op7_toxicity": op7_toxicity,
+    "op8_mixing": op8_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_url_filters": OP4_SQL,
+    "op8_mixing": OP8_SQL,
+}
