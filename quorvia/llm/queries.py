@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorvia.llm.ann import nearest
+from quorvia.llm.chat import format_preferences, pair_conversations, spans_text
 from quorvia.llm.common import table
+from quorvia.llm.licenses import license_summary, scan_licenses
+from quorvia.llm.media import scan_avi, write_avi
+from quorvia.llm.minhash import groups
 from quorvia.llm.mixing import mix_documents
 from quorvia.llm.packing import pack_documents
 from quorvia.llm.sharding import shard_documents
@@ -24,6 +29,33 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(F.struct("doc_id", F.octet_length(text).cast("long").alias("n_bytes")).alias("id"), "text")
+    scanned = scan_avi(write_avi(docs, id_col="id", payload_col="text"), id_col="id")
+    feature = F.concat_ws(
+        ";",
+        F.concat(F.lit("frames="), F.col("n_frames")),
+        F.concat(F.lit("shots="), F.size("clips")),
+        F.concat(F.lit("starts="), F.array_join(F.col("clips.first_frame").cast("array<string>"), ",")),
+        F.concat(F.lit("peak="), F.round(F.array_max("clips.change"), 4)),
+    )
+    return scanned.select(
+        "id.doc_id",
+        "id.n_bytes",
+        F.octet_length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring("samples", -16, 16)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        feature.alias("feature"),
+    )
+
+
 HOST_RULES = (host_rule("net/", "block"), host_rule("example.net/en/", "allow"), host_rule("example.com/de/", "block"), host_rule("org/fr/", "allow"))
 
 
@@ -59,6 +91,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hops")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "group_id", (F.col("doc_id") == F.coalesce("group_id", "doc_id")).alias("kept"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -99,15 +136,62 @@ FROM n JOIN t2 ON n.source IS NOT DISTINCT FROM t2.source
 LEFT JOIN e ON e.source IS NOT DISTINCT FROM n.source AND e.k = 1
 """
 
+def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = format_preferences(pair_conversations(table(spark, sf_dir, "conversations")))
+    return made.select("pair_id", "complete", "n_common", "prompt", "chosen", "rejected", spans_text(F.col("chosen_spans")).alias("chosen_spans"), spans_text(F.col("rejected_spans")).alias("rejected_spans"))
+
+
+OP9_SQL = r"""
+WITH t AS (
+  SELECT conv_id >> 1 AS pair_id, coalesce(conv_id & 1, 0) AS side,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k,
+         coalesce(role, '') AS raw_role, coalesce(text, '') AS raw_text,
+         '<|im_start|>' || replace(coalesce(role, ''), '<|im_', '<| im_') || chr(10) AS head,
+         replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' AS body
+  FROM conversations
+), c AS (SELECT * FROM t WHERE side = 0), r AS (SELECT * FROM t WHERE side = 1),
+m AS (
+  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.k, r.k) AS k,
+         c.k IS NOT NULL AND r.k IS NOT NULL AND c.raw_role = r.raw_role AND c.raw_text = r.raw_text AS alike
+  FROM c FULL JOIN r ON c.pair_id IS NOT DISTINCT FROM r.pair_id AND c.k = r.k
+), n AS (
+  SELECT pair_id, coalesce(min(k) FILTER (NOT alike) - 1, max(k)) AS n_common FROM m GROUP BY pair_id
+), x AS (
+  SELECT t.*, n.n_common, CASE WHEN t.k <= n.n_common THEN NULL ELSE
+         coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY t.pair_id, side, t.k > n.n_common ORDER BY t.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS pos
+  FROM t JOIN n ON t.pair_id IS NOT DISTINCT FROM n.pair_id
+)
+SELECT pair_id, bool_or(side = 0) AND bool_or(side = 1) AS complete, max(n_common) AS n_common,
+  coalesce(string_agg(head || body || chr(10), '' ORDER BY k) FILTER (side = 0 AND k <= n_common), '') AS prompt,
+  coalesce(string_agg(head || body || chr(10), '' ORDER BY k) FILTER (side = 0 AND k > n_common), '') AS chosen,
+  coalesce(string_agg(head || body || chr(10), '' ORDER BY k) FILTER (side = 1 AND k > n_common), '') AS rejected,
+  coalesce(string_agg(CAST(pos + length(head) AS VARCHAR) || ':' || CAST(pos + length(head) + length(body) AS VARCHAR), ',' ORDER BY k)
+    FILTER (side = 0 AND k > n_common AND raw_role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg(CAST(pos + length(head) AS VARCHAR) || ':' || CAST(pos + length(head) + length(body) AS VARCHAR), ',' ORDER BY k)
+    FILTER (side = 1 AND k > n_common AND raw_role = 'assistant'), '') AS rejected_spans
+FROM x GROUP BY pair_id
+"""
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_summary(scan_licenses(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_nearest": op2_nearest,
+    "op3_media": op3_media,
     "op4_url_filters": op4_url_filters,
     "op5_sharding": op5_sharding,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
+    "op9_preferences": op9_preferences,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL = {
     "op4_url_filters": OP4_SQL,
     "op8_mixing": OP8_SQL,
+    "op9_preferences": OP9_SQL,
 }
