@@ -1 +1 @@
-
+"""Column functions: distributions, texts, prompts, scores."""

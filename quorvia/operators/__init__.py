@@ -1 +1 @@
-
+"""Operators over survey distributions and predictions."""
