@@ -91,7 +91,7 @@ def quarantine_reason(spark, sf_dir):
 
 def nonresponse_filter(spark, sf_dir):
     questions, _ = sv.raw_export(spark, sf_dir)
-    return questions.select(canonical_option(F.explode("options")).alias("option")).distinct().select("option", is_nonresponse("option").alias("nonresponse"))
+    return questions.select(F.explode("options").alias("o")).select(canonical_option("o").alias("option")).distinct().select("option", is_nonresponse("option").alias("nonresponse"))
 
 
 def mass_filter(spark, sf_dir):
@@ -240,7 +240,8 @@ def recover_distribution(spark, sf_dir):
     every = sv.table(spark, sf_dir, "orders").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("all_options"))
     df = scores(spark, sf_dir).crossJoin(F.broadcast(every))  # one row on the right
     found = map_label_probabilities(option_labels(F.size("options")), normalize_log_scores("scores"), label_map("options"))
-    df = df.select("key", F.col("all_options").alias("options"), recover_canonical(found, "all_options").alias("p"))
+    # a new "options" beside expressions of the old one would be taken for it
+    df = df.withColumn("p", recover_canonical(found, "all_options")).select("key", F.col("all_options").alias("options"), "p")
     return rounded(long_form(df, ["key"], "p"), "p")
 
 

@@ -1 +1 @@
-
+"""Streaming extension: finished rows as they arrive."""
