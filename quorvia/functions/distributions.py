@@ -21,6 +21,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(p: Column | str) -> Column:
     return F.aggregate(col(p), F.lit(0.0), lambda a, x: a + x)
 
@@ -49,8 +54,7 @@ def distribution_fault(distribution: Column | str, options: Column | str, sum_to
 
 def normalized(p: Column | str) -> Column:
     """An array over its sum; null where that is not above 0."""
-    mass = total(p)
-    return F.when(mass > 0, F.transform(col(p), lambda x: x / mass))
+    return let(col(p), lambda v: let(total(v), lambda mass: F.when(mass > 0, F.transform(v, lambda x: x / mass))))
 
 
 def normalize_distribution(distribution: Column | str, options: Column | str | None = None) -> Column:
@@ -70,14 +74,16 @@ def js_divergence(p: Column | str, q: Column | str, strict: bool = False) -> Col
     # log2(0) is null here, so each term is guarded
     half = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     terms = F.zip_with(a, b, lambda x, y: half(x, (x + y) / 2) + half(y, (x + y) / 2))
-    value = 0.5 * total(terms)
-    clamped = F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
-    # least and greatest skip nulls
-    clamped = F.when(value.isNotNull(), clamped)
-    if strict:
+
+    def bounded(value: Column) -> Column:
+        # least and greatest skip nulls
+        clamped = F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
+        if not strict:
+            return clamped
         outside = (value < -BOUND_TOLERANCE) | (value > 1 + BOUND_TOLERANCE)
-        clamped = F.when(outside, F.raise_error(F.lit("divergence outside [0, 1]"))).otherwise(clamped)
-    return clamped
+        return F.when(outside, F.raise_error(F.lit("divergence outside [0, 1]"))).otherwise(clamped)
+
+    return let(0.5 * total(terms), bounded)
 
 
 def country_influence(baseline: Column | str, label: Column | str, target: Column | str) -> Column:
@@ -146,11 +152,15 @@ def largest_remainder(p: Column | str, decimals: int = 6) -> Column:
     rests, ties to the earlier position.
     """
     ticks = 100 * 10**decimals
-    rows = F.transform(normalized(p), lambda x, i: F.struct((F.floor(x * ticks) - x * ticks).alias("rest"), i.alias("at"), F.floor(x * ticks).alias("ticks")))
-    missing = F.lit(ticks).cast("long") - F.aggregate(rows, F.lit(0).cast("long"), lambda a, r: a + r["ticks"])
     # the rest is negated, so that sorting puts the largest first
-    raised = F.transform(F.slice(F.array_sort(rows), 1, F.greatest(missing.cast("int"), F.lit(0))), lambda r: r["at"])
-    return F.transform(rows, lambda r: r["ticks"] + F.when(F.array_contains(raised, r["at"]), 1).otherwise(0))
+    rows = F.transform(normalized(p), lambda x, i: F.struct((F.floor(x * ticks) - x * ticks).alias("rest"), i.alias("at"), F.floor(x * ticks).alias("ticks")))
+
+    def dealt(rows: Column) -> Column:
+        missing = F.lit(ticks).cast("long") - F.aggregate(rows, F.lit(0).cast("long"), lambda a, r: a + r["ticks"])
+        raised = F.transform(F.slice(F.array_sort(rows), 1, F.greatest(missing.cast("int"), F.lit(0))), lambda r: r["at"])
+        return let(raised, lambda up: F.transform(rows, lambda r: r["ticks"] + F.when(F.array_contains(up, r["at"]), 1).otherwise(0)))
+
+    return let(rows, dealt)
 
 
 def presented_evidence(p: Column | str, decimals: int = 6) -> Column:
@@ -181,7 +191,7 @@ def normalize_log_scores(scores: Column | str, temperature: float = 1.0) -> Colu
     s = col(scores)
     if temperature not in (0, 1):
         s = F.transform(s, lambda x: x / temperature)
-    return normalized(F.transform(s, lambda x: F.exp(x - F.array_max(s))))
+    return normalized(let(s, lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))))
 
 
 def map_label_probabilities(labels: Column | str, probabilities: Column | str, label_to_option: Column | str) -> Column:

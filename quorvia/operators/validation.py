@@ -80,7 +80,7 @@ def prediction_rules(
         fault = distribution_fault(distribution_col, options_col, sum_tolerance)
         found.append(predictions.withColumn("__fault", fault).where("__fault IS NOT NULL").select(F.concat(F.lit("distribution: "), "__fault").alias("rule"), as_key(*key).alias("key")))
     if "permutation_seed" in predictions.columns:
-        found.append(flagged(inconstant(predictions, ["question_id", "label_country"], ["displayed_options", "permutation_seed"]), "permutation", "question_id", "label_country"))
+        found.append(flagged(inconstant(predictions, ["question_id", "label_country"], ["displayed", "permutation_seed"]), "permutation", "question_id", "label_country"))
     return gather(*found)
 
 
