@@ -233,5 +233,5 @@ FROM (SELECT 't' AS grain, model_key, question_id, country_influence, evidence_i
     "synthetic_scores": query(PAIRS, f"SELECT unit_id, label, {r('-4.0 + 4.0 * (CAST(CAST(' + chr(39) + '0x' + chr(39) + " || substr(sha256('7' || chr(0) || unit_id || chr(0) || label), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551615.0)", 9, 'score')} FROM manifest CROSS JOIN (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) l(label)"),
     "stable_seed": query(PAIRS, "SELECT unit_id, CAST(CAST('0x' || substr(sha256('42' || chr(0) || unit_id), 1, 16) AS UBIGINT) AS VARCHAR) AS seed FROM manifest"),
     "props_json": "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type",
-    "option_collisions": "SELECT count(*) AS pairs FROM (SELECT lower(split_part(trim(p_name), ' ', 1)) AS w, p_brand, p_partkey FROM part) a JOIN (SELECT lower(split_part(trim(p_name), ' ', 1)) AS w, p_brand, p_partkey FROM part) b ON a.p_brand = b.p_brand AND a.w = b.w AND a.p_partkey < b.p_partkey",
+    "first_word_pairs": "SELECT count(*) AS pairs FROM (SELECT lower(split_part(trim(p_name), ' ', 1)) AS w, p_brand, p_partkey FROM part) a JOIN (SELECT lower(split_part(trim(p_name), ' ', 1)) AS w, p_brand, p_partkey FROM part) b ON a.p_brand = b.p_brand AND a.w = b.w AND a.p_partkey < b.p_partkey",
 }

@@ -292,7 +292,7 @@ def props_json(spark, sf_dir):
     return df.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("props.k").alias("total"))
 
 
-def option_collisions(spark, sf_dir):
+def first_word_pairs(spark, sf_dir):
     """Names within a brand that share their first word: pairs by position, per group."""
     df = sv.table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.lower(F.split_part(F.trim("p_name"), F.lit(" "), F.lit(1))).alias("w"))
     a, b = df.alias("a"), df.alias("b")
@@ -341,7 +341,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "synthetic_scores": synthetic_scores,
     "stable_seed": unit_seeds,
     "props_json": props_json,
-    "option_collisions": option_collisions,
+    "first_word_pairs": first_word_pairs,
     "shuffle_options": shuffle_options,
     "bootstrap_ci_pcg64": bootstrap_ci_pcg64,
 }
