@@ -6,8 +6,9 @@ frames. Lossless frames (SOF3) carry bytes exactly and are what ``write_avi`` ma
 frames (SOF0) of real recordings are decoded to their luma plane.
 
 A shot ends where the histogram of a frame differs from that of the one before by more than
-its neighbourhood explains: over the mean of the differences around plus four of their
-deviations, over a floor, and largest nearby.
+its neighbourhood explains: over the median of the differences around plus four of their
+deviations (by the median too, so that other cuts nearby don't raise it), over mean plus four
+deviations of those that lie below that, over a floor, and largest within the shortest shot. Shots at a file's ends may be shorter.
 
 Defined results: a null payload is an empty one; a payload is filled up with spaces to whole
 frames, one at least; a null or damaged file gives no frames, no clips and an error text,
@@ -32,6 +33,9 @@ from quorvia.llm.common import record_batches
 WIDTH, HEIGHT, FRAME = 16, 12, 192
 MICROSECONDS = 40_000
 FRAMES_AT_ONCE = 8192
+PLACES_AT_ONCE = 65536
+#: A normal distribution's deviation over its median absolute deviation.
+MAD_TO_DEVIATION = 1.4826
 
 #: The standard's table of luminance DC categories, by code length and in code order.
 DC_COUNTS, DC_VALUES = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), tuple(range(12))
@@ -346,17 +350,31 @@ def shots(planes: np.ndarray, bins: int = 16, around: int = 8, floor: float = 0.
     flat = planes.reshape(n, -1)
     held = np.bincount(((flat >> 4).astype(np.int64) + bins * np.arange(n)[:, None]).ravel(), minlength=bins * n).reshape(n, bins)
     change = np.abs(np.diff(held, axis=0)).sum(1) / (2 * flat.shape[1])
-    m = len(change)
     starts = [0]
-    if m > 2:
-        a, b = np.maximum(np.arange(m) - around, 0), np.minimum(np.arange(m) + around + 1, m)
-        sums, squares = np.concatenate([[0], np.cumsum(change)]), np.concatenate([[0], np.cumsum(change**2)])
-        # of the neighbours without the place itself
-        count = b - a - 1
-        mean = (sums[b] - sums[a] - change) / count
-        spread = np.sqrt(np.maximum((squares[b] - squares[a] - change**2) / count - mean**2, 0))
-        for i in np.flatnonzero((change > mean + 4 * spread) & (change > floor)).tolist():
-            if i + 1 - starts[-1] >= shortest and change[i] == change[a[i] : b[i]].max():
+    near = np.concatenate([np.zeros(shortest - 1), change, np.zeros(shortest - 1)])
+    largest = np.lib.stride_tricks.sliding_window_view(near, 2 * shortest - 1).max(1) if len(change) else change
+    places = np.flatnonzero((change > floor) & (change == largest))
+    padded = np.concatenate([np.full(around, np.inf), change, np.full(around, np.inf)])
+    offsets = np.delete(np.arange(2 * around + 1), around)
+    for first in range(0, len(places), PLACES_AT_ONCE):
+        some = places[first : first + PLACES_AT_ONCE]
+        # of the neighbours without the place itself; of an even number, the lower median
+        others = padded[some[:, None] + offsets]
+        count = np.isfinite(others).sum(1)
+        middle = np.maximum(count - 1, 0) // 2
+        row = np.arange(len(some))
+        median = np.where(count > 0, np.sort(others, axis=1)[row, middle], 0.0)
+        spread = np.where(count > 0, np.sort(np.abs(others - median[:, None]), axis=1)[row, middle], 0.0) * MAD_TO_DEVIATION
+        # too few to show a spread: the floor has to be passed above them
+        spread = np.where(count < 4, np.maximum(spread, floor / 4), spread)
+        # and over mean and deviations of the neighbours that are no cuts themselves
+        alike = others <= (median + 4 * spread)[:, None]
+        held_back = np.where(alike, others, 0.0)
+        n_alike = np.maximum(alike.sum(1), 1)
+        mean = held_back.sum(1) / n_alike
+        deviation = np.sqrt(np.maximum((held_back**2).sum(1) / n_alike - mean**2, 0))
+        for i in some[change[some] > np.maximum(median + 4 * spread, mean + 4 * deviation)].tolist():
+            if len(starts) == 1 or i + 1 - starts[-1] >= shortest:
                 starts.append(i + 1)
     ends = [*starts[1:], n]
     return [(s, e - s, float(change[s - 1]) if s else 0.0) for s, e in zip(starts, ends, strict=True)]

@@ -124,3 +124,26 @@ def test_odd_rows(spark):
     out = {r.id: r for r in scan_avi(damaged, id_col="id").collect()}
     assert len(out) == len(bad) and all(out[i].error and out[i].n_frames == 0 and not out[i].clips for i in range(6))
     assert scan_avi(damaged.limit(0), id_col="id").count() == 0
+
+
+def still(cuts, n):
+    """Still frames between full cuts."""
+    return np.concatenate([np.full((b - a, 12, 16), i % 2 * 200, np.uint8) for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, n], strict=True))])
+
+
+@pytest.mark.parametrize("apart", range(2, 10))
+def test_shots_close_together(apart):
+    found = lambda planes: [a for a, *_ in shots(planes)]
+    assert found(still([30, 30 + apart], 60)) == [0, 30, 30 + apart]
+    cuts = list(range(apart, 90, apart))
+    assert found(still(cuts, 90)) == [0, *cuts]
+    rng = np.random.default_rng(apart)
+    noisy = np.concatenate([rng.normal(level, 12, (n, 48, 64)) for level, n in ((40, 30), (180, apart), (90, 40))]).clip(0, 255).astype(np.uint8)
+    assert found(noisy) == [0, 30, 30 + apart]
+
+
+def test_shots_of_short_files():
+    for n in (2, 3, 4):
+        for cut in range(1, n):
+            assert [x[:2] for x in shots(still([cut], n))] == [(0, cut), (cut, n - cut)]
+        assert len(shots(still([], n))) == 1
