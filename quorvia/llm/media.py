@@ -11,15 +11,20 @@ deviations (by the median too, so that other cuts nearby don't raise it), over m
 deviations of those that lie below that, over a floor, and largest within the shortest shot. Shots at a file's ends may be shorter.
 
 Defined results: a null payload is an empty one; a payload is filled up with spaces to whole
-frames, one at least; a null or damaged file gives no frames, no clips and an error text,
-never a failed task; repeated rows are handled each; an empty table gives no rows; columns
-besides the id and the payload are ignored. Files are plain RIFF, below 2 GB.
+frames, one at least; a null file, or one whose first RIFF is damaged, gives no frames, no clips and an
+error text, never a failed task. An empty chunk repeats the frame before (that is how AVI
+marks a dropped one). A frame that can't be decoded, or is of another size than most, is
+filled with the frame before and named in the error text, so places and times of the others
+stay; what comes before the first good frame is filled with that. A file without a good
+frame, or of whose chunks half or more aren't JPEG at all, gives no frames and an error.
+Repeated rows are handled each; an empty table gives no rows; columns besides the id and the
+payload are ignored. Later RIFF segments (AVIX) are read on. A file is a row, below 2 GB.
 """
 
 from __future__ import annotations
 
 import struct
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -39,6 +44,27 @@ MAD_TO_DEVIATION = 1.4826
 
 #: The standard's table of luminance DC categories, by code length and in code order.
 DC_COUNTS, DC_VALUES = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), tuple(range(12))
+#: The standard's tables, which stand in for those a frame doesn't bring, by class and number.
+STANDARD = {
+    0x00: (DC_COUNTS, DC_VALUES),
+    0x01: ((0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0), DC_VALUES),
+    0x10: (
+        (0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125),
+        tuple(bytes.fromhex(
+            "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a"
+            "434445464748494a535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aa"
+            "b2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"
+        )),
+    ),
+    0x11: (
+        (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119),
+        tuple(bytes.fromhex(
+            "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a"
+            "434445464748494a535455565758595a636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aa"
+            "b2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa"
+        )),
+    ),
+}
 #: The zigzag order of an 8 by 8 block.
 ZIGZAG = (0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28, 35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63)
 
@@ -144,8 +170,39 @@ def chunks(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]
         start += 8 + size + (size & 1)
 
 
+VIDEO = (b"dc", b"db")
+
+
+def later_segments(data: bytes, at: int) -> tuple[list[bytes], str | None]:
+    """The video frames of the RIFF segments from a place on, in file order, and what is missing."""
+    frames: list[bytes] = []
+    while data[at : at + 4] == b"RIFF":
+        end = at + 8 + struct.unpack_from("<I", data.ljust(at + 8, b"\0"), at + 4)[0]
+        if data[at + 8 : at + 12] == b"AVIX":
+            inside = at + 12
+            while inside + 8 <= min(end, len(data)):
+                size = struct.unpack_from("<I", data, inside + 4)[0]
+                if data[inside : inside + 4] == b"LIST" and data[inside + 8 : inside + 12] == b"movi":
+                    inside += 12  # its chunks follow
+                    continue
+                if data[inside + 2 : inside + 4] in VIDEO and data[inside : inside + 2].isdigit():
+                    if inside + 8 + size > len(data):
+                        return frames, "a later segment is cut off"
+                    frames.append(data[inside + 8 : inside + 8 + size])
+                inside += 8 + size + (size & 1)
+        if end > len(data):
+            return frames, "a later segment is cut off"
+        at = end + (end & 1)
+    return frames, None
+
+
 def read_avi(data: bytes) -> tuple[int, list[bytes]]:
     """Microseconds of a frame, and the video frames by the index (or in file order without one)."""
+    return read_segments(data)[:2]
+
+
+def read_segments(data: bytes) -> tuple[int, list[bytes], str | None]:
+    """As ``read_avi``, with what is missing of later segments."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     microseconds, movi, index = MICROSECONDS, None, None
@@ -158,13 +215,15 @@ def read_avi(data: bytes) -> tuple[int, list[bytes]]:
             index = np.frombuffer(data, INDEX, (end - start) // 16, start)
     if movi is None:
         raise ValueError("no frames")
-    video = (b"dc", b"db")
+    end = 8 + struct.unpack_from("<I", data, 4)[0]
+    later, missing = later_segments(data, end + (end & 1))
     if index is None:
-        return microseconds, [data[a:b] for n, a, b in chunks(data, *movi) if n[2:] in video]
-    index = index[[n[2:] in video for n in index["name"].tolist()]]
+        return microseconds, [data[a:b] for n, a, b in chunks(data, *movi) if n[2:] in VIDEO] + later, missing
+    index = index[[n[2:] in VIDEO for n in index["name"].tolist()]]
     # offsets count from the list's kind, in some files from the file's start
     base = 0 if len(index) and data[index["at"][0] : index["at"][0] + 4] == index["name"][0] else movi[0] - 4
-    return microseconds, [data[a : a + s] for a, s in zip((index["at"].astype(np.int64) + base + 8).tolist(), index["size"].tolist(), strict=True)]
+    # a place beyond the file is a damaged frame, not a dropped one
+    return microseconds, [(data[a : a + s] or b"\0") if s else b"" for a, s in zip((index["at"].astype(np.int64) + base + 8).tolist(), index["size"].tolist(), strict=True)] + later, missing
 
 
 def parse_jpeg(frame: bytes) -> dict:
@@ -203,7 +262,7 @@ def parse_jpeg(frame: bytes) -> dict:
             found["predictor"], found["shift"] = data[1 + 2 * n], data[3 + 2 * n] & 15
             if "kind" not in found:
                 raise ValueError("a scan without a frame")
-            return found | {"start": at}
+            return found | {"start": at, "huffman": STANDARD | found["huffman"]}
 
 
 def decode_lossless(frames: list[bytes], head: dict) -> np.ndarray:
@@ -212,6 +271,8 @@ def decode_lossless(frames: list[bytes], head: dict) -> np.ndarray:
     if head["predictor"] != 1 or head["shift"] or len(head["parts"]) != 1 or head["restart"]:
         raise ValueError("a kind of lossless frame that is not read")
     length, value = lookup(*head["huffman"][head["scan"][head["parts"][0][0]] >> 4])
+    if width * height > 8 * max(map(len, frames)):
+        raise ValueError("a damaged scan")  # a sample takes a bit at least
     out = np.empty((len(frames), height * width), np.uint8)
     for start in range(0, len(frames), FRAMES_AT_ONCE):
         scans = [f[head["start"] :].replace(b"\xff\x00", b"\xff") for f in frames[start : start + FRAMES_AT_ONCE]]
@@ -253,12 +314,17 @@ def decode_baseline(frame: bytes, head: dict) -> np.ndarray:
     if len(parts) == 1:
         parts, wide, high = [(1, 1, *parts[0][2:])], 1, 1
     across, down = -(-head["width"] // (8 * wide)), -(-head["height"] // (8 * high))
+    if across * down > 4 * len(scan):
+        raise ValueError("a damaged scan")  # a block takes two bits at least
     pieces, at = [], 0
     for mark in [i for i in range(len(scan) - 1) if scan[i] == 0xFF and 0xD0 <= scan[i + 1] <= 0xD9]:
         pieces.append(scan[at:mark].replace(b"\xff\x00", b"\xff"))
         at = mark + 2
+    pieces.append(scan[at:].replace(b"\xff\x00", b"\xff"))
     blocks = np.zeros((down * parts[0][1], across * parts[0][0], 64))
     each = head["restart"] or across * down
+    if len(pieces) < -(-across * down // each):
+        raise ValueError("a damaged scan")
     for k, piece in enumerate(pieces[: -(-across * down // each)]):
         bits, size, pos, dc = int.from_bytes(piece + bytes(8), "big"), (len(piece) + 8) * 8, 0, [0] * len(parts)
 
@@ -300,6 +366,8 @@ def decode_baseline(frame: bytes, head: dict) -> np.ndarray:
                     if i == 0:
                         for z, c in block.items():
                             blocks[mcu // across * v + b // h, mcu % across * h + b % h, ZIGZAG[z]] = c * head["quant"][q][z]
+        if pos > len(piece) * 8:
+            raise ValueError("a damaged scan")
     pixels = np.einsum("abuv,ux,vy->abxy", blocks.reshape(*blocks.shape[:2], 8, 8), _COS, _COS)
     plane = np.clip(np.rint(pixels) + 128, 0, 255).astype(np.uint8).transpose(0, 2, 1, 3).reshape(blocks.shape[0] * 8, -1)
     if parts[0][0] != wide or parts[0][1] != high:
@@ -308,38 +376,63 @@ def decode_baseline(frame: bytes, head: dict) -> np.ndarray:
 
 
 def decode(files: Sequence[list[bytes]]) -> list[np.ndarray | str]:
-    """Frames (n, height, width) of each file, or what is wrong with it. Alike frames of all files go together."""
+    """Frames (n, height, width) of each file, or what is wrong with it where none can be read."""
+    return [planes if len(planes) or error is None else error for planes, error in decode_each(files)]
+
+
+def decode_each(files: Sequence[list[bytes]]) -> list[tuple[np.ndarray, str | None]]:
+    """Frames of each file, filled where they can't be read, and what is wrong. Alike frames of all files go together."""
     heads: dict[bytes, dict] = {}
     groups: dict[bytes, list[tuple[int, int, bytes]]] = defaultdict(list)
-    out: list = [[None] * len(f) for f in files]
+    planes: list[list] = [[None] * len(f) for f in files]
+    wrong: list[dict[int, str]] = [{} for _ in files]
     last = b"?"
     for i, frames in enumerate(files):
-        try:
-            for j, f in enumerate(frames):
+        for j, f in enumerate(frames):
+            if not f:
+                continue
+            try:
                 if not f.startswith(last):
                     found = parse_jpeg(f)
                     last = f[: found["start"]]
                     heads[last] = found
                 groups[last].append((i, j, f))
-        except (ValueError, struct.error, IndexError) as e:
-            out[i] = str(e)
+            except (ValueError, struct.error, IndexError) as e:
+                wrong[i][j] = str(e)
     for key, members in groups.items():
-        members = [m for m in members if not isinstance(out[m[0]], str)]
         try:
-            planes = decode_lossless([f for *_, f in members], heads[key]) if heads[key]["kind"] == 0xC3 and members else None
+            together = decode_lossless([f for *_, f in members], heads[key]) if heads[key]["kind"] == 0xC3 else None
         except (ValueError, KeyError, IndexError):
-            planes = None  # one of them is damaged: look at each
+            together = None  # one of them is damaged: look at each
         for k, (i, j, f) in enumerate(members):
-            if not isinstance(out[i], str):
-                try:
-                    out[i][j] = planes[k] if planes is not None else decode_lossless([f], heads[key])[0] if heads[key]["kind"] == 0xC3 else decode_baseline(f, heads[key])
-                except (ValueError, KeyError, IndexError) as e:
-                    out[i] = f"frame {j}: {e}"
-    for i, planes in enumerate(out):
-        if not isinstance(planes, str):
-            same = len({p.shape for p in planes}) < 2
-            out[i] = (np.stack(planes) if planes else np.zeros((0, 1, 1), np.uint8)) if same else "frames of several sizes"
-    return out
+            try:
+                planes[i][j] = together[k] if together is not None else decode_lossless([f], heads[key])[0] if heads[key]["kind"] == 0xC3 else decode_baseline(f, heads[key])
+            except (ValueError, KeyError, IndexError) as e:
+                wrong[i][j] = str(e)
+    return [filled(frames, *found) for frames, *found in zip(files, planes, wrong, strict=True)]
+
+
+def filled(frames: list[bytes], planes: list, wrong: dict[int, str]) -> tuple[np.ndarray, str | None]:
+    """The frames of one file without gaps, and what is wrong with it."""
+    none = np.zeros((0, 1, 1), np.uint8)
+    shapes = Counter(p.shape for p in planes if p is not None)
+    given = sum(map(bool, frames))
+    if not shapes or 2 * sum(bool(f) and f[:2] != b"\xff\xd8" for f in frames) >= given:
+        return none, next((f"frame {j}: {e}" for j, e in sorted(wrong.items())), "only empty frames" if frames else None)
+    shape = shapes.most_common(1)[0][0]
+    wrong |= {j: "of another size" for j, p in enumerate(planes) if p is not None and p.shape != shape}
+    out = np.empty((len(frames), *shape), np.uint8)
+    good = np.array([p is not None and p.shape == shape for p in planes])
+    for j in np.flatnonzero(good).tolist():
+        out[j] = planes[j]
+    if not good.all():
+        # the last good frame so far; before the first, that one
+        from_frame = np.maximum.accumulate(np.where(good, np.arange(len(frames)), int(good.argmax())))
+        out = out[from_frame]
+    if not wrong:
+        return out, None
+    first = min(wrong)
+    return out, f"{len(wrong)} of {len(frames)} frames not read, the first: frame {first}: {wrong[first]}"
 
 
 def shots(planes: np.ndarray, bins: int = 16, around: int = 8, floor: float = 0.15, shortest: int = 2) -> list[tuple[int, int, float]]:
@@ -409,18 +502,17 @@ def scan_avi(media: DataFrame, *, id_col: str, media_col: str = "media") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in record_batches(batches, 2 << 20, "__media"):
-            files, times, wrong = [], [], {}
+            files, times, wrong, missing = [], [], {}, {}
             for i, data in enumerate(batch.column("__media").to_pylist()):
                 try:
-                    micro, frames = read_avi(data or b"")
+                    micro, frames, missing[i] = read_segments(data or b"")
                 except (ValueError, struct.error, IndexError) as e:
                     micro, frames, wrong[i] = MICROSECONDS, [], str(e)
                 files.append(frames)
                 times.append(micro / 1e6)
             rows: list[list] = [[] for _ in range(6)]
-            for i, planes in enumerate(decode(files)):
-                if isinstance(planes, str):
-                    wrong[i], planes = planes, np.zeros((0, 1, 1), np.uint8)
+            for i, (planes, error) in enumerate(decode_each(files)):
+                wrong[i] = "; ".join(filter(None, (wrong.get(i), error, missing.get(i)))) or None
                 second = times[i]
                 clips = [{"clip": k, "first_frame": a, "n_frames": n, "start_s": a * second, "end_s": (a + n) * second, "change": c} for k, (a, n, c) in enumerate(shots(planes))]
                 n, high, wide = planes.shape

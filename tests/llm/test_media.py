@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quorvia.llm.media import _COS, DC_COUNTS, DC_VALUES, ZIGZAG, avi, clip_rows, decode, encode_lossless, huffman, read_avi, scan_avi, segment, shots, write_avi
+from quorvia.llm.media import _COS, DC_COUNTS, DC_VALUES, STANDARD, ZIGZAG, avi, chunk, clip_rows, decode, encode_lossless, huffman, read_avi, scan_avi, segment, shots, write_avi
 from quorvia.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -147,3 +147,56 @@ def test_shots_of_short_files():
         for cut in range(1, n):
             assert [x[:2] for x in shots(still([cut], n))] == [(0, cut), (cut, n - cut)]
         assert len(shots(still([], n))) == 1
+
+
+def test_standard_tables():
+    for counts, values in STANDARD.values():
+        assert sum(counts) == len(values) == len(set(values))
+    for k in (0x10, 0x11):
+        assert set(STANDARD[k][1]) == {run << 4 | size for run in range(16) for size in range(1, 11)} | {0, 0xF0}
+    plane = np.full((8, 8), 128, np.uint8)
+    plane[:, :4] = 160
+    # all four kinds of tables by three components, with a luma block of DC 0 and AC -2 at place 1
+    grey = segment(0xDB, bytes([0] + [8] * 64)) + segment(0xC0, struct.pack(">BHHB9B", 8, 8, 8, 3, 1, 0x11, 0, 2, 0x11, 0, 3, 0x11, 0)) + segment(0xDA, bytes([3, 1, 0, 2, 0x11, 3, 0x11, 0, 63, 0]))
+    # luma DC category 0 "00", AC 0/2 "01" with "01" for -2, end "1010"; chroma DC category 0 "00", end "00", twice
+    bits = "00" + "01" + "01" + "1010" + "0000" + "0000"
+    bits += "1" * (-len(bits) % 8)
+    frame = b"\xff\xd8" + grey + bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)) + b"\xff\xd9"
+    (found,) = decode([[frame]])
+    want = np.rint(-2 * 8 * _COS[0][0] * _COS[1])[None, :].repeat(8, 0) + 128
+    assert np.abs(found[0] - want).max() <= 1 and want.min() < 128 < want.max()
+    own = baseline(plane)
+    bare = own.replace(segment(0xC4, bytes([0, *DC_COUNTS, *DC_VALUES])), b"")
+    assert bare != own and np.array_equal(decode([[own]])[0], decode([[bare]])[0])
+
+
+def scanned(spark, files):
+    media = spark.createDataFrame(list(enumerate(files)), "id int, media binary")
+    return [r for r in sorted(scan_avi(media, id_col="id").collect(), key=lambda r: r.id)]
+
+
+def test_dropped_damaged_and_odd_frames(spark):
+    planes = np.concatenate([still([], 3), still([], 3) + 200]).astype(np.uint8)
+    f = encode_lossless(planes)
+    other = encode_lossless(np.zeros((1, 5, 7), np.uint8))[0]
+    y, x = np.mgrid[0:24, 0:32]
+    whole = baseline((128 + 60 * np.sin(x / 5) + 50 * np.cos(y / 3)).astype(np.uint8))
+    files = [[f[0], b"", f[1], f[3], b"", f[4]], [b"", f[0], f[3]], [f[0], f[1][:-3] + b"\xff\xd9", f[3], f[4]], [f[0], b"junk", f[1], f[3]], [f[0], other, f[1], f[3]], [b"", b""], [whole, whole[:-40], whole]]
+    rows = scanned(spark, [avi(x, 16, 12) for x in files])
+    assert [r.n_frames for r in rows] == [6, 3, 4, 4, 4, 0, 3]
+    assert [r.error is None for r in rows] == [True, True, False, False, False, False, False]
+    frames = lambda r: np.frombuffer(r.samples, np.uint8).reshape(r.n_frames, -1)[:, 0].tolist()
+    assert frames(rows[0]) == [0, 0, 0, 200, 200, 200] and [(c.first_frame, c.n_frames) for c in rows[0].clips] == [(0, 3), (3, 3)]
+    assert frames(rows[1]) == [0, 0, 200] and frames(rows[2]) == [0, 0, 200, 200] and frames(rows[3]) == frames(rows[4]) == [0, 0, 0, 200]
+    assert "frame 1" in rows[2].error and "1 of 4" in rows[3].error and "size" in rows[4].error
+    assert len(set(np.frombuffer(rows[6].samples, np.uint8).reshape(3, -1).sum(1).tolist())) == 1
+
+
+def test_later_segments(spark):
+    f = encode_lossless(np.arange(192 * 6).reshape(6, 12, 16).astype(np.uint8))
+    parts = [chunk(b"RIFF", b"AVIX" + chunk(b"LIST", b"movi" + b"".join(chunk(b"00dc", x) for x in part)) + chunk(b"idx1", b"")) for part in (f[2:4], f[4:])]
+    data = avi(f[:2], 16, 12) + parts[0] + parts[1]
+    assert read_avi(data)[1] == f
+    rows = scanned(spark, [data, data[:-30], data[: -len(parts[1]) // 2]])
+    assert rows[0].n_frames == 6 and rows[0].error is None
+    assert all(4 <= r.n_frames < 6 and "segment" in r.error for r in rows[1:])
