@@ -29,7 +29,7 @@ LAYOUT = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <
 
 BASE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: (label, keyword, name, versions): the keyword stands in every match of the name; versions
+#: (label, keyword, name, versions): the keyword stands, as a word, in every match of the name; versions
 #: are written with spaces for dots, and only their first is meant where none is given.
 FAMILIES = (
     ("gpl", "gpl", r"(?:gnu )?gpl", ("2 0", "3 0", "1 0")),
@@ -59,7 +59,9 @@ FAMILIES = (
     ("isc", "isc", r"isc licen[cs]e", ()),
     ("mit", "mit", r"mit(?: x11)? licen[cs]e", ()),
     ("mit", "expat", r"expat licen[cs]e", ()),
-    ("bsd-2-clause", "bsd", r"(?:simplified|freebsd|(?:bsd )?2 clause) (?:bsd )?licen[cs]e|bsd 2 clause", ()),
+    ("bsd-2-clause", "clause", r"(?:bsd )?2 clause (?:bsd )?licen[cs]e|bsd 2 clause", ()),
+    ("bsd-2-clause", "simplified", r"simplified (?:bsd )?licen[cs]e", ()),
+    ("bsd-2-clause", "freebsd", r"freebsd (?:bsd )?licen[cs]e", ()),
     ("bsd-3-clause", "bsd", r"(?:(?:new|modified|revised) bsd|(?:bsd )?3 clause bsd) licen[cs]e|bsd 3 clause", ()),
     ("bsd", "bsd", r"bsd(?: style)? licen[cs]e", ()),
     ("0bsd", "0bsd", r"0bsd", ()),
@@ -86,10 +88,10 @@ FAMILIES = (
     ("cc-by-nd", "nd", r"cc by nd", ("4 0", "3 0", "2 0")),
     ("cc-by-sa", "sa", r"cc by sa", ("4 0", "3 0", "2 0")),
     ("cc-by", "cc", r"cc by", ("4 0", "3 0", "2 0")),
-    ("cc-by-nc-nd", "noderivatives", r"creative commons attribution non ?commercial no ?derivatives", ("4 0", "3 0")),
-    ("cc-by-nc-sa", "sharealike", r"creative commons attribution non ?commercial share ?alike", ("4 0", "3 0")),
-    ("cc-by-nc", "noncommercial", r"creative commons attribution non ?commercial", ("4 0", "3 0")),
-    ("cc-by-sa", "sharealike", r"creative commons attribution share ?alike", ("4 0", "3 0")),
+    ("cc-by-nc-nd", "attribution", r"creative commons attribution non ?commercial no ?derivatives", ("4 0", "3 0")),
+    ("cc-by-nc-sa", "attribution", r"creative commons attribution non ?commercial share ?alike", ("4 0", "3 0")),
+    ("cc-by-nc", "attribution", r"creative commons attribution non ?commercial", ("4 0", "3 0")),
+    ("cc-by-sa", "attribution", r"creative commons attribution share ?alike", ("4 0", "3 0")),
     ("cc-by", "attribution", r"creative commons attribution", ("4 0", "3 0")),
     ("public-domain", "domain", r"(?:dedicated to|released into|in) the public domain", ()),
     ("proprietary", "reserved", r"all rights reserved", ()),

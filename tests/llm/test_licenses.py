@@ -1,4 +1,8 @@
+import itertools
 import re
+import re._parser as parser
+
+import pytest
 
 from quorvia.llm.licenses import BASE_PHRASES, SIGNATURES, license_summary, scan_licenses, scan_text
 from quorvia.llm.queries import QUERIES
@@ -45,3 +49,53 @@ def test_odd_rows(spark):
     rows = sorted(license_summary(scan_licenses(df)).collect(), key=lambda r: r.doc_id or 0)
     assert [(r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows] == [brute(t) for t in texts]
     assert license_summary(scan_licenses(df.limit(0))).count() == 0
+
+
+def generated(parsed):
+    """Texts of every alternative of a parsed expression: each part left out, or once."""
+    parts = []
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            parts.append([chr(value)])
+        elif name == "IN":
+            parts.append([chr(v) for o, v in value if str(o) == "LITERAL"])
+        elif name == "ANY":
+            parts.append(["x"])
+        elif name == "SUBPATTERN":
+            parts.append(list(generated(value[-1])))
+        elif name == "BRANCH":
+            parts.append([t for branch in value[1] for t in generated(branch)])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            assert value[1] >= 1
+            parts.append([""] * (value[0] == 0) + list(generated(value[2])))
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT")
+    return ("".join(x) for x in itertools.product(*parts))
+
+
+def test_every_match_passes_its_gate():
+    n = 0
+    for rule in SIGNATURES:
+        for body in generated(parser.parse(rule.pattern.pattern.decode())):
+            laid = f" {body} ".encode()
+            assert rule.pattern.search(laid) and rule.keyword in laid, (rule, body)
+            n += 1
+    assert n > len(SIGNATURES)
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("the FreeBSD License", "bsd-2-clause"),
+        ("Simplified License", "bsd-2-clause"),
+        ("2-Clause License", "bsd-2-clause"),
+        ("Simplified BSD License", "bsd-2-clause"),
+        ("Creative Commons Attribution-Non-Commercial 3.0", "cc-by-nc-3.0"),
+        ("Creative Commons Attribution-Share Alike 3.0", "cc-by-sa-3.0"),
+        ("Creative Commons Attribution-NonCommercial-ShareAlike 3.0", "cc-by-nc-sa-3.0"),
+        ("Creative Commons Attribution-Non Commercial-No Derivatives 4.0", "cc-by-nc-nd-4.0"),
+    ],
+)
+def test_names_in_two_words(text, label):
+    assert [x[2] for x in scan_text(text)[2]] == [label]
