@@ -138,6 +138,26 @@ SENTENCES = (
     ("wtfpl", "fuck", r"you just do what the fuck you want to"),
 )
 
+#: Identifiers of the SPDX list, by the label of their tags; "-only", "-or-later" and "+" may follow.
+SPDX_IDS = (
+    *((f"{kind}-{v}", f"{kind}-{v}") for kind, versions in (
+        ("gpl", "1.0 2.0 3.0"), ("lgpl", "2.0 2.1 3.0"), ("agpl", "1.0 3.0"), ("gfdl", "1.1 1.2 1.3"), ("apache", "1.0 1.1 2.0"), ("mpl", "1.0 1.1 2.0"),
+        ("epl", "1.0 2.0"), ("cddl", "1.0 1.1"), ("cpl", "1.0"), ("eupl", "1.0 1.1 1.2"), ("bsl", "1.0"), ("artistic", "1.0 2.0"), ("psf", "2.0"), ("php", "3.0 3.01"),
+        ("ofl", "1.0 1.1"), ("osl", "1.0 1.1 2.0 2.1 3.0"), ("afl", "1.1 1.2 2.0 2.1 3.0"), ("odbl", "1.0"), ("odc-by", "1.0"), ("pddl", "1.0"), ("sspl", "1.0"), ("elastic", "2.0"), ("cc0", "1.0"),
+        *((f"cc-{part}", "1.0 2.0 2.5 3.0 4.0") for part in ("by-nc-nd", "by-nc-sa", "by-nc", "by-nd", "by-sa", "by")),
+    ) for v in versions.split()),
+    *((own, own) for own in ("mit", "isc", "zlib", "unlicense", "wtfpl", "0bsd", "bsd-2-clause", "bsd-3-clause", "ms-pl", "ms-rl", "ncsa", "postgresql", "ruby", "openssl")),
+    ("bsl-1.1", "busl-1.1"),
+    # of their own, though a shorter identifier stands in them
+    *((own, own) for own in ("mit-0", "bsd-1-clause", "bsd-4-clause", "bsd-2-clause-patent", "bsd-3-clause-clear", "bsd-3-clause-attribution", "bsd-3-clause-lbnl")),
+    # variants of a text that share its label
+    *(("artistic-1.0", own) for own in ("artistic-1.0-perl", "artistic-1.0-cl8")),
+    *((f"gfdl-{v}", f"gfdl-{v}-{kind}") for v in ("1.1", "1.2", "1.3") for kind in ("invariants", "no-invariants")),
+    *((f"ofl-{v}", f"ofl-{v}-{kind}") for v in ("1.0", "1.1") for kind in ("rfn", "no-rfn")),
+    ("mpl-2.0", "mpl-2.0-no-copyleft-exception"),
+    ("psf-2.0", "python-2.0"),
+)
+
 #: How sure a form is, by form, strongest first.
 FORMS = {"tag": 1.0, "address": 0.95, "sentence": 0.9, "grant": 0.85, "versioned": 0.8, "name": 0.6}
 
@@ -159,16 +179,18 @@ def signatures() -> list[Signature]:
     found = [_signature(label, "address", key, body) for label, key, body in ADDRESSES]
     found += [_signature(label, "sentence", key, body) for label, key, body in SENTENCES]
     found += [_signature(label, "versioned", key, body) for label, key, body in SHORT]
-    found += [_signature(label, "tag", "spdx", f"spdx license identifier {body}") for label, _, body in SHORT]
+    # longer identifiers first: what stands in them is suppressed; a final 0 may be missing
+    for label, own in sorted(SPDX_IDS, key=lambda x: (-len(x[1]), x)):
+        body = own.replace("-", " ").replace(".", " ")
+        body = f"{body[:-2]}(?: 0|(?! [0-9]))" if own.endswith(".0") else body
+        found.append(_signature(label, "tag", "spdx", f"spdx license identifier {body}(?: only| or later)?"))
     for label, key, name, versions in FAMILIES:
         for version in versions:
             # "version 2", "v2 0", "2 0 or later": a final 0 may be missing
             number = rf"(?:version |v)?{version[:-2]}(?: 0)?" if version.endswith(" 0") else f"(?:version |v)?{version}"
             own = f"{label}-{version.replace(' ', '.')}"
-            found.append(_signature(own, "tag", "spdx", rf"spdx license identifier (?:{name}) {number}(?: only| or later)?"))
             found.append(_signature(own, "grant", key, rf"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{name}) {number}"))
             found.append(_signature(own, "versioned", key, rf"(?:{name}) {number}(?: international| unported)?"))
-        found.append(_signature(label, "tag", "spdx", rf"spdx license identifier (?:{name})"))
         found.append(_signature(label, "grant", key, rf"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{name})"))
         found.append(_signature(label, "name", key, name))
     order = {form: i for i, form in enumerate(FORMS)}

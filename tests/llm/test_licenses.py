@@ -4,7 +4,7 @@ import re._parser as parser
 
 import pytest
 
-from quorvia.llm.licenses import BASE_PHRASES, SIGNATURES, license_summary, scan_licenses, scan_text
+from quorvia.llm.licenses import BASE_PHRASES, SIGNATURES, SPDX_IDS, license_summary, scan_licenses, scan_text
 from quorvia.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -99,3 +99,16 @@ def test_every_match_passes_its_gate():
 )
 def test_names_in_two_words(text, label):
     assert [x[2] for x in scan_text(text)[2]] == [label]
+
+
+def test_a_tag_for_every_identifier():
+    found = lambda t: [(x[2], x[3]) for x in scan_text(t)[2]]
+    for label, own in SPDX_IDS:
+        for end in ("", "-only", "-or-later", "+") if label.split("-")[0] in ("gpl", "lgpl", "agpl", "gfdl") else ("",):
+            assert found(f"// SPDX-License-Identifier: {own.upper()}{end}") == [(label, "tag")], own
+    real = {"MIT": "mit", "ISC": "isc", "Zlib": "zlib", "EPL-2.0": "epl-2.0", "BSL-1.0": "bsl-1.0", "Artistic-2.0": "artistic-2.0", "OFL-1.1": "ofl-1.1", "AFL-3.0": "afl-3.0", "PostgreSQL": "postgresql", "MS-PL": "ms-pl"}
+    for own, label in real.items():
+        assert found(f"SPDX-License-Identifier: {own}") == [(label, "tag")]
+    assert found("SPDX-License-Identifier: MIT-0") == [("mit-0", "tag")] and found("SPDX-License-Identifier: commit") == []
+    tags = [s for s in SIGNATURES if s.form == "tag"]
+    assert len(tags) == len(SPDX_IDS) == len(set(SPDX_IDS))
