@@ -9,15 +9,18 @@ similarity. Rows of signatures are joined by bands, and what meets there is comp
 exactly.
 
 Texts of equal shingle sets are one candidate. In a bucket, each candidate is compared with
-the bucket's smallest id; that links large groups with as many comparisons as members.
+the bucket's smallest key; that links large groups with as many comparisons as members.
 Buckets whose members still differ in class are then compared in full, in blocks, with
 links only between different classes. Links make classes; a class's id is its smallest
 document id.
 
-Defined results: a text of fewer words than a shingle is one shingle of what it has; a text
-without words, null or empty, is a class of its own; a null id gets a null class and is never
-linked; rows that repeat an id with the same text are one document, and with another text
-each such row follows the classes of its own copies; an empty table gives no rows; other columns are ignored.
+Defined results: a text of fewer words than a shingle is one shingle of what it has; texts
+without words (null ones too) are copies if they are equal; in ``groups`` a null id gets a
+null class and is never linked; rows that repeat an id with the same text are one document,
+and with another text each such row follows the classes of its own copies; an empty table
+gives no rows; other columns are ignored. ``keep_one`` counts rows: of each class, rows with
+null ids among them, one stays. Contents are told apart by 16 bytes, and while they are
+compared by the first 8.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorvia.llm.common import WORD, WordHashes, cut, mix, record_batches
@@ -37,7 +40,7 @@ from quorvia.llm.graph import components
 SHINGLE, SIMILARITY = 5, 0.8
 #: At 0.8, 26 bands of 5 rows miss a pair with a chance of 3 in 100,000.
 BANDS, ROWS = 26, 5
-#: Ids that are broadcast (8 bytes each, about 20 MB as a table); beyond, they are shuffled.
+#: Rows that are broadcast (an id and 16 bytes of digest each); beyond, they are shuffled.
 BROADCAST_IDS = 1_000_000
 BLOCK = 512
 
@@ -123,32 +126,54 @@ def weighted(found: np.ndarray, counted: bool) -> tuple[np.ndarray, np.ndarray]:
     return elements, n.astype(np.float64) if counted else np.ones(len(elements))
 
 
+def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text, raw (digest of the text itself; empty for a null)."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), raw_digest(text).alias("raw"))
+
+
+def raw_digest(text: Column) -> Column:
+    return F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b""))
+
+
+def digest(found: tuple[np.ndarray, np.ndarray], raw: bytes) -> bytes:
+    """Of the weighted set, or of the text itself where there are no words."""
+    e, w = found
+    return hashlib.blake2b(e.tobytes() + w.tobytes() if len(e) else b"raw" + raw, digest_size=16).digest()
+
+
+def short(content: bytes) -> int:
+    return int.from_bytes(content[:8], "little", signed=True)
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, counted: bool) -> DataFrame:
-    """id, content (digest of the weighted set; null without words), n (its weight), bands."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    """id, raw, content (digest), rep (its first 8 bytes), n (the set's weight), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in record_batches(batches):
             sets = [weighted(shingles(t, size), counted) for t in b.column("text").to_pylist()]
             keys = bands(signatures(sets, BANDS * ROWS), BANDS, ROWS)
-            content = [hashlib.blake2b(e.tobytes() + w.tobytes(), digest_size=16).digest() if len(e) else None for e, w in sets]
+            content = [digest(x, raw) for x, raw in zip(sets, b.column("raw").to_pylist(), strict=True)]
             held = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(content, pa.binary()), pa.array([float(w.sum()) for _, w in sets]), held], ["id", "content", "n", "bands"])
+            columns = [b.column("id"), b.column("raw"), pa.array(content, pa.binary()), pa.array(map(short, content), pa.int64()), pa.array([float(w.sum()) for _, w in sets]), held]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "raw", "content", "rep", "n", "bands"])
 
-    return source.mapInArrow(run, "id long, content binary, n double, bands array<long>")
+    return texts(docs, id_col, text_col).mapInArrow(run, "id long, raw binary, content binary, rep long, n double, bands array<long>")
 
 
-def elements(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int, counted: bool) -> DataFrame:
-    """id, e (sorted elements), w (their weights; null if all are 1) of the documents in ``ids`` (id)."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
+def elements(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, size: int, counted: bool) -> DataFrame:
+    """rep, e (sorted elements), w (their weights; null if all are 1) of the documents in ``rows`` (at_id, at_raw)."""
+    source = texts(docs, id_col, text_col)
+    source = source.join(rows, source["id"].eqNullSafe(rows["at_id"]) & (source["raw"] == rows["at_raw"]), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in record_batches(batches):
             sets = [weighted(shingles(t, size), counted) for t in b.column("text").to_pylist()]
             weights = [w.tobytes() if counted else None for _, w in sets]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([e.tobytes() for e, _ in sets], pa.binary()), pa.array(weights, pa.binary())], ["id", "e", "w"])
+            own = [short(digest(x, raw)) for x, raw in zip(sets, b.column("raw").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([e.tobytes() for e, _ in sets], pa.binary()), pa.array(weights, pa.binary())], ["rep", "e", "w"])
 
-    return source.mapInArrow(run, "id long, e binary, w binary")
+    return source.mapInArrow(run, "rep long, e binary, w binary")
 
 
 def as_set(e: bytes, w: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -200,16 +225,28 @@ def groups(
     that of sets, which lines repeated within a text don't blow up.
     report: gets the numbers of comparisons and links.
     """
+    sketched, leads = lead_rows(docs, id_col, text_col, shingle, similarity, counted, report, nulls=False)
+    group = F.when(F.col("id").isNotNull(), F.coalesce("lead.id", "id"))
+    return sketched.join(leads, "content", "left").select(F.col("id").alias(id_col), group.alias("group_id"))
+
+
+def lead_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, counted: bool, report: dict | None, nulls: bool) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and content with lead (no_id, id, raw): the first row of the content's class.
+
+    nulls: rows without ids take part, after the others.
+    """
     sketched = cut(sketch(docs, id_col, text_col, shingle, counted), "minhash-sketches")
-    own = sketched.where("id IS NOT NULL AND content IS NOT NULL")
-    distinct = cut(own.groupBy("content").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "minhash-contents")
-    filed = distinct.select("rep", "n", F.explode("bands").alias("band"))
+    own = sketched if nulls else sketched.where("id IS NOT NULL")
+    at = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "raw"))
+    distinct = cut(own.groupBy("content").agg(at.alias("at"), F.first("rep").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "minhash-contents")
+    filed = distinct.where("n > 0").select("rep", "n", F.explode("bands").alias("band"))
     buckets = filed.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("held")).where("held > 1")
     members = cut(filed.join(buckets, "band").select("band", "rep", "n", "first", "held"), "minhash-buckets")
     pairs = members.where("rep <> first").select("rep", "first").distinct()
-    ids = cut(pairs.select(F.explode(F.array("rep", "first")).alias("id")).distinct(), "minhash-candidates")
-    small = ids.count() <= BROADCAST_IDS
-    held = cut(elements(docs, F.broadcast(ids) if small else ids, id_col, text_col, shingle, counted).groupBy("id").agg(F.min(F.struct("e", "w")).alias("s")).select("id", "s.e", "s.w"), "minhash-elements")
+    reps = pairs.select(F.explode(F.array("rep", "first")).alias("rep")).distinct()
+    rows = cut(distinct.join(reps, "rep", "left_semi").select(F.col("at.id").alias("at_id"), F.col("at.raw").alias("at_raw")), "minhash-candidates")
+    small = rows.count() <= BROADCAST_IDS
+    held = cut(elements(docs, F.broadcast(rows) if small else rows, id_col, text_col, shingle, counted).groupBy("rep").agg(F.min(F.struct("e", "w")).alias("s")).select("rep", "s.e", "s.w"), "minhash-elements")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,12 +277,31 @@ def groups(
     if report is not None:
         report |= {"comparisons": pairs.count(), "links": star.count(), "more_links": more.count()}
     classes = components(edges, "minhash-classes")
-    by_content = distinct.join(classes.toDF("rep", "class"), "rep", "left").select("content", F.coalesce("class", "rep").alias("class"))
-    return sketched.join(by_content, "content", "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("group_id"))
+    linked = distinct.join(classes.toDF("rep", "class"), "rep").select("rep", "class", "at")
+    first = linked.groupBy("class").agg(F.min("at").alias("first_at"))
+    linked = linked.join(first, "class").select("rep", "first_at")
+    return sketched, distinct.join(linked, "rep", "left").select("content", F.coalesce("first_at", "at").alias("lead"))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each class, that with the smallest id."""
-    gone = cut(groups(docs, id_col=id_col, **options).where(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias("__gone")).distinct(), "minhash-gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+def keep_one(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, counted: bool = False, report: dict | None = None
+) -> DataFrame:
+    """``docs`` with one row of each class: that with the smallest id, or without ids the smallest digest of its text; of rows that repeat both, that with the smallest hash."""
+    sketched, leads = lead_rows(docs, id_col, text_col, shingle, similarity, counted, report, nulls=True)
+    stays = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("raw") == F.col("lead.raw"))
+    judged = sketched.join(leads, "content").groupBy(F.col("id").alias("__id"), F.col("raw").alias("__raw")).agg(F.first(stays).alias("stays"), F.count("*").alias("rows"))
+    judged = cut(judged.where("NOT stays OR rows > 1"), "minhash-gone")
+    gone, repeated = judged.where("NOT stays").select("__id", "__raw"), judged.where("stays").select("__id", "__raw")
+    own_id, own_raw = F.col(id_col).cast("long"), raw_digest(F.col(text_col).cast("string"))
+
+    def match(some: DataFrame, n: int, how: str, rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(some) if n <= BROADCAST_IDS else some, own_id.eqNullSafe(F.col("__id")) & (own_raw == F.col("__raw")), how)
+
+    kept = match(gone, gone.count(), "left_anti", docs)
+    n = repeated.count()
+    if not n:
+        return kept
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    one = match(repeated, n, "left_semi", kept).groupBy(own_id.alias("__id"), own_raw.alias("__raw")).agg(F.min_by(row, order).alias("__row")).select("__row.*")
+    return match(repeated, n, "left_anti", kept).union(one)

@@ -87,3 +87,29 @@ def test_counted(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     by = lambda counted: {r.doc_id: r.group_id for r in groups(df, counted=counted).collect()}
     assert by(False) == {1: 1, 2: 1, 3: 1} and by(True) == {1: 1, 2: 2, 3: 1}
+
+
+def test_keep_one_counts_rows(spark):
+    rng = np.random.default_rng(7)
+    near = near_group(rng, 3, changed=1)
+    others = [" ".join(f"v{rng.integers(10**6)}" for _ in range(60)) for _ in range(4)]
+    rows = [(1, near[0]), (1, near[0]), (2, near[1]), (None, near[2]), (None, near[0])]
+    rows += [(None, others[0])] * 5 + [(3, "..."), (4, "..."), (5, "===="), (None, "...")]
+    # an id with two texts: one is a copy of an earlier document, the other one its own
+    rows += [(6, near[0]), (6, others[1]), (7, others[2]), (7, others[3]), (8, others[3]), (8, others[3])]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int")
+    found = keep_one(df).collect()
+    assert len({r.k for r in found}) == len(found)
+    want = [(1, near[0]), (None, others[0]), (3, "..."), (5, "===="), (6, others[1]), (7, others[2]), (7, others[3])]
+    assert sorted((r.doc_id or 0, r.text) for r in found) == sorted((i or 0, t) for i, t in want)
+    again = keep_one(df.repartition(5)).collect()
+    assert {r.k for r in again} == {r.k for r in found}
+    assert keep_one(df.limit(0)).count() == 0
+
+
+def test_links_of_an_id_with_two_texts(spark):
+    rng = np.random.default_rng(8)
+    a, b = near_group(rng, 2, changed=1), near_group(rng, 2, changed=1)
+    df = spark.createDataFrame([(1, a[0]), (1, b[0]), (2, a[1]), (3, b[1])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.group_id) for r in groups(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+    assert sorted(r.text for r in keep_one(df).collect()) == sorted([a[0], b[0]])
