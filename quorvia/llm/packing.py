@@ -1,15 +1,18 @@
 """Sum-of-squares online packing of documents into token windows.
 
 Each document goes to the fill level that keeps the sum of squared counts of partially
-filled windows smallest; the counts are kept in a level array. Packing needs no shuffle:
-every scan task packs what it reads, so sequence ids hold the task's number in their upper
-bits, and a task that runs again gives the same sequences.
+filled windows smallest; the counts are kept in a level array. A document may also be cut to
+fill a window, at a price in squares: levels that many windows have come to share are worn
+off by cuts, so what a task holds open is bounded by levels and price, not by its input.
+Packing needs no shuffle: every scan task packs what it reads, so sequence ids hold the
+task's number in their upper bits, and a task that runs again gives the same sequences.
 
 Defined results: a null or empty text is the closing id alone; a null id is kept as null;
 repeated rows are packed each; an empty table gives no rows; columns besides the id and the
-text are ignored. A document longer than a window fills whole windows first and only its
-rest is placed. Windows left open at the end of a task are drained: their pieces are laid
-end to end and cut anew, and the last rest is cut at powers of two, which need no padding.
+text are ignored, whatever their names. A document longer than a window fills whole windows
+first and only its rest is placed. At the end of a task, windows that are still open are
+placed into each other by the same choice with free cuts, and the last is cut at powers of
+two; so no sequence is padded.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from quorvia.llm.common import record_batches
 #: Characters on whose classes both tokenizer libraries agree by test; others take the slow one.
 PLAIN = re.compile("[^\x00-ɏ -⁯₠-₿]")
 END_TEXT = "<|endoftext|>"
+#: Squares that a cut must save to be made.
+CUT_PRICE = 4.0
 
 
 class Encoder:
@@ -74,10 +79,13 @@ def encoder(path: str) -> Encoder:
 
 
 class SquareSums:
-    """Partially filled windows by level, and where the next item goes."""
+    """Partially filled windows by level, and where the next item goes.
 
-    def __init__(self, window: int):
-        self.window = window
+    cut_price: what a cut adds to the sum of squares when places are compared.
+    """
+
+    def __init__(self, window: int, cut_price: float = CUT_PRICE):
+        self.window, self.cut_price = window, cut_price
         self.count = np.zeros(window + 1)
         # opening and closing change one square only, the others two: worth half a window each
         self.count[0], self.count[window] = 0.5, -0.5
@@ -85,58 +93,57 @@ class SquareSums:
         self.n_open = 0
 
     def level_for(self, size: int) -> int:
-        """The level whose choice makes the sum of squares smallest; ties to the fullest."""
-        below = self.count[: self.window - size + 1]
-        change = np.where(below == 0, np.inf, self.count[size:] - below)
-        return len(change) - 1 - int(np.argmin(change[::-1]))
-
-    def place(self, piece: tuple, size: int) -> list[tuple] | None:
-        """Put a piece into a window; gives the window back when that fills it."""
-        level = self.level_for(size)
-        if level:
-            window = self.open[level].pop()
+        """The level whose choice makes the sum of squares smallest; ties to the fullest.
+
+        In a window that is too full the item is cut where the window ends, and what is left
+        of it is reckoned as a window of its own.
+        """
+        below = self.count[: self.window]
+        to = np.concatenate([self.count[size:], self.count[1:size] + self.cut_price / 2])
+        change = np.where(below == 0, np.inf, to - below)
+        return self.window - 1 - int(np.argmin(change[::-1]))
+
+    def place(self, pieces: list[tuple], size: int) -> list[list[tuple]]:
+        """Put pieces of ``size`` ids into a window, or cut them; gives the windows that they fill."""
+        full = []
+        while size:
+            level = self.level_for(size) if self.n_open else 0
+            window: list[tuple] = []
+            if level:
+                window = self.open[level].pop()
+                self.count[level] -= 1
+                self.n_open -= 1
+            own, pieces = split(pieces, self.window - level)
+            window += own
+            filled = min(self.window, level + size)
+            size -= filled - level
+            if filled == self.window:
+                full.append(window)
+            else:
+                self.open[filled].append(window)
+                self.count[filled] += 1
+                self.n_open += 1
+        return full
+
+    def finish(self) -> Iterator[list[tuple]]:
+        """Close the open windows by the same choice, with cuts free and no new window.
+
+        The emptiest is taken out and its pieces are placed into the others, until one is
+        left; that is cut at powers of two, which need no padding.
+        """
+        self.cut_price, self.count[0] = 0.0, 0.0
+        while self.n_open > 1:
+            level = min(k for k, windows in self.open.items() if windows)
             self.count[level] -= 1
             self.n_open -= 1
-        else:
-            window = []
-        window.append(piece)
-        if level + size == self.window:
-            return window
-        self.open[level + size].append(window)
-        self.count[level + size] += 1
-        self.n_open += 1
-        return None
-
-    def drain(self, last: bool) -> Iterator[list[tuple]]:
-        """Close the open windows by laying their pieces end to end, fullest windows first.
-
-        At the end of a task, levels of at least an eighth that are powers of two stay as
-        they are, and the rest is cut at powers of two. Before that, the rest stays open.
-        """
-        flow: list[tuple] = []
-        held = 0
-        for level in sorted((k for k, v in self.open.items() if v), reverse=True):
-            for window in self.open[level]:
-                if last and level & (level - 1) == 0 and level * 8 >= self.window:
-                    yield window
-                    continue
-                flow += window
-                held += level
-                while held >= self.window:
-                    full, flow = split(flow, self.window)
-                    held -= self.window
-                    yield full
-        self.open.clear()
-        self.count[1 : self.window] = 0
-        self.n_open = 0
-        while last and held:
-            size = 1 << (held.bit_length() - 1)
-            part, flow = split(flow, size)
-            held -= size
-            yield part
-        if held:
-            self.open[held].append(flow)
-            self.count[held] = self.n_open = 1
+            yield from self.place(self.open[level].pop(), level)
+        for held, windows in self.open.items():
+            for flow in windows:
+                while held:
+                    size = 1 << (held.bit_length() - 1)
+                    part, flow = split(flow, size)
+                    held -= size
+                    yield part
 
 
 def split(pieces: list[tuple], size: int) -> tuple[list[tuple], list[tuple]]:
@@ -154,7 +161,7 @@ def split(pieces: list[tuple], size: int) -> tuple[list[tuple], list[tuple]]:
     return head, []
 
 
-def pack(rows: Iterator[tuple[object, np.ndarray]], window: int, most_open: int) -> Iterator[list[tuple]]:
+def pack(rows: Iterator[tuple[object, np.ndarray]], window: int) -> Iterator[list[tuple]]:
     """Closed windows for (document id, ids) rows."""
     sums = SquareSums(window)
     for key, ids in rows:
@@ -162,22 +169,15 @@ def pack(rows: Iterator[tuple[object, np.ndarray]], window: int, most_open: int)
         while total - start >= window:
             yield [(key, start, ids[start : start + window], total)]
             start += window
-        if start < total:
-            if (full := sums.place((key, start, ids[start:], total), total - start)) is not None:
-                yield full
-            if sums.n_open > most_open:
-                yield from sums.drain(last=False)
-    yield from sums.drain(last=True)
+        yield from sums.place([(key, start, ids[start:], total)], total - start)
+    yield from sums.finish()
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, most_open: int = 4096
+    docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1
 ) -> DataFrame:
     """One row per piece: id, start, length, ids (binary, little-endian unsigned 32-bit),
-    doc_tokens, sequence_id, offset, padding (of its sequence, on the sequence's first piece).
-
-    most_open: open windows that a task holds before it drains them, which bounds memory.
-    """
+    doc_tokens, sequence_id, offset, padding (of its sequence, on the sequence's first piece)."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padding long"
 
@@ -204,7 +204,7 @@ def pack_documents(
             return made
 
         base = TaskContext.get().partitionId() << 32
-        for number, pieces in enumerate(pack(rows(), window, most_open)):
+        for number, pieces in enumerate(pack(rows(), window)):
             filled = sum(len(x[2]) for x in pieces)
             padding = 0 if filled & (filled - 1) == 0 else window - filled
             offset = 0

@@ -53,28 +53,59 @@ def test_odd_rows(spark):
     assert len({(r.sequence_id, r.offset) for r in twice}) == len(twice) >= 2
 
 
+def squares(counts, window, h, size, price):
+    """The sum of squares after a placement at level h, by its definition."""
+    m = counts.copy()
+    if h:
+        m[h] -= 1
+    if h + size < window:
+        m[h + size] += 1
+    elif h + size > window:
+        m[h + size - window] += 1
+    return (m**2).sum() + (price if h + size > window else 0)
+
+
 def test_choice_is_smallest_sum_of_squares():
     rng = np.random.default_rng(0)
-    sums, window = SquareSums(50), 50
+    sums, window = SquareSums(50, 4.0), 50
+    cuts = 0
     for _ in range(2000):
         size = int(rng.integers(1, 50))
         n = sums.count.copy()
         n[0] = n[window] = 0
-
-        def total(h, n=n, size=size):
-            m = n.copy()
-            if h:
-                m[h] -= 1
-            if h + size < window:
-                m[h + size] += 1
-            return (m**2).sum()
-
-        best = min(total(h) for h in range(window - size + 1) if h == 0 or n[h])
-        assert total(sums.level_for(size)) == best
-        sums.place((0, 0, np.zeros(size), size), size)
-
-
-def test_bounded_open_windows():
-    windows = list(pack(((i, np.full(1500, i, np.uint32)) for i in range(300)), 2048, 20))
-    assert sum(len(p[2]) for w in windows for p in w) == 300 * 1500
-    assert all(sum(len(p[2]) for p in w) <= 2048 for w in windows)
+        level = sums.level_for(size)
+        assert squares(n, window, level, size, 4.0) == min(squares(n, window, h, size, 4.0) for h in range(window) if h == 0 or n[h])
+        cuts += level + size > window
+        sums.place([(0, 0, np.zeros(size), size)], size)
+        assert sums.n_open == sums.count[1:window].sum() == sum(map(len, sums.open.values()))
+    assert 0 < cuts < 1000
+
+
+def test_open_windows_stay_few_and_are_placed_at_the_end():
+    sums = SquareSums(2048)
+    for _ in range(5000):  # of one size, no two of which fit together
+        sums.place([(0, 0, np.zeros(1500, np.uint32), 1500)], 1500)
+        assert sums.n_open <= 64
+    rest = sums.n_open
+    closed = list(sums.finish())
+    sizes = [sum(len(p[2]) for p in w) for w in closed]
+    assert sums.n_open <= 1 < rest and all(n == 2048 or n & (n - 1) == 0 for n in sizes)
+    assert sum(n < 2048 for n in sizes) <= 11
+
+
+def test_every_id_in_order():
+    rng = np.random.default_rng(1)
+    docs = [np.arange(int(n), dtype=np.uint32) for n in rng.integers(1, 900, 700)]
+    windows = list(pack(enumerate(docs), 256))
+    found = {}
+    for w in windows:
+        assert sum(len(ids) for _, _, ids, _ in w) <= 256
+        for key, start, ids, total in w:
+            assert total == len(docs[key]) and (ids == docs[key][start : start + len(ids)]).all()
+            found.setdefault(key, []).append((start, len(ids)))
+    for key, pieces in found.items():
+        at = 0
+        for start, n in sorted(pieces):
+            assert start == at
+            at += n
+        assert at == len(docs[key])
