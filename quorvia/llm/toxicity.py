@@ -8,8 +8,10 @@ exactly zero, so the model is a short list that is broadcast. Only labelled rows
 Defined results: a null or empty text has no features and gets the model's base score; a
 null id is scored, never learned from, and not held out; repeated rows are scored each; a
 document with several labels counts as toxic if one of them says so; null labels are left
-out; without any label to learn from every score is 0; an empty table gives no rows; the
-caller's columns are not looked at except the id and the text.
+out; of rows that repeat a labelled id one is learned from; without any label to learn from
+every score is 0; an empty table gives no rows; a text of any length is scored as a whole and
+must fit into a task; the caller's columns, whatever their names, are not looked at except
+the id and the text, and ``score`` replaces one of that name.
 """
 
 from __future__ import annotations
@@ -20,15 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quorvia.llm.common import WORD, WordHashes, mix, record_batches
+from quorvia.llm.common import WORD, WordHashes, fresh, mix, named, record_batches
 
 BITS = 20
 #: Bound of the labelled rows that are learned from, and how often each is seen.
 MAX_ROWS = 12_000
 EPOCHS = 12
-#: Coordinates of fewer rows of the sample are left out of learning: they only name documents.
-LEAST_ROWS = 3
 #: Learning rate and its offset, L1 and L2 strength, and the weight of toxic rows, which are few.
 ALPHA, BETA, L1, L2, TOXIC_WEIGHT = 3.0, 1.0, 10.0, 0.01, 3.0
 #: A coordinate present in every text.
@@ -73,17 +74,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     sample = usable.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
     sample = sample.withColumn("order", F.xxhash64("__id")).orderBy("order", "__id").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "__id").select("order", "label", "text")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "__id").select("order", "__id", "label", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in record_batches(batches):
             found = [np.unique(features(t)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("label"), pa.array(found, pa.binary())], ["order", "label", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("__id"), batch.column("label"), pa.array(found, pa.binary())], ["order", "id", "label", "found"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [(y, np.frombuffer(x, np.uint32)) for b in batches for y, x in zip(b.column("label").to_pylist(), b.column("found").to_pylist(), strict=True)]
-        rows_with = np.bincount(np.concatenate([np.zeros(0, np.uint32), *(at for _, at in seen)]), minlength=1 << BITS)
-        seen = [(y, np.concatenate([np.full(1, BIAS, np.uint32), at[rows_with[at] >= LEAST_ROWS]])) for y, at in seen]
+        bias = np.full(1, BIAS, np.uint32).tobytes()
+        seen = [(y, np.frombuffer(bias + x, np.uint32)) for b in batches for y, x in zip(b.column("label").to_pylist(), b.column("found").to_pylist(), strict=True)]
         model = Ftrl()
         for _ in range(EPOCHS):
             for label, at in seen:
@@ -92,32 +92,35 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         used = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(w[used], pa.float64())], ["coordinate", "weight"])
 
+    key = rows.schema["__id"].dataType.simpleString()
+    found = rows.mapInArrow(extract, f"order long, id {key}, label int, found binary")
+    found = found.groupBy("order", "id").agg(F.min(F.struct("found", "label")).alias("one")).select("order", "id", "one.*")
     # one task learns, from max_rows rows at most
-    found = rows.mapInArrow(extract, "order long, label int, found binary").repartition(1).sortWithinPartitions("order", "found")
+    found = found.repartition(1).sortWithinPartitions("order", "id")
     return {r.coordinate: r.weight for r in found.mapInArrow(learn, "coordinate int, weight double").collect()}
 
 
-def score_documents(docs: DataFrame, weights: dict[int, float], *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with a ``score`` from 0 to 1. A feature counts once, however often it occurs."""
+def score_documents(docs: DataFrame, weights: dict[int, float], *, text_col: str = "text", keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
+    """``docs`` (or its columns ``keep``) with a score from 0 to 1. A feature counts once, however often it occurs."""
     dense = np.zeros(1 << BITS)
     dense[list(weights)] = list(weights.values())
     sparse = docs.sparkSession.sparkContext.broadcast({"at": np.flatnonzero(dense).astype(np.uint32), "w": dense[np.flatnonzero(dense)]})
-    others = [c for c in keep or docs.columns if c != "score"]
-    source = docs.select(*others, F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text"] + ["score double"])
+    others = [c for c in keep or docs.columns if c != score_col]
+    (own,) = fresh(docs, "text_to_score")
+    source = docs.select(*map(named, others), F.col(text_col).cast("string").alias(own))
+    schema = StructType([*source.schema.fields[:-1], StructField(score_col, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros(1 << BITS)
         w[sparse.value["at"]] = sparse.value["w"]
         used = w != 0
-        for batch in record_batches(batches, text="__text"):
+        for batch in record_batches(batches, text=own):
             scores = []
-            for text in batch.column("__text").to_pylist():
+            for text in batch.column(own).to_pylist():
                 at = features(text)
                 total = w[BIAS] + w[np.unique(at[used[at]])].sum()
                 scores.append(1 / (1 + np.exp(-np.clip(total, -35, 35))) if len(sparse.value["w"]) else 0.0)
-            columns = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], [*(n for n in batch.schema.names if n != "__text"), "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -131,6 +134,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without those scored at one half or more."""
-    weights = fit(docs, labels, **options)
-    kept = score_documents(docs.withColumnRenamed("score", "__score"), weights).where("score < 0.5").drop("score")
-    return kept.withColumnRenamed("__score", "score")
+    (own,) = fresh(docs, "score")
+    scored = score_documents(docs, fit(docs, labels, **options), score_col=own)
+    return scored.where(F.col(own) < 0.5).select(*map(named, docs.columns))
