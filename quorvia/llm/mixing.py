@@ -7,7 +7,11 @@ and a larger budget keeps all that a smaller one took.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; a
 null id is hashed as such, together with the text, so rows without ids spread; equal rows
-share their fate; an empty table gives no rows; a source of size 0 has target 0.
+share their fate, so a source of which one repeated row is a large part can miss its target
+by up to half of that part; an empty table gives no rows; a source of size 0 has target 0; a
+document of any length counts whole, and one larger than what its source still lacks is
+taken if that ends nearer to the target; other columns are kept by ``mixed``, whatever their
+names, and ignored by ``mix_documents``.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quorvia.llm.common import cut
+from quorvia.llm.common import cut, fresh, named
 
 WEIGHTS = (5, 2, 1)
 #: Hash bits of each level; two levels leave one document in 16 million of a source undecided.
@@ -111,7 +115,8 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     key = mix_hash(F.col(id_col), text)
     sized = cut(docs.select(F.col(source_col).alias("source"), n_words(text).alias("size"), key.alias("hash")), "mixing-sizes")
     options = {"share": 1.5, "most": 2.0, "weights": WEIGHTS} | options
-    plan = source_thresholds(sized, **options).select(F.col("source").alias("__source"), "times", "below")
-    copies = F.col("times") + F.when(F.shiftright(key, 48 - 2 * LEVEL_BITS) < F.col("below"), 1).otherwise(0)
-    found = docs.join(plan, F.col(source_col).eqNullSafe(F.col("__source"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(int(options["most"]) + 1))))
-    return found.where(F.col("__copy") <= copies).select(*docs.columns)
+    source, times, below, copy = fresh(docs, "mix_source", "mix_times", "mix_below", "mix_copy")
+    plan = source_thresholds(sized, **options).select(F.col("source").alias(source), F.col("times").alias(times), F.col("below").alias(below))
+    copies = F.col(times) + F.when(F.shiftright(key, 48 - 2 * LEVEL_BITS) < F.col(below), 1).otherwise(0)
+    found = docs.join(plan, F.col(source_col).eqNullSafe(F.col(source))).withColumn(copy, F.explode(F.sequence(F.lit(1), F.lit(int(options["most"]) + 1))))
+    return found.where(F.col(copy) <= copies).select(*map(named, docs.columns))
