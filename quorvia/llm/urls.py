@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorvia.llm.common import fresh, named
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to here the index is a literal of the plan; beyond, it is a table to join.
 LITERAL_RULES = 256
@@ -115,14 +117,15 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, url_col: str = "url",
     """
     host, path = url_parts(F.col(url_col))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    base = pages.select(*kept, host.alias("host"), path.alias("path"))
+    base = pages.select(*map(named, kept), host.alias("host"), path.alias("path"))
+    (own,) = fresh(pages, "best")
     index = rarest_tokens(base.select(F.concat("host", "path").alias("key")), rules)
     # a smaller place wins a tie, so places count down
     rows = {i: (r.kind, len(r.name), -i, r.name, r.verdict, r.pattern) for i, r in enumerate(rules)}
     key = F.concat("host", "path")
     if not rules:
         best = F.lit(None).cast(f"struct<{ROW}>".replace(", pattern string", ""))
-        judged = base.withColumn("best", best)
+        judged = base.withColumn(own, best)
     elif len(rules) <= literal_rules:
         by_token = defaultdict(list)
         for i, token in index.items():
@@ -131,13 +134,14 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, url_col: str = "url",
         held = F.create_map(*[x for token, found in sorted(by_token.items()) for x in (F.lit(token), F.array(*map(as_literal, found)))])
         # the empty token stands for rules without literals
         fetched = F.flatten(F.filter(F.transform(F.array_union(tokens(key), F.array(F.lit(""))), lambda t: F.try_element_at(held, t)), lambda x: x.isNotNull()))
-        judged = base.withColumn("best", _best(F.filter(fetched, lambda r: F.rlike(F.concat("host", "path"), r["pattern"]))))
+        judged = base.withColumn(own, _best(F.filter(fetched, lambda r: F.rlike(F.concat("host", "path"), r["pattern"]))))
     else:
         table = pages.sparkSession.createDataFrame([(index[i], *row) for i, row in rows.items()], f"token string, {ROW}")
         if len(rules) <= BROADCAST_RULES:
             table = F.broadcast(table)
         keys = base.select("host", "path").distinct()
         fetched = keys.select("host", "path", F.explode(F.array_union(tokens(key), F.array(F.lit("")))).alias("token")).join(table, "token")
-        best = fetched.where(F.rlike(key, F.col("pattern"))).groupBy("host", "path").agg(F.max(F.struct("kind", "size", "place", "name", "verdict")).alias("best"))
+        best = fetched.where(F.rlike(key, F.col("pattern"))).groupBy("host", "path").agg(F.max(F.struct("kind", "size", "place", "name", "verdict")).alias(own))
         judged = base.join(best, ["host", "path"], "left")
-    return judged.select(*kept, "host", "path", F.when(F.col("best.kind") == 1, F.col("best.name")).alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    found = F.col(own)
+    return judged.select(*map(named, kept), "host", "path", F.when(found["kind"] == 1, found["name"]).alias("rule"), F.coalesce(found["verdict"], F.lit(default)).alias("verdict"))
