@@ -3,12 +3,14 @@
 A text is lower-cased (A-Z), cut into words and laid out as words with single spaces between.
 Each rule is a regular expression over that layout, gated by a keyword that every match
 holds. Rules are tried in order of their form: identifier tags before addresses, grants,
-full names and short names. A detection that lies inside a stronger one, or coincides with
-one of equal strength and earlier place, is suppressed. Base phrases are counted apart and
+full names and short names. A detection that lies inside an earlier rule's is suppressed;
+the standing ones are kept by start with the farthest end so far, so the search is by halving. Base phrases are counted apart and
 always keep their labels.
 
 Defined results: a null or empty text has no words, no labels and score 0; repeated rows are
-scanned each; an empty table gives no rows; columns besides id and text are ignored.
+scanned each; an empty table gives no rows; columns besides id and text are ignored, whatever
+their names; a text of any length is scanned whole, in time about linear in its length, and
+must fit into a task.
 """
 
 from __future__ import annotations
@@ -211,11 +213,20 @@ def detect(laid: bytes) -> list[tuple[int, int, str, str]]:
     """(start, end, label, form) of the detections that stand, in order, in a single-spaced layout."""
     held = {k for k in _KEYWORDS if k in laid}
     standing: list[tuple[int, int, str, str]] = []
+    # starts of those that stand, sorted, and for each the farthest end of those up to it
+    starts = ends = reach = np.zeros(0, np.int64)
     for rule in SIGNATURES if held else ():
-        if rule.keyword in held:
-            for m in rule.pattern.finditer(laid):
-                if not any(a <= m.start() and m.end() <= b for a, b, *_ in standing):
-                    standing.append((m.start(), m.end(), rule.label, rule.form))
+        if rule.keyword not in held:
+            continue
+        spans = np.array([m.span() for m in rule.pattern.finditer(laid)], np.int64).reshape(-1, 2)
+        if len(spans) and len(starts):  # a rule's own matches never overlap
+            before = np.searchsorted(starts, spans[:, 0], "right") - 1
+            spans = spans[(before < 0) | (reach[before] < spans[:, 1])]
+        if len(spans):
+            standing += [(a, b, rule.label, rule.form) for a, b in spans.tolist()]
+            order = np.argsort(starts := np.concatenate([starts, spans[:, 0]]), kind="stable")
+            starts, ends = starts[order], np.concatenate([ends, spans[:, 1]])[order]
+            reach = np.maximum.accumulate(ends)
     return sorted(standing)
 
 
@@ -228,15 +239,17 @@ def scan_text(text: str | None) -> tuple:
         return n_words, [], []
     laid = re.sub(b" +", b" ", laid)
     gaps = np.flatnonzero(np.frombuffer(laid, np.uint8) == 32)
-    word = lambda at: int(np.searchsorted(gaps, at))  # noqa: E731  the number of gaps before a position
+    word = lambda places: np.searchsorted(gaps, np.array(places, np.int64)).tolist()  # noqa: E731  the number of gaps before each
     base = []
     for phrase, label in _BASE:
-        at = laid.find(phrase)
+        places, at = [], laid.find(phrase)
         while at >= 0:
-            base.append((label, word(at)))
+            places.append(at)
             at = laid.find(phrase, at + 1)
-    found = [(word(a) - 1, word(b) - word(a) + 1, label, form) for a, b, label, form in detect(laid)]
-    return n_words, base, found
+        base += [(label, w) for w in word(places)]
+    found = detect(laid)
+    first, last = word([a for a, *_ in found]), word([b for _, b, *_ in found])
+    return n_words, base, [(a - 1, b - a + 1, label, form) for a, b, (*_, label, form) in zip(first, last, found, strict=True)]
 
 
 SCHEMA = "n_words long, base array<struct<label string, word long>>, detections array<struct<first_word long, n_words long, label string, form string>>"
