@@ -138,12 +138,13 @@ def best(q: np.ndarray, x: np.ndarray, ids: list[np.ndarray], k: int) -> list[tu
     if not len(x):
         return [([], [])] * len(q)
     rough = q @ x.T
+    sizes, longest = np.sqrt((q * q).sum(1)), float(np.sqrt((x * x).sum(1).max()))
     out = []
     for i in range(len(q)):
         near = np.argpartition(-rough[i], k - 1)[:k] if len(x) > k else np.arange(len(x))
-        if len(x) > k:  # all that tie with the last, up to rounding
+        if len(x) > k:  # all that tie with the last, up to rounding, which grows with the vectors' lengths
             last = rough[i][near].min()
-            near = np.flatnonzero(rough[i] >= last - 1e-9 * abs(last))
+            near = np.flatnonzero(rough[i] >= last - 1e-12 * sizes[i] * longest)
         exact = (x[near] * q[i]).sum(1)  # the same sum wherever the row lies
         found = sorted((-s, int(v)) for s, j in zip(exact.tolist(), near.tolist(), strict=True) for v in ids[j][:k])[:k]
         out.append(([v for _, v in found], [-s for s, _ in found]))
