@@ -5,13 +5,16 @@ as the prompt; what follows on either side is rendered as a completion, with the
 spans that are learned from (the assistant's own text and its end mark); the rest of a
 completion is masked. All of it is DataFrame expressions over one shuffle by pair.
 
+Tables that hold conversations but no pairs are branched first: at one of its assistant
+turns, a conversation is followed by a worse answer, and that branch is the rejected side.
+
 Defined results: a null role or text counts as empty; turns are ordered by turn, role and
-text, nulls first, and repeated turns stay; a conversation without partner gets an empty
-other side and ``complete`` false; equal conversations give two empty completions; rows
-without a conversation id form one conversation, the chosen one of a pair without id; marks
-inside a text are broken up so that they can't open or close a turn; other columns are
-ignored; an empty table gives no rows. A conversation is one output row, so a single one
-must fit into a task.
+text, nulls first, and repeated turns stay; each row without a conversation id is a
+conversation of its own; a conversation without an assistant turn has no branch, so its
+rejected side is empty and ``complete`` false; equal sides give two empty completions; marks
+inside a text are broken up so that they can't open or close a turn; other columns, whatever
+their names, are ignored; an empty table gives no rows. A conversation is one output row, so
+a single one must fit into a task.
 """
 
 from __future__ import annotations
@@ -73,13 +76,32 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     )
 
 
-def pair_conversations(turns: DataFrame) -> DataFrame:
-    """Pairs of conversations with ids 2k (chosen) and 2k + 1 (rejected), as arrays of turns."""
+def conversations(turns: DataFrame) -> DataFrame:
+    """conv_id, turns (array in order): one shuffle by id; rows without id are not shuffled."""
     turn = F.struct(F.col("turn").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text"))
-    second = F.coalesce(F.col("conv_id").bitwiseAND(1) == 1, F.lit(False))
-    return turns.groupBy(F.shiftright("conv_id", 1).alias("pair_id")).agg(
-        F.sort_array(F.collect_list(F.when(~second, turn))).alias("chosen"), F.sort_array(F.collect_list(F.when(second, turn))).alias("rejected")
-    )
+    whole = turns.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    return whole.union(turns.where("conv_id IS NULL").select("conv_id", F.array(turn).alias("turns")))
+
+
+def branch_conversations(held: DataFrame) -> DataFrame:
+    """pair_id, chosen, rejected: each conversation, and its branch with a worse answer.
+
+    held: conv_id, turns. The branch leaves at the assistant turn whose number is the id modulo
+    their count. The worse answer is that of the next assistant turn (of the first after the
+    last), which answers something else; if there is none, or it is the same, the first half.
+    """
+    numbers = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == LEARNED_ROLE, i + 1)), lambda i: i.isNotNull())
+    n = F.size("spots")
+    df = held.select("conv_id", "turns", numbers.alias("spots"))
+    which = F.pmod(F.coalesce("conv_id", F.lit(0)), F.greatest(n, F.lit(1))).cast("int")
+    at = F.get("spots", which)
+    next_at = F.get("spots", F.pmod(which + 1, F.greatest(n, F.lit(1))).cast("int"))
+    df = df.select("conv_id", "turns", at.alias("at"), F.get("turns", at - 1).alias("answer"), F.get("turns", next_at - 1)["text"].alias("other"))
+    text = F.coalesce(F.col("answer.text"), F.lit(""))
+    worse = F.when(F.coalesce("other", F.lit("")) != text, F.col("other")).otherwise(F.left(text, F.floor(F.length(text) / 2).cast("int")))
+    branch = F.concat(F.slice("turns", 1, F.col("at") - 1), F.array(F.struct(F.col("answer.turn").alias("turn"), F.col("answer.role").alias("role"), worse.alias("text"))))
+    none = F.slice("turns", 1, 0)
+    return df.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.when(F.col("at").isNull(), none).otherwise(branch).alias("rejected"))
 
 
 def spans_text(spans: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorvia.llm.ann import nearest
-from quorvia.llm.chat import format_preferences, pair_conversations, spans_text
+from quorvia.llm.chat import branch_conversations, conversations, format_preferences, spans_text
 from quorvia.llm.common import table
 from quorvia.llm.licenses import license_summary, scan_licenses
 from quorvia.llm.media import scan_avi, write_avi
@@ -137,29 +137,39 @@ LEFT JOIN e ON e.source IS NOT DISTINCT FROM n.source AND e.k = 1
 """
 
 def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = format_preferences(pair_conversations(table(spark, sf_dir, "conversations")))
+    made = format_preferences(branch_conversations(conversations(table(spark, sf_dir, "conversations"))))
     return made.select("pair_id", "complete", "n_common", "prompt", "chosen", "rejected", spans_text(F.col("chosen_spans")).alias("chosen_spans"), spans_text(F.col("rejected_spans")).alias("rejected_spans"))
 
 
 OP9_SQL = r"""
-WITH t AS (
-  SELECT conv_id >> 1 AS pair_id, coalesce(conv_id & 1, 0) AS side,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k,
-         coalesce(role, '') AS raw_role, coalesce(text, '') AS raw_text,
+WITH u AS (
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () ELSE 0 END AS lone, turn, role, text FROM conversations
+), o AS (
+  SELECT conv_id, lone, row_number() OVER (PARTITION BY conv_id, lone ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k, role, text FROM u
+), a AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, lone ORDER BY k) - 1 AS spot, count(*) OVER (PARTITION BY conv_id, lone) AS n FROM o WHERE role = 'assistant'
+), w AS (
+  SELECT x.conv_id, x.lone, x.k, x.role, CASE WHEN coalesce(y.text, '') <> coalesce(x.text, '') THEN y.text
+         ELSE left(coalesce(x.text, ''), length(coalesce(x.text, '')) // 2) END AS text
+  FROM a x JOIN a y ON x.conv_id IS NOT DISTINCT FROM y.conv_id AND x.lone = y.lone AND y.spot = (x.spot + 1) % x.n
+  WHERE x.spot = (coalesce(x.conv_id, 0) % x.n + x.n) % x.n
+), t AS (
+  SELECT conv_id AS pair_id, lone, side, k, coalesce(role, '') AS raw_role, coalesce(text, '') AS raw_text,
          '<|im_start|>' || replace(coalesce(role, ''), '<|im_', '<| im_') || chr(10) AS head,
          replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' AS body
-  FROM conversations
+  FROM (SELECT conv_id, lone, 0 AS side, k, role, text FROM o
+    UNION ALL SELECT o.conv_id, o.lone, 1, o.k, o.role, o.text FROM o JOIN w ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND o.lone = w.lone AND o.k < w.k
+    UNION ALL SELECT conv_id, lone, 1, k, role, text FROM w)
 ), c AS (SELECT * FROM t WHERE side = 0), r AS (SELECT * FROM t WHERE side = 1),
 m AS (
-  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.k, r.k) AS k,
-         c.k IS NOT NULL AND r.k IS NOT NULL AND c.raw_role = r.raw_role AND c.raw_text = r.raw_text AS alike
-  FROM c FULL JOIN r ON c.pair_id IS NOT DISTINCT FROM r.pair_id AND c.k = r.k
+  SELECT c.pair_id, c.lone, c.k, r.k IS NOT NULL AND c.raw_role = r.raw_role AND c.raw_text = r.raw_text AS alike
+  FROM c LEFT JOIN r ON c.pair_id IS NOT DISTINCT FROM r.pair_id AND c.lone = r.lone AND c.k = r.k
 ), n AS (
-  SELECT pair_id, coalesce(min(k) FILTER (NOT alike) - 1, max(k)) AS n_common FROM m GROUP BY pair_id
+  SELECT pair_id, lone, coalesce(min(k) FILTER (NOT alike) - 1, max(k)) AS n_common FROM m GROUP BY pair_id, lone
 ), x AS (
   SELECT t.*, n.n_common, CASE WHEN t.k <= n.n_common THEN NULL ELSE
-         coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY t.pair_id, side, t.k > n.n_common ORDER BY t.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS pos
-  FROM t JOIN n ON t.pair_id IS NOT DISTINCT FROM n.pair_id
+         coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY t.pair_id, t.lone, side, t.k > n.n_common ORDER BY t.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS pos
+  FROM t JOIN n ON t.pair_id IS NOT DISTINCT FROM n.pair_id AND t.lone = n.lone
 )
 SELECT pair_id, bool_or(side = 0) AND bool_or(side = 1) AS complete, max(n_common) AS n_common,
   coalesce(string_agg(head || body || chr(10), '' ORDER BY k) FILTER (side = 0 AND k <= n_common), '') AS prompt,
@@ -169,7 +179,7 @@ SELECT pair_id, bool_or(side = 0) AND bool_or(side = 1) AS complete, max(n_commo
     FILTER (side = 0 AND k > n_common AND raw_role = 'assistant'), '') AS chosen_spans,
   coalesce(string_agg(CAST(pos + length(head) AS VARCHAR) || ':' || CAST(pos + length(head) + length(body) AS VARCHAR), ',' ORDER BY k)
     FILTER (side = 1 AND k > n_common AND raw_role = 'assistant'), '') AS rejected_spans
-FROM x GROUP BY pair_id
+FROM x GROUP BY pair_id, lone
 """
 
 
