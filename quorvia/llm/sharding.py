@@ -12,7 +12,9 @@ All of it is DataFrame operations.
 
 Defined results: a null text has no bytes and the checksum of no bytes; a null id is hashed
 as such, together with the text's checksum, so rows without ids spread; repeated rows are
-placed each; an empty table gives no rows; other columns are ignored.
+placed each, and a cell that holds very many of them is numbered in parts; an empty table
+gives no rows; a text of any length counts whole; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -25,9 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quorvia.llm.common import cut
+
 #: Cells of the ring, a power of two: bounds what the driver counts and what is broadcast (about 3 MB).
 CELL_BITS = 16
 VIRTUAL_NODES = 64
+#: A cell is hot if it holds more than this and more than its share of one in HOT_CELLS; it is numbered in so many parts.
+HOT_ROWS, HOT_CELLS, HOT_PARTS = 10_000, 256, 64
 
 
 def ring(n_shards: int, virtual_nodes: int = VIRTUAL_NODES, cell_bits: int = CELL_BITS) -> list[tuple[int, int]]:
@@ -101,11 +107,27 @@ def shard_documents(
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(utf8) + 8).cast("long").alias("size"), F.crc32(utf8).alias("text_crc32"))
     rows = rows.withColumn("hash", F.xxhash64("doc_id", "text_crc32", "size")).withColumn("cell", F.shiftrightunsigned("hash", 64 - cell_bits).cast("int"))
     counts = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}
-    plan = docs.sparkSession.createDataFrame(list(walk(counts, n_shards, virtual_nodes, cell_bits, slack)), "cell int, low long, high long, shard int, first_slot long, hops int")
-    number = F.row_number().over(Window.partitionBy("cell").orderBy("hash", "doc_id", "text_crc32", "size")) - 1
+    hot = sorted(c for c, n in counts.items() if n > max(HOT_ROWS, sum(counts.values()) // HOT_CELLS))
+    rows = rows.withColumn("part", F.lit(0))
+    firsts = [(c, 0, 0) for c in counts]
+    if hot:
+        # repeated rows hash alike: such a cell is numbered in parts, by where its rows lie, as written once
+        rows = cut(rows.withColumn("part", F.when(F.col("cell").isin(hot), F.pmod(F.spark_partition_id(), F.lit(HOT_PARTS))).otherwise(0)), "sharding-rows")
+        parts = {(r["cell"], r["part"]): r["count"] for r in rows.where(F.col("cell").isin(hot)).groupBy("cell", "part").count().collect()}
+        at = dict.fromkeys(hot, 0)
+        firsts = [(c, 0, 0) for c in counts if c not in at]
+        for (cell, part), n in sorted(parts.items()):
+            firsts.append((cell, part, at[cell]))
+            at[cell] += n
+    spark = docs.sparkSession
+    ranges = list(walk(counts, n_shards, virtual_nodes, cell_bits, slack))
+    plan = spark.createDataFrame(ranges, "cell int, low long, high long, shard int, first_slot long, hops int")
+    number = F.row_number().over(Window.partitionBy("cell", "part").orderBy("hash", "doc_id", "text_crc32", "size")) - 1
+    numbered = rows.withColumn("number", number)
+    if hot:
+        numbered = numbered.join(F.broadcast(spark.createDataFrame(firsts, "cell int, part int, first long")), ["cell", "part"]).withColumn("number", F.col("number") + F.col("first"))
     return (
-        rows.withColumn("number", number)
-        .join(F.broadcast(plan), "cell")
+        numbered.join(F.broadcast(plan), "cell")
         .where("number >= low and number < high")
         .select("doc_id", "size", "text_crc32", "shard", (F.col("first_slot") + F.col("number") - F.col("low")).alias("slot"), "hops")
     )
