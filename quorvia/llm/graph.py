@@ -1,4 +1,9 @@
-"""Connected components by contraction, over tables in the shared folder."""
+"""Connected components by contraction, over tables in the shared folder.
+
+Defined results: edges with a null end, edges of an id to itself and repeated edges add
+nothing; without other edges there are no rows. There are no texts, and columns besides ``a``
+and ``b`` are ignored.
+"""
 
 from __future__ import annotations
 

@@ -18,7 +18,8 @@ Defined results: a text of fewer words than a shingle is one shingle of what it
 without words (null ones too) are copies if they are equal; in ``groups`` a null id gets a
 null class and is never linked; rows that repeat an id with the same text are one document,
 and with another text each such row follows the classes of its own copies; an empty table
-gives no rows; other columns are ignored. ``keep_one`` counts rows: of each class, rows with
+gives no rows; a text of any length is taken whole and must fit into a task; other columns,
+whatever their names, are ignored by ``groups`` and kept by ``keep_one``. ``keep_one`` counts rows: of each class, rows with
 null ids among them, one stays. Contents are told apart by 16 bytes, and while they are
 compared by the first 8.
 """
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorvia.llm.common import WORD, WordHashes, cut, mix, record_batches
+from quorvia.llm.common import WORD, WordHashes, cut, fresh, mix, named, record_batches
 from quorvia.llm.graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -43,6 +44,9 @@ BANDS, ROWS = 26, 5
 #: Rows that are broadcast (an id and 16 bytes of digest each); beyond, they are shuffled.
 BROADCAST_IDS = 1_000_000
 BLOCK = 512
+#: A key is hot if more rows hold it than this and than all rows over HOT_SHARE; so a row is in
+#: hot keys of at most HOT_SHARE a column, which are few enough to be broadcast.
+HOT_ROWS, HOT_SHARE = 1000, 4096
 
 _hashes = WordHashes()
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -162,18 +166,18 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, counted: bool
 
 
 def elements(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, size: int, counted: bool) -> DataFrame:
-    """rep, e (sorted elements), w (their weights; null if all are 1) of the documents in ``rows`` (at_id, at_raw)."""
+    """rep, e (sorted elements), w (their weights; null if all are 1), n (their sum) of the documents in ``rows`` (at_id, at_raw)."""
     source = texts(docs, id_col, text_col)
     source = source.join(rows, source["id"].eqNullSafe(rows["at_id"]) & (source["raw"] == rows["at_raw"]), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in record_batches(batches):
             sets = [weighted(shingles(t, size), counted) for t in b.column("text").to_pylist()]
-            weights = [w.tobytes() if counted else None for _, w in sets]
+            weights = [None if (w == 1).all() else w.tobytes() for _, w in sets]
             own = [short(digest(x, raw)) for x, raw in zip(sets, b.column("raw").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([e.tobytes() for e, _ in sets], pa.binary()), pa.array(weights, pa.binary())], ["rep", "e", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([e.tobytes() for e, _ in sets], pa.binary()), pa.array(weights, pa.binary()), pa.array([float(w.sum()) for _, w in sets])], ["rep", "e", "w", "n"])
 
-    return source.mapInArrow(run, "rep long, e binary, w binary")
+    return source.mapInArrow(run, "rep long, e binary, w binary, n double")
 
 
 def as_set(e: bytes, w: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -216,37 +220,49 @@ def links(sets: list[tuple[np.ndarray, np.ndarray]], ids: list[int], classes: li
                 yield ids[i], ids[j]
 
 
+def with_hot(rows: DataFrame, keys: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """``rows`` joined with ``keys`` (one row for each ``key``, with ``held``, how many rows have it).
+
+    Hot keys' rows stay where they are: those keys are broadcast, so that no task gets all
+    rows of one. The rest is shuffled.
+    """
+    hot = F.col("held") > max(HOT_ROWS, n_rows // HOT_SHARE)
+    few = F.broadcast(keys.where(hot))
+    return rows.join(few, key).union(rows.join(F.broadcast(keys.where(hot).select(key)), key, "left_anti").join(keys.where(~hot), key))
+
+
 def groups(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, counted: bool = False, report: dict | None = None
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, counted: bool = True, report: dict | None = None
 ) -> DataFrame:
     """id, group_id (the smallest id of its class) for every row.
 
-    counted: weigh a shingle by its occurrences; else each weighs 1 and the similarity is
-    that of sets, which lines repeated within a text don't blow up.
+    counted: weigh a shingle by its occurrences, so the similarity is that of weighted sets;
+    else each weighs 1.
     report: gets the numbers of comparisons and links.
     """
-    sketched, leads = lead_rows(docs, id_col, text_col, shingle, similarity, counted, report, nulls=False)
+    led = lead_rows(docs, id_col, text_col, shingle, similarity, counted, report, nulls=False)
     group = F.when(F.col("id").isNotNull(), F.coalesce("lead.id", "id"))
-    return sketched.join(leads, "content", "left").select(F.col("id").alias(id_col), group.alias("group_id"))
+    return led.select(F.col("id").alias(id_col), group.alias("group_id"))
 
 
-def lead_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, counted: bool, report: dict | None, nulls: bool) -> tuple[DataFrame, DataFrame]:
-    """The sketches, and content with lead (no_id, id, raw): the first row of the content's class.
+def lead_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, counted: bool, report: dict | None, nulls: bool) -> DataFrame:
+    """id, raw, lead (no_id, id, raw: the first row of the class) of every row.
 
-    nulls: rows without ids take part, after the others.
+    nulls: rows without ids take part, after the others; else their lead is null.
     """
     sketched = cut(sketch(docs, id_col, text_col, shingle, counted), "minhash-sketches")
     own = sketched if nulls else sketched.where("id IS NOT NULL")
     at = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "raw"))
-    distinct = cut(own.groupBy("content").agg(at.alias("at"), F.first("rep").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "minhash-contents")
+    distinct = cut(own.groupBy("content").agg(at.alias("at"), F.first("rep").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("held")), "minhash-contents")
     filed = distinct.where("n > 0").select("rep", "n", F.explode("bands").alias("band"))
-    buckets = filed.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("held")).where("held > 1")
-    members = cut(filed.join(buckets, "band").select("band", "rep", "n", "first", "held"), "minhash-buckets")
+    buckets = cut(filed.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("held")).where("held > 1"), "minhash-buckets")
+    n_rows = distinct.count()
+    members = cut(with_hot(filed, buckets, "band", n_rows).select("band", "rep", "n", "first", "held"), "minhash-members")
     pairs = members.where("rep <> first").select("rep", "first").distinct()
     reps = pairs.select(F.explode(F.array("rep", "first")).alias("rep")).distinct()
     rows = cut(distinct.join(reps, "rep", "left_semi").select(F.col("at.id").alias("at_id"), F.col("at.raw").alias("at_raw")), "minhash-candidates")
     small = rows.count() <= BROADCAST_IDS
-    held = cut(elements(docs, F.broadcast(rows) if small else rows, id_col, text_col, shingle, counted).groupBy("rep").agg(F.min(F.struct("e", "w")).alias("s")).select("rep", "s.e", "s.w"), "minhash-elements")
+    held = cut(elements(docs, F.broadcast(rows) if small else rows, id_col, text_col, shingle, counted).groupBy("rep").agg(F.min(F.struct("e", "w", "n")).alias("s")).select("rep", "s.*"), "minhash-elements")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -255,53 +271,64 @@ def lead_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar
             kept = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(kept), b.column("b").filter(kept)], ["a", "b"])
 
-    sides = pairs.join(held.toDF("rep", "ae", "aw"), "rep").join(held.toDF("first", "be", "bw"), "first")
+    sides = pairs.join(held.toDF("rep", "ae", "aw", "an"), "rep").join(held.toDF("first", "be", "bw", "bn"), "first")
     # the smaller over the larger weight bounds the similarity
-    sides = sides.where(F.least(F.length("ae"), F.length("be")) >= (0 if counted else similarity) * F.greatest(F.length("ae"), F.length("be")))
+    sides = sides.where(F.least("an", "bn") >= similarity * F.greatest("an", "bn"))
     star = cut(sides.select(F.col("rep").alias("a"), F.col("first").alias("b"), "ae", "aw", "be", "bw").mapInArrow(compare, "a long, b long"), "minhash-links")
     classes = components(star, "minhash-stars")
 
     # what is left: buckets of three and more in which classes still differ
-    labelled = members.where("held > 2").join(classes.toDF("rep", "class"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-    open_buckets = labelled.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("rows")).where("low <> high").select("band", "rows")
-    rest = labelled.join(open_buckets, "band").withColumn("n_blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+    labelled = cut(members.where("held > 2").select("band", "rep").join(classes.toDF("rep", "class"), "rep", "left").withColumn("class", F.coalesce("class", "rep")), "minhash-labelled")
+    open_buckets = labelled.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("held")).where("low <> high").select("band", "held")
+    rest = with_hot(labelled, cut(open_buckets, "minhash-open"), "band", n_rows)
+    rest = rest.withColumn("n_blocks", F.ceil(F.col("held") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "class")
-    rest = rest.join(held.toDF("rep", "e", "w"), "rep")
+    rest = rest.join(held.select("rep", "e", "w"), "rep")
 
     def compare_all(pdf: pd.DataFrame) -> pd.DataFrame:
         found = list(links([as_set(e, w) for e, w in zip(pdf["e"], pdf["w"], strict=True)], pdf["rep"].to_list(), pdf["class"].to_list(), similarity))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     more = cut(rest.groupBy("band", "i", "j").applyInPandas(compare_all, "a long, b long"), "minhash-more-links")
-    edges = star.union(more)
     if report is not None:
         report |= {"comparisons": pairs.count(), "links": star.count(), "more_links": more.count()}
-    classes = components(edges, "minhash-classes")
+    if not more.isEmpty():
+        # links between classes: only their ids are joined up again
+        a, b = classes.toDF("a", "ca"), classes.toDF("b", "cb")
+        between = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        joined = components(between, "minhash-classes").toDF("root", "to")
+        alone = joined.join(classes.select(F.col("id").alias("root")), "root", "left_anti")
+        classes = classes.join(joined, "root", "left").select("id", F.coalesce("to", "root").alias("root")).union(alone)
     linked = distinct.join(classes.toDF("rep", "class"), "rep").select("rep", "class", "at")
     first = linked.groupBy("class").agg(F.min("at").alias("first_at"))
     linked = linked.join(first, "class").select("rep", "first_at")
-    return sketched, distinct.join(linked, "rep", "left").select("content", F.coalesce("first_at", "at").alias("lead"))
+    leads = cut(distinct.join(linked, "rep", "left").select("content", "held", F.coalesce("first_at", "at").alias("lead")), "minhash-leads")
+    led = with_hot(own, leads, "content", n_rows).select("id", "raw", "lead")
+    if nulls:
+        return led
+    return led.union(sketched.where("id IS NULL").select("id", "raw", F.lit(None).cast(led.schema["lead"].dataType)))
 
 
 def keep_one(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, counted: bool = False, report: dict | None = None
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, counted: bool = True, report: dict | None = None
 ) -> DataFrame:
     """``docs`` with one row of each class: that with the smallest id, or without ids the smallest digest of its text; of rows that repeat both, that with the smallest hash."""
-    sketched, leads = lead_rows(docs, id_col, text_col, shingle, similarity, counted, report, nulls=True)
+    led = lead_rows(docs, id_col, text_col, shingle, similarity, counted, report, nulls=True)
+    at_id, at_raw, whole = fresh(docs, "at_id", "at_raw", "whole_row")
     stays = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("raw") == F.col("lead.raw"))
-    judged = sketched.join(leads, "content").groupBy(F.col("id").alias("__id"), F.col("raw").alias("__raw")).agg(F.first(stays).alias("stays"), F.count("*").alias("rows"))
-    judged = cut(judged.where("NOT stays OR rows > 1"), "minhash-gone")
-    gone, repeated = judged.where("NOT stays").select("__id", "__raw"), judged.where("stays").select("__id", "__raw")
+    judged = led.groupBy(F.col("id").alias(at_id), F.col("raw").alias(at_raw)).agg(F.first(stays).alias("stays"), F.count("*").alias("held"))
+    judged = cut(judged.where("NOT stays OR held > 1"), "minhash-gone")
+    gone, repeated = judged.where("NOT stays").select(at_id, at_raw), judged.where("stays").select(at_id, at_raw)
     own_id, own_raw = F.col(id_col).cast("long"), raw_digest(F.col(text_col).cast("string"))
 
     def match(some: DataFrame, n: int, how: str, rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(some) if n <= BROADCAST_IDS else some, own_id.eqNullSafe(F.col("__id")) & (own_raw == F.col("__raw")), how)
+        return rows.join(F.broadcast(some) if n <= BROADCAST_IDS else some, own_id.eqNullSafe(F.col(at_id)) & (own_raw == F.col(at_raw)), how)
 
     kept = match(gone, gone.count(), "left_anti", docs)
     n = repeated.count()
     if not n:
         return kept
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
-    one = match(repeated, n, "left_semi", kept).groupBy(own_id.alias("__id"), own_raw.alias("__raw")).agg(F.min_by(row, order).alias("__row")).select("__row.*")
+    row = F.struct(*map(named, docs.columns))
+    order = F.xxhash64(*[named(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    one = match(repeated, n, "left_semi", kept).groupBy(own_id.alias(at_id), own_raw.alias(at_raw)).agg(F.min_by(row, order).alias(whole)).select(f"{whole}.*")
     return match(repeated, n, "left_anti", kept).union(one)
