@@ -120,8 +120,15 @@ def synthetic_score(seed: int, text: Column | str, label: Column | str) -> Colum
 
 
 def first_difference(a: Column | str, b: Column | str) -> Column:
-    """Place (from 0) of the first character in which two texts differ, null for equal ones."""
+    """Of the first character in which two texts differ: its place ``at`` and its ``byte`` in UTF-8,
+    both from 0; null for equal ones. The end of the shorter text counts as a difference."""
     x, y = col(a), col(b)
     pieces = F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: p.eqNullSafe(q))
-    at = F.array_position(pieces, False)
-    return F.when(at > 0, at - 1)
+    at = (F.array_position(pieces, False) - 1).cast("int")
+    return F.when(x != y, F.struct(at.alias("at"), F.octet_length(F.left(x, at)).alias("byte")))
+
+
+def marker_count(text: Column | str, marker: str) -> Column:
+    """How often a marker, as that of a text's beginning, stands in a text."""
+    whole = col(text)
+    return ((F.length(whole) - F.length(F.replace(whole, F.lit(marker), F.lit("")))) / len(marker)).cast("int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from quorvia.functions.distributions import col
 
@@ -21,6 +22,11 @@ def strip(text: Column | str) -> Column:
     return F.regexp_replace(col(text), r"(?U)^\s+|\s+$", "")
 
 
+def is_blank(text: Column | str) -> Column:
+    """Null, or nothing but white space."""
+    return F.coalesce(strip(text) == "", F.lit(True))
+
+
 def canonical_option(option: Column | str) -> Column:
     """Stripped; null where nothing is left."""
     found = strip(option)
@@ -102,9 +108,23 @@ def latex_escape(text: Column | str) -> Column:
     return out
 
 
+def sorted_keys(c: Column, kind: DataType) -> Column:
+    """A nested value with the keys of its maps and the fields of its structs in order, at every depth."""
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: sorted_keys(x, kind.elementType))
+    if isinstance(kind, MapType):
+        entry = lambda k: F.struct(k.alias("key"), sorted_keys(F.try_element_at(c, k), kind.valueType).alias("value"))
+        return F.map_from_entries(F.transform(F.array_sort(F.map_keys(c)), entry))
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[sorted_keys(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]))
+    return c
+
+
 def csv_cell(x: Column | str, kind: str) -> Column:
-    """Null as nothing, booleans in lower case, nested values as compact JSON. kind: a type's simple string."""
+    """Null as nothing, booleans in lower case, nested values as compact JSON with sorted keys. kind: a type's simple string."""
+    from pyspark.sql.types import _parse_datatype_string
+
     c = col(x)
     if kind.startswith(("array", "map", "struct")):
-        c = F.to_json(c)
+        c = F.to_json(sorted_keys(c, _parse_datatype_string(kind)), {"ignoreNullFields": "false"})
     return F.coalesce(c.cast("string"), F.lit(""))

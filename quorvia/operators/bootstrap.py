@@ -7,9 +7,14 @@ metrics share the draws. Only cluster sums are shuffled, never units.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quorvia.sources.stored import stored
 
 
 def cluster_sums(long: DataFrame) -> DataFrame:
@@ -17,18 +22,15 @@ def cluster_sums(long: DataFrame) -> DataFrame:
     return long.groupBy("model_key", "metric", "question_id").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
 
 
-def clusters(sums: DataFrame) -> DataFrame:
-    """question_id and its place from 0 in sorted order, shared by all."""
-    return sums.select("question_id").distinct().select("question_id", (F.row_number().over(Window.orderBy("question_id")) - 1).alias("place"))
-
-
 def as_arrays(sums: DataFrame) -> DataFrame:
-    """model_key, metric, totals and counts as arrays in cluster order; clusters a series lacks are 0."""
-    order = F.array_sort(F.collect_list(F.struct("place", "total", "n")))
-    df = sums.join(F.broadcast(clusters(sums)), "question_id").groupBy("model_key", "metric").agg(order.alias("c"))
-    k = clusters(sums).agg(F.count("*").cast("int").alias("k"))
-    full = lambda f: F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.coalesce(F.get(F.filter("c", lambda x: x["place"] == i), F.lit(0))[f].cast("double"), F.lit(0.0)))
-    return df.crossJoin(F.broadcast(k)).select("model_key", "metric", full("total").alias("totals"), full("n").alias("counts"), "k")  # one row on the right
+    """model_key, metric, totals and counts as arrays in the sorted order of clusters; clusters a series lacks are 0."""
+    ids = sums.agg(F.array_sort(F.collect_set("question_id")).alias("ids"))
+    # every series at every cluster: one row of ids on the right, then filled and sorted
+    grid = sums.select("model_key", "metric").distinct().crossJoin(F.broadcast(ids)).select("model_key", "metric", F.explode("ids").alias("question_id"))
+    filled = grid.join(sums, ["model_key", "metric", "question_id"], "left")
+    cell = F.struct("question_id", F.coalesce("total", F.lit(0.0)).cast("double").alias("total"), F.coalesce("n", F.lit(0)).cast("double").alias("n"))
+    df = filled.groupBy("model_key", "metric").agg(F.array_sort(F.collect_list(cell)).alias("c"))
+    return df.select("model_key", "metric", F.col("c.total").alias("totals"), F.col("c.n").alias("counts"), F.size("c").alias("k"))
 
 
 def arithmetic_draws(spark: SparkSession, replicates: int, k: int, seed: int = 42) -> DataFrame:
@@ -38,19 +40,33 @@ def arithmetic_draws(spark: SparkSession, replicates: int, k: int, seed: int = 4
     return spark.range(replicates).select(F.col("id").alias("replicate")).withColumn("draw", F.transform(slots, place))
 
 
-def pcg64_draws(spark: SparkSession, replicates: int, k: int, seed: int = 42) -> DataFrame:
-    """NumPy's default generator: one matrix of replicates by clusters, made on the driver."""
-    import numpy as np
+def pcg64_draws(spark: SparkSession, replicates: int, k: int, seed: int = 42, at_once: int = 1000) -> DataFrame:
+    """NumPy's default generator: one matrix of replicates by clusters, a range of rows in each task.
+
+    Drawn numbers can't be skipped without being drawn, so a task runs through those before its own.
+    """
+    ranges = -(-replicates // at_once)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first in (batch["id"] * at_once).tolist():
+                stream = np.random.default_rng(seed)
+                before = first * k
+                while before:
+                    n = min(before, 1 << 20)
+                    stream.integers(0, k, size=n)
+                    before -= n
+                rows = stream.integers(0, k, size=(min(at_once, replicates - first), k)).astype("int32")
+                yield pd.DataFrame({"replicate": np.arange(first, first + len(rows)), "draw": list(rows)})
 
-    matrix = np.random.default_rng(seed).integers(0, k, size=(replicates, k)).astype("int32")
-    return spark.createDataFrame(list(enumerate(matrix.tolist())), "replicate long, draw array<int>")
+    return spark.range(0, ranges, 1, min(ranges, 200)).mapInPandas(run, "replicate long, draw array<int>")
 
 
 def replicate_values(arrays: DataFrame, draws: DataFrame) -> DataFrame:
-    """model_key, metric, replicate, value: every series at every draw (series are few and broadcast)."""
+    """model_key, metric, replicate, value: every series at every draw."""
     total = F.aggregate("draw", F.lit(0.0), lambda a, i: a + F.get("totals", i))
     count = F.aggregate("draw", F.lit(0.0), lambda a, i: a + F.get("counts", i))
-    return draws.crossJoin(F.broadcast(arrays)).select("model_key", "metric", "replicate", F.try_divide(total, count).alias("value"))
+    return draws.crossJoin(arrays).select("model_key", "metric", "replicate", F.try_divide(total, count).alias("value"))
 
 
 def bootstrap(long: DataFrame, *, replicates: int = 10_000, confidence: float = 0.95, seed: int = 42, draws: str = "pcg64") -> DataFrame:
@@ -61,10 +77,10 @@ def bootstrap(long: DataFrame, *, replicates: int = 10_000, confidence: float =
     if replicates < 1 or not 0 < confidence < 1 or draws not in ("pcg64", "arithmetic"):
         raise ValueError("at least one replicate, a confidence between 0 and 1, and known draws are needed")
     spark = long.sparkSession
-    sums = cluster_sums(long)
+    sums = stored(cluster_sums(long), "cluster-sums")
     k = sums.select("question_id").distinct().count()
     made = (pcg64_draws if draws == "pcg64" else arithmetic_draws)(spark, replicates, max(k, 1), seed)
-    values = replicate_values(as_arrays(sums), made)
+    values = replicate_values(stored(as_arrays(sums), "cluster-arrays"), made)
     tail = (1 - confidence) / 2
     bounds = F.percentile("value", F.array(F.lit(tail), F.lit(1 - tail)))
     spread = values.groupBy("model_key", "metric").agg(bounds.alias("b"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("se"))

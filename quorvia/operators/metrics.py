@@ -30,10 +30,11 @@ def with_references(units: DataFrame, cells: DataFrame) -> DataFrame:
     return units.join(label, ["question_id", "label_country"]).join(evidence, ["question_id", "evidence_country"])
 
 
-def unit_metrics(units: DataFrame) -> DataFrame:
+def unit_metrics(units: DataFrame, strict: bool = False) -> DataFrame:
     """The six divergences once, as columns, and from them all metrics and the class.
 
     units: keys, a column for each condition, label_reference, evidence_reference.
+    strict: raise where rounding takes a divergence out of its range.
     """
     apart = {
         "jsd_baseline": ("baseline", "label_reference"),
@@ -43,7 +44,7 @@ def unit_metrics(units: DataFrame) -> DataFrame:
         "jsd_conflict_evidence": ("conflict", "evidence_reference"),
         "jsd_references": ("label_reference", "evidence_reference"),
     }
-    df = units.withColumns({name: js_divergence(a, b) for name, (a, b) in apart.items()})
+    df = units.withColumns({name: js_divergence(a, b, strict) for name, (a, b) in apart.items()})
     df = df.withColumns(
         {
             "country_influence": F.col("jsd_baseline") - F.col("jsd_label"),

@@ -6,14 +6,15 @@ few of them, after all rules have been looked at.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorvia.functions.distributions import distribution_fault
+from quorvia.functions.distributions import distribution_fault, distributions_close, evidence_override_normalized, label_map, map_label_probabilities, normalize_log_scores, option_labels
 from quorvia.functions.prompts import CONDITIONS
-from quorvia.operators.metrics import TARGET, UNIT
+from quorvia.functions.text import canonical_option, directed_unit_id, is_blank, target_unit_id, text_hash
+from quorvia.operators.metrics import DIRECTED_METRICS, TARGET, TARGET_METRICS, UNIT
 from quorvia.operators.pairs import missing_reciprocals
 
 VIOLATIONS = "rule string, key string"
@@ -27,6 +28,12 @@ def flagged(df: DataFrame, rule: str, *key: Column | str) -> DataFrame:
     return df.select(F.lit(rule).alias("rule"), as_key(*key).alias("key"))
 
 
+def failing(df: DataFrame, rules: Mapping[str, Column], *key: Column | str) -> DataFrame:
+    """Rows that break rules, all looked at in one pass. rules: what is wrong, by name; unknown counts as wrong."""
+    names = F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules.items()]), lambda n: n.isNotNull())
+    return df.select(F.explode(names).alias("rule"), as_key(*key).alias("key"))
+
+
 def duplicates(df: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
     return flagged(df.groupBy(*keys).count().where("count > 1"), rule, *keys)
 
@@ -89,6 +96,180 @@ def inconstant(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Dat
     return df.groupBy(*keys).agg(F.count_distinct(F.struct(*values)).alias("n")).where("n > 1").select(*keys, "n")
 
 
+#: Where predictions must come from.
+BACKEND, SCORING_METHOD = "llama.cpp", "full_contextual_option_label_sequence_log_probability"
+
+
+def origin_rules(predictions: DataFrame, questions: DataFrame, *, backend: str = BACKEND, scoring_method: str = SCORING_METHOD, rows_per_model: int | None = None) -> DataFrame:
+    """Predictions of a real run: backend and scoring as named, not synthetic, no generated answer,
+    of known questions, and as many of each model as asked for."""
+    key = [*UNIT, "condition"]
+    rules = {"synthetic": F.col("synthetic"), "backend": F.col("backend") != backend, "scoring method": F.col("scoring_method") != scoring_method}
+    if "generated_answer" in predictions.columns:
+        rules["generated answer"] = F.col("generated_answer").isNotNull()
+    found = [failing(predictions, rules, *key), missing(predictions, questions, ["question_id"], "unknown question")]
+    if rows_per_model is not None:
+        found.append(flagged(predictions.groupBy("model_key").count().where(F.col("count") != rows_per_model), "rows of model", "model_key", "count"))
+    return gather(*found)
+
+
+def row_rules(rows: DataFrame, *, temperature: float = 1.0, tolerance: float = 1e-9, sum_tolerance: float = 1e-8, conditions: Sequence[str] = CONDITIONS) -> DataFrame:
+    """The contract of a single result row, apart from all others.
+
+    rows: model_key, question_id, label_country, evidence_country, condition, unit_id,
+    target_unit_id (texts), options, displayed (arrays), label_to_option, label_probabilities,
+    label_log_scores, prediction, label_reference, evidence_reference, presented_evidence
+    (maps), evidence_presented, prompt, prompt_sha256.
+
+    Ids follow from their parts; the displayed options are the options in another order and
+    give the label map; log scores normalise to the label probabilities, and these, by the map,
+    to the prediction; the prompt has its hash; evidence is there in its two conditions only,
+    and is the label's reference or, in a conflict, the other population's.
+    """
+    texts = ("model_key", "question_id", "label_country", "evidence_country", "unit_id", "target_unit_id", "prompt")
+    options, displayed = F.col("options"), F.col("displayed")
+    labels = option_labels(F.least(F.greatest(F.size(displayed), F.lit(1)), F.lit(26)))
+    presents = F.col("condition").isin("population_evidence", "conflict")
+    source = F.when(F.col("condition") == "conflict", F.col("evidence_reference")).otherwise(F.col("label_reference"))
+    ordered = lambda m: F.transform(labels, lambda x: F.try_element_at(F.col(m), x))
+    as_map = lambda m: F.map_from_arrays(labels, m)
+    odd = {m: distribution_fault(m, options, sum_tolerance).isNotNull() for m in ("prediction", "label_reference", "evidence_reference")}
+    usable = F.coalesce((F.size(options) >= 2) & (F.size(options) <= 26) & (F.size(F.array_distinct(options)) == F.size(options)) & F.forall(options, lambda o: ~is_blank(o)), F.lit(False))
+    shown = F.coalesce((F.size(displayed) == F.size(options)) & (F.size(F.array_except(options, displayed)) == 0), F.lit(False))
+    scored = F.coalesce((F.size("label_log_scores") == F.size(labels)) & F.forall(ordered("label_log_scores"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
+    certain = distribution_fault("label_probabilities", labels, sum_tolerance).isNull()
+    # what builds on a broken part is not looked at
+    after = lambda ok, bad: F.when(ok, bad).otherwise(F.lit(False))
+    rules = {
+        **{f"{t} missing": is_blank(F.col(t)) for t in texts},
+        "self pair": F.col("label_country") == F.col("evidence_country"),
+        "unit id": F.col("unit_id") != directed_unit_id(*UNIT[1:]),
+        "target unit id": F.col("target_unit_id") != target_unit_id("question_id", "label_country"),
+        "unknown condition": ~F.col("condition").isin(*conditions),
+        "options": ~usable,
+        "displayed options": after(usable, ~shown),
+        "label map": after(usable & shown, ~map_equal("label_to_option", label_map(displayed))),
+        "log scores": after(usable & shown, ~scored),
+        "label probabilities": after(usable & shown, ~certain),
+        "softmax": after(usable & shown & scored & certain, ~distributions_close("label_probabilities", as_map(normalize_log_scores(ordered("label_log_scores"), temperature)), tolerance)),
+        **{f"{m} distribution": after(usable, bad) for m, bad in odd.items()},
+        "prompt hash": F.col("prompt_sha256") != text_hash("prompt"),
+        "evidence flag": F.col("evidence_presented") != presents,
+        "evidence without condition": ~presents & F.col("presented_evidence").isNotNull(),
+        "presented evidence": after(presents, ~F.coalesce(distributions_close("presented_evidence", source, tolerance), F.lit(False))),
+        "round trip": after(usable & shown & certain & ~odd["prediction"], ~distributions_close("prediction", map_label_probabilities(labels, ordered("label_probabilities"), "label_to_option"), tolerance)),
+    }
+    return failing(rows, rules, *UNIT, "condition")
+
+
+def map_equal(a: Column | str, b: Column) -> Column:
+    """Whether two maps hold the same entries."""
+    return F.coalesce(F.array_sort(F.map_entries(a)) == F.array_sort(F.map_entries(b)), F.lit(False))
+
+
+#: What the metadata of a result document must say.
+UNIT_KEY, JSD_BASE = ["question_id", "country", "conflict_country"], 2
+DATA_ARTIFACTS = {"dataset", "pair_manifest", "source_dataset", "repair_summary"}
+RUNTIME_FACTS = {"chat template not used": lambda r: r.get("use_chat_template") is True, "chat template hash missing": lambda r: bool(r.get("chat_template_sha256"))}
+
+
+def metadata_faults(metadata: Mapping, *, scoring_method: str = SCORING_METHOD, allow_synthetic: bool = False, conditions: Sequence[str] = CONDITIONS) -> list[str]:
+    """What is wrong with the metadata of one result document: a text for each fault, none if it is sound."""
+    if not isinstance(metadata, Mapping):
+        return ["metadata is no object"]
+    models, synthetic, scientific = (metadata.get(k) for k in ("models", "synthetic_backend", "scientific_inference"))
+    named = isinstance(models, list) and bool(models) and all(isinstance(m, str) and m for m in models) and len(set(models)) == len(models)
+    wrong = {
+        "scoring method": metadata.get("scoring_method") != scoring_method,
+        "directed unit key": metadata.get("directed_unit_key") != UNIT_KEY,
+        "divergence base": metadata.get("jensen_shannon_base") != JSD_BASE,
+        "inference flags": not (isinstance(synthetic, bool) and isinstance(scientific, bool) and synthetic != scientific),
+        "synthetic results": synthetic is True and not allow_synthetic,
+        "conditions": metadata.get("conditions") != list(conditions),
+        "models": not named,
+    }
+    found = [k for k, bad in wrong.items() if bad]
+    if scientific is not True:
+        return found
+    sound = lambda x: isinstance(x, Mapping) and x.get("status") == "present" and bool(x.get("sha256"))
+    artifacts, runtimes = metadata.get("data_artifacts"), metadata.get("model_runtime")
+    found += ["package lock"] * (not sound(metadata.get("package_lock")))
+    if not isinstance(artifacts, Mapping) or set(artifacts) != DATA_ARTIFACTS:
+        found.append("data artifacts")
+    else:
+        found += [f"data artifact {k}" for k, v in sorted(artifacts.items()) if not sound(v)]
+    if not isinstance(runtimes, Mapping) or not named or set(runtimes) != set(models):
+        return [*found, "model runtimes"]
+    for m in models:
+        found += [f"{m}: {name}" for name, fine in RUNTIME_FACTS.items() if not fine(runtimes[m])]
+        found += [f"{m}: {part} revision" for part in ("model", "tokenizer") if runtimes[m].get(f"requested_{part}_revision") != runtimes[m].get(f"resolved_{part}_revision")]
+    return found
+
+
+def dataset_rules(questions: DataFrame, samples: DataFrame) -> DataFrame:
+    """A repaired survey: usable options, named samples, sound distributions, two samples or more.
+
+    questions: question_id, options; samples: question_id, country, distribution (map).
+    """
+    canonical = F.transform("options", canonical_option)
+    usable = (F.size(canonical) >= 2) & (F.size(F.array_distinct(canonical)) == F.size(canonical)) & F.forall(canonical, lambda o: o.isNotNull())
+    known = questions.select("question_id", canonical.alias("own"))
+    joined = samples.join(known, "question_id", "left")
+    n = questions.select("question_id").join(samples.groupBy("question_id").agg(F.count_distinct("country").alias("n")), "question_id", "left")
+    return gather(
+        failing(questions, {"options": ~usable}, "question_id"),
+        failing(joined, {"sample name": is_blank(F.col("country")), "sample of unknown question": F.col("own").isNull(), "distribution": F.col("own").isNotNull() & distribution_fault("distribution", "own").isNotNull()}, "question_id", "country"),
+        flagged(n.where("coalesce(n, 0) < 2"), "fewer than two samples", "question_id"),
+    )
+
+
+def pair_rules(manifest: DataFrame, questions: DataFrame, samples: DataFrame) -> DataFrame:
+    """Pairs of a manifest against a survey: fields that are there, known questions and samples, the same options."""
+    key = UNIT[1:]
+    canonical = lambda c: F.transform(c, canonical_option)
+    rules = {f"{k} missing": is_blank(F.col(k)) for k in key}
+    known = samples.select("question_id", "country")
+    found = [failing(manifest, rules, *key), duplicates(manifest, key, "duplicate pair"), flagged(manifest.where("label_country = evidence_country"), "self pair", *key), missing(manifest, questions, ["question_id"], "unknown question")]
+    found += [missing(manifest, known.toDF("question_id", side), ["question_id", side], f"unknown {side}") for side in key[1:]]
+    if "options" in manifest.columns:
+        both = manifest.where("options IS NOT NULL").join(questions.select("question_id", canonical("options").alias("own")), "question_id")
+        found.append(flagged(both.where(~canonical("options").eqNullSafe(F.col("own"))), "other options", *key))
+    return gather(*found)
+
+
+def domain_rules(units: DataFrame, domains: DataFrame) -> DataFrame:
+    """Questions without a domain, or with several."""
+    return gather(missing(units, domains, ["question_id"], "question without domain"), duplicates(domains.distinct(), ["question_id"], "question with several domains"))
+
+
+def distinct_reference_rules(metrics: DataFrame) -> DataFrame:
+    """Pairs whose two references are equal: no normalised override is defined for them."""
+    return flagged(metrics.where("jsd_references = 0"), "equal references", *UNIT)
+
+
+def cluster_rules(targets: DataFrame, directed: DataFrame, models: Sequence[str]) -> DataFrame:
+    """What a clustered bootstrap needs: named, finite, unique rows of known models, no self pairs,
+    both directions, targets for all ends and ends for all targets, the same units in every model."""
+    finite = lambda m: F.col(m).isNull() | F.isnan(m) | (F.abs(m) == float("inf"))
+    row = lambda keys, metrics: {f"{k} missing": is_blank(F.col(k)) for k in keys} | {f"{m} not finite": finite(m) for m in metrics} | {"unknown model": ~F.col("model_key").isin(*models)}
+    back = directed.select("model_key", "question_id", F.col("evidence_country").alias("label_country"), F.col("label_country").alias("evidence_country"))
+
+    def lacking(df: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
+        n = df.where(F.col("model_key").isin(*models)).groupBy(*keys).agg(F.count_distinct("model_key").alias("n"))
+        return flagged(n.where(F.col("n") != len(models)), rule, *keys)
+
+    return gather(
+        failing(targets, row(TARGET, TARGET_METRICS), *TARGET),
+        failing(directed, row(UNIT, DIRECTED_METRICS) | {"self pair": F.col("label_country") == F.col("evidence_country")}, *UNIT),
+        duplicates(targets, TARGET, "duplicate target"),
+        duplicates(directed, UNIT, "duplicate unit"),
+        missing(back, directed, UNIT, "missing reciprocal"),
+        endpoint_rules(directed, targets),
+        lacking(targets, TARGET[1:], "target not in all models"),
+        lacking(directed, UNIT[1:], "unit not in all models"),
+    )
+
+
 def target_rules(targets: DataFrame) -> DataFrame:
     return flagged(targets.where(~F.col("invariant")), "target metric varies with its partner", *TARGET)
 
@@ -141,8 +322,6 @@ def first_word_rules(rows: DataFrame) -> DataFrame:
 
 def endpoint_orientation(units: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     """The override of the references themselves: 1 for the evidence's, -1 for the label's."""
-    from quorvia.functions.distributions import evidence_override_normalized
-
     at = lambda c: evidence_override_normalized(c, label="label_reference", evidence="evidence_reference")
     wrong = (F.abs(at("evidence_reference") - 1) > tolerance) | (F.abs(at("label_reference") + 1) > tolerance)
     return flagged(units.where(F.coalesce(wrong, F.lit(True))), "endpoint orientation", "question_id", "label_country", "evidence_country")

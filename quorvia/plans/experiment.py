@@ -21,7 +21,8 @@ from quorvia.operators.bootstrap import bootstrap
 from quorvia.operators.metrics import METRICS, UNIT, condition_pivot, conflict_classes, directed_units, long_metrics, metric_summary, target_units, unit_metrics, with_references
 from quorvia.operators.resume import fingerprint
 from quorvia.operators.summaries import agreement_by_unit, agreement_summary, extreme_cases, main_metrics, stratified_metrics
-from quorvia.operators.validation import endpoint_rules, gather, manifest_rules, prediction_rules, reference_rules, require, target_rules
+from quorvia.operators.validation import cluster_rules, distinct_reference_rules, domain_rules, gather, manifest_rules, prediction_rules, reference_rules, require, target_rules
+from quorvia.sources.stored import stored
 
 
 def native_scorer(seed: int) -> Callable[[DataFrame], DataFrame]:
@@ -86,13 +87,24 @@ def predict(prompts: DataFrame, scorer: Callable[[DataFrame], DataFrame], model_
     return df.withColumns({"model_key": F.lit(model_key), "p": recover_canonical("prediction", "options"), "raw_scores": F.map_from_arrays("labels", "scores")})
 
 
-def analyse(predictions: DataFrame, cells: DataFrame, manifest: DataFrame, domains: DataFrame, models: list[str], *, replicates: int = 10_000, seed: int = 42, draws: str = "pcg64", strict: bool = True) -> dict[str, DataFrame]:
-    """All tables of the cross-model analysis. strict: raise on any violation; else they are a table."""
-    violations = gather(manifest_rules(manifest, cells), prediction_rules(predictions, manifest, models=models))
-    units = with_references(condition_pivot(predictions), cells)
-    metrics = unit_metrics(units)
-    targets, directed = target_units(metrics), directed_units(metrics)
-    violations = gather(violations, target_rules(targets), endpoint_rules(directed, targets), reference_rules(units))
+def analyse(predictions: DataFrame, cells: DataFrame, manifest: DataFrame, domains: DataFrame, models: list[str], *, lone_model: str | None = None, replicates: int = 10_000, seed: int = 42, draws: str = "pcg64", strict: bool = True) -> dict[str, DataFrame]:
+    """All tables of the cross-model analysis. strict: raise on any violation; else they are a table.
+
+    lone_model: the model of which the agreement summary says how often it is alone on the label's side.
+    """
+    units = stored(with_references(condition_pivot(predictions), cells), "units")
+    metrics = stored(unit_metrics(units, strict=strict), "unit-metrics")
+    targets, directed = stored(target_units(metrics), "targets"), directed_units(metrics)
+    violations = gather(
+        manifest_rules(manifest, cells),
+        prediction_rules(predictions, manifest, models=models),
+        target_rules(targets),
+        reference_rules(units),
+        distinct_reference_rules(metrics),
+        domain_rules(manifest, domains),
+        cluster_rules(targets, directed, models),
+    )
+    violations = stored(violations, "violations")
     if strict:
         require(violations)
     long = long_metrics(targets, directed)
@@ -107,7 +119,7 @@ def analyse(predictions: DataFrame, cells: DataFrame, manifest: DataFrame, domai
         "conflict_classification": conflict_classes(directed),
         "metric_summary": metric_summary(long),
         "cross_model_agreement_by_unit": by_unit,
-        "cross_model_agreement_summary": agreement_summary(by_unit, models, models[-1]),
+        "cross_model_agreement_summary": agreement_summary(by_unit, models, lone_model),
         "illustrative_cases": extreme_cases(by_unit),
         "source_stratified_metrics": stratified_metrics(targets, directed, domains),
     }

@@ -96,10 +96,11 @@ ALIAS = "'Q0006','Q0193','Q0280','Q0391','Q0545','Q0719','Q1133'"
 
 EXPORT = rf"""
 rawcell AS (SELECT printf('Q%04d', CASE o_custkey % 60 WHEN 50 THEN 311 WHEN 51 THEN 550 ELSE 1 + 5 * (o_custkey % 60) END) AS question_id,
-    n_name || CASE n_nationkey % 7 WHEN 1 THEN ' (Non-national sample)' WHEN 2 THEN ' (Old national sample)' WHEN 3 THEN ' (Current national sample)' ELSE '' END AS country,
-    n_nationkey AS place, CASE WHEN o_orderpriority LIKE '4%' THEN 'Don''t know' WHEN o_orderpriority LIKE '5%' AND o_custkey % 60 % 17 = 0 THEN 'Total N='
+    n_name || CASE WHEN o_custkey % 60 = 9 AND n_nationkey > 0 THEN ' (Old national sample)' ELSE CASE n_nationkey % 7 WHEN 1 THEN ' (Non-national sample)' WHEN 2 THEN ' (Old national sample)' WHEN 3 THEN ' (Current national sample)' ELSE '' END END AS country,
+    n_nationkey AS place, CASE WHEN o_orderpriority LIKE '4%' THEN 'Don''t know' WHEN o_custkey % 60 = 7 THEN 'Only' WHEN o_custkey % 60 = 8 AND o_orderpriority LIKE '3%' THEN 'Low' WHEN o_orderpriority LIKE '5%' AND o_custkey % 60 % 17 = 0 THEN 'Total N='
       WHEN o_orderpriority LIKE '5%' THEN '  Low ' ELSE substr(o_orderpriority, 3) END AS option, CAST(count(*) AS DOUBLE) AS value
-  FROM orders JOIN nation ON n_nationkey = o_orderkey % 9 GROUP BY ALL),
+  FROM orders JOIN nation ON n_nationkey = o_orderkey % 9
+  WHERE (CASE o_custkey % 60 WHEN 50 THEN 311 WHEN 51 THEN 550 ELSE 1 + 5 * (o_custkey % 60) END) % 11 <> 0 OR n_nationkey <> 4 OR o_orderpriority NOT LIKE '1%' GROUP BY ALL),
 opts AS (SELECT DISTINCT question_id, option FROM rawcell),
 samp AS (SELECT DISTINCT question_id, country, place FROM rawcell),
 full_cell AS (SELECT s.question_id, s.country, s.place, trim(o.option) AS option,
@@ -110,7 +111,7 @@ full_cell AS (SELECT s.question_id, s.country, s.place, trim(o.option) AS option
 ruled AS (SELECT question_id, count(*) AS n_options, CASE
     WHEN question_id IN ({MIXED}) THEN 'known_mixed_schema' WHEN question_id IN ({ALIAS}) THEN 'alias_mapping_requires_review'
     WHEN question_id = 'Q0550' THEN 'country_specific_placeholder_unresolved' WHEN question_id IN ('Q0311', 'Q0475', 'Q1124') THEN 'relative_time_without_survey_wave'
-    WHEN count(*) < 2 THEN 'invalid_options'
+    WHEN count(*) < 2 OR count(DISTINCT trim(option)) < count(*) THEN 'invalid_options'
     WHEN bool_or(regexp_matches(lower(trim(option)), '^total\s+n\s*=\s*$')) THEN 'table_total_parser_artifact'
     WHEN count(*) FILTER (NOT regexp_matches(lower(trim(option)), '{NONRESPONSE.replace("'", "''")}')) < 2 THEN 'fewer_than_two_substantive_options' END AS reason
   FROM opts GROUP BY question_id),
@@ -196,7 +197,7 @@ SQL = {
                 ("one_evidence_otherwise_label", "label_side_models = 4"),
                 ("splits_of_one_total", "evidence_side_models = 4 OR label_side_models = 4"),
                 ("even_splits", "evidence_side_models = 2 AND label_side_models = 2"),
-                ("lone_label_side", "classification_MACHINERY = 'label-side' AND classification_AUTOMOBILE = 'evidence-side' AND classification_BUILDING = 'evidence-side' AND classification_FURNITURE = 'evidence-side' AND classification_HOUSEHOLD = 'evidence-side'"),
+                ("MACHINERY_only_label_side", "classification_MACHINERY = 'label-side' AND classification_AUTOMOBILE = 'evidence-side' AND classification_BUILDING = 'evidence-side' AND classification_FURNITURE = 'evidence-side' AND classification_HOUSEHOLD = 'evidence-side'"),
             )
         ),
     ),
@@ -229,7 +230,10 @@ FROM (SELECT 't' AS grain, model_key, question_id, country_influence, evidence_i
     "format_evidence": query(TICKS, "SELECT question_id, country, evidence, string_split(evidence, ', ')[1] || ', ' || string_split(evidence, ', ')[2] AS incomplete FROM lines"),
     "prompt_hash": query(TICKS, f"SELECT question_id, country, sha256({_PROMPT}) AS prompt_sha256 FROM lines"),
     "chat_serialize": "SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) AS prompt FROM conversations GROUP BY conv_id",
-    "violations_report": query(PREDICTIONS, "SELECT 'unknown pair' AS rule, question_id || '|' || label_country || '|' || evidence_country AS key FROM (SELECT DISTINCT question_id, label_country, evidence_country FROM wide WHERE label_country >= 'NATION_2') UNION ALL SELECT 'unequal coverage', question_id || '|' || label_country || '|' || evidence_country || '|' || condition FROM (SELECT DISTINCT question_id, label_country, evidence_country FROM wide) CROSS JOIN (VALUES ('baseline'), ('country_label'), ('population_evidence'), ('conflict')) c(condition)"),
+    "violations_report": query(PREDICTIONS, "SELECT 'unknown pair' AS rule, question_id || '|' || label_country || '|' || evidence_country AS key FROM (SELECT DISTINCT question_id, label_country, evidence_country FROM wide WHERE label_country >= 'NATION_2') UNION ALL SELECT 'unequal coverage', question_id || '|' || label_country || '|' || evidence_country || '|' || condition FROM (SELECT DISTINCT question_id, label_country, evidence_country FROM wide) CROSS JOIN (VALUES ('baseline'), ('country_label'), ('population_evidence'), ('conflict')) c(condition)"
+        " UNION ALL SELECT DISTINCT 'duplicate row', concat_ws('|', model_key, question_id, label_country, evidence_country, 'baseline') FROM wide WHERE model_key = 'AUTOMOBILE' AND label_country LIKE '%0'"
+        " UNION ALL SELECT DISTINCT 'incomplete conditions', concat_ws('|', model_key, question_id, label_country, evidence_country) FROM wide WHERE model_key = 'BUILDING' AND label_country LIKE '%3'"
+        " UNION ALL SELECT DISTINCT 'distribution: sum', concat_ws('|', model_key, question_id, label_country, evidence_country, 'country_label') FROM wide WHERE model_key = 'FURNITURE' AND label_country LIKE '%5'"),
     "synthetic_scores": query(PAIRS, f"SELECT unit_id, label, {r('-4.0 + 4.0 * (CAST(CAST(' + chr(39) + '0x' + chr(39) + " || substr(sha256('7' || chr(0) || unit_id || chr(0) || label), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551615.0)", 9, 'score')} FROM manifest CROSS JOIN (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) l(label)"),
     "stable_seed": query(PAIRS, "SELECT unit_id, CAST(CAST('0x' || substr(sha256('42' || chr(0) || unit_id), 1, 16) AS UBIGINT) AS VARCHAR) AS seed FROM manifest"),
     "props_json": "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type",
