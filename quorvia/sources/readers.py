@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from quorvia.functions.text import canonical_condition, directed_unit_id, strip
 from quorvia.sources.schemas import DATASET, MANIFEST, PREDICTION
 
 
@@ -29,9 +31,9 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: str, stri
         return spark.read.schema(schema).json(path)
     paths = [path] if isinstance(path, str) else list(path)
     lines = spark.read.text(paths)
-    text = F.trim("value")
+    text = strip("value")
     fault = F.when(F.length(text) == 0, "blank line").when(~text.startswith("{"), "not an object")
-    parsed = F.from_json("value", f"STRUCT<{colons(schema)}>", {"mode": "FAILFAST"})
+    parsed = F.from_json(text, f"STRUCT<{colons(schema)}>", {"mode": "FAILFAST"})
     row = F.when(fault.isNull(), parsed).otherwise(F.raise_error(F.concat(F.lit("bad JSON line: "), fault)))
     return lines.select(row.alias("row")).select("row.*")
 
@@ -44,17 +46,26 @@ def colons(schema: str) -> str:
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, place (order within the file), line, fault of every line that is no JSON object."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
-    text = F.trim("line")
-    parsed = F.try_parse_json("line")
+    """file, number (of the line in its file, from 1), line, fault of every line that is no JSON object.
+
+    Lines are numbered within the split they are read from, and splits follow each other by
+    their lines' count, so a large file is numbered by many tasks.
+    """
+    split = ["file", "split"]
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("order"), F.col("value").alias("line"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = lines.groupBy(*split).agg(F.count("*").alias("n")).select(*split, before.alias("before"))
+    numbered = lines.withColumn("number", F.row_number().over(Window.partitionBy(*split).orderBy("order")))
+    text = strip("line")
+    parsed = F.try_parse_json(text)
     fault = F.when(F.length(text) == 0, "blank line").when(parsed.isNull(), "no JSON").when(~text.startswith("{"), "not an object")
-    return lines.withColumn("fault", fault).where("fault IS NOT NULL")
+    faulty = numbered.withColumn("fault", fault).where("fault IS NOT NULL").join(sizes, split)
+    return faulty.select("file", (F.col("number") + F.col("before")).alias("number"), "line", "fault")
 
 
 def line_count(spark: SparkSession, path: str) -> int:
     """Lines that are not blank."""
-    return spark.read.text(path).where(F.trim("value") != "").count()
+    return spark.read.text(path).where(strip("value") != "").count()
 
 
 def read_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -67,16 +78,26 @@ def read_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Directed pairs with label_country and evidence_country; a missing unit id is made."""
-    from quorvia.functions.text import directed_unit_id
-
     df = spark.read.schema(MANIFEST).json(path, multiLine=True)
     df = df.withColumnsRenamed({"country": "label_country", "conflict_country": "evidence_country"})
     return df.withColumn("unit_id", F.coalesce("unit_id", directed_unit_id("question_id", "label_country", "evidence_country")))
 
 
 def read_predictions(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Harmonised predictions of one or several models."""
-    return read_jsonl(spark, paths, PREDICTION)
+    """Harmonised predictions of one or several models; conditions by their canonical names."""
+    return read_jsonl(spark, paths, PREDICTION).withColumn("condition", canonical_condition("condition"))
+
+
+def harmonized(raw: DataFrame, model_key: str, display_name: str, domains: DataFrame) -> DataFrame:
+    """Raw result rows of one model in the shared layout: its key and name, the questions'
+    domains, canonical conditions; fields that a run didn't write are null."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    layout = _parse_datatype_string(PREDICTION)
+    given = {"model_key": F.lit(model_key), "model_name": F.lit(display_name), "condition": canonical_condition("condition")}
+    df = raw.drop("domain").join(domains.select("question_id", "domain"), "question_id", "left")
+    own = set(df.columns)
+    return df.select(*[(given.get(f.name, F.col(f.name)) if f.name in given or f.name in own else F.lit(None)).cast(f.dataType).alias(f.name) for f in layout])
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
@@ -125,3 +146,29 @@ def select_models(models: DataFrame, names: Sequence[str]) -> DataFrame:
     if found:
         raise ValueError(f"unknown models: {[r['name'] for r in found]}")
     return models.join(F.broadcast(wanted), "name").orderBy("position")
+
+
+def runtime_records(spark: SparkSession, paths: Mapping[str, str], schema: str) -> DataFrame:
+    """model, runtime: one record for each model, from documents ``{"runtime": {...}}``; a missing one is an error."""
+    found = None
+    for model, path in sorted(paths.items()):
+        one = read_json(spark, path, f"STRUCT<runtime: {schema}>").select(F.lit(model).alias("model"), F.coalesce("value.runtime", F.raise_error(F.lit(f"malformed runtime record: {path}"))).alias("runtime"))
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        raise ValueError("no model is named")
+    return found
+
+
+def file_identity(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """path, status (present or missing), sha256, bytes of each path asked for."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    there = [p for p in paths if jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(p))]
+    asked = spark.createDataFrame([(p, p in there) for p in paths], "path string, there boolean")
+    status = F.when(F.col("there"), "present").otherwise("missing").alias("status")
+    if not there:
+        return asked.select("path", status, F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("long").alias("bytes"))
+    held = None
+    for p in there:  # as many as are asked for
+        one = spark.read.format("binaryFile").load(p).select(F.lit(p).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").cast("long").alias("bytes"))
+        held = one if held is None else held.unionByName(one)
+    return asked.join(held, "path", "left").select("path", status, "sha256", "bytes")

@@ -6,8 +6,10 @@ stream through the driver in order.
 
 from __future__ import annotations
 
+import csv
 import gzip
 import hashlib
+import io
 import json
 import math
 import os
@@ -84,8 +86,6 @@ def write_json_document(value, path: str | Path) -> None:
 
 def write_stable_jsonl(df: DataFrame, path: str | Path, order: Sequence[str]) -> str:
     """One gzip file with the same bytes for the same rows; gives its SHA-256. Rows stream in order."""
-    import io
-
     held = io.BytesIO()
     with gzip.GzipFile(filename="", mode="wb", fileobj=held, compresslevel=9, mtime=0) as f:
         for row in df.orderBy(*order).toLocalIterator(prefetchPartitions=True):
@@ -165,10 +165,60 @@ def write_figure(main: DataFrame, metric: str, path: str | Path) -> None:
     plt.close(figure)
 
 
+def exclusion_report(summary: DataFrame) -> str:
+    """Markdown: what was set aside and why, the most frequent reason first. summary: kind, reason, count."""
+    order = summary.orderBy("kind", F.desc("count"), "reason")
+    return results_report("Exclusions", [(kind, order.where(F.col("kind") == kind).select("reason", "count")) for kind in ("question", "sample")])
+
+
+def csv_text(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> str:
+    """A small table as CSV text with a header, in a given order of columns and rows."""
+    kinds = dict(df.dtypes)
+    held = io.StringIO()
+    out = csv.writer(held, lineterminator="\n")
+    out.writerow(columns)
+    cells = df.orderBy(*order).select(*[csv_cell(c, kinds[c]).alias(c) for c in columns])
+    out.writerows(tuple(row) for row in cells.toLocalIterator())
+    return held.getvalue()
+
+
+#: The files of a model's analysis.
+ANALYSIS_FILES = (
+    "analysis.json", "results.csv", "directed_unit_metrics.csv", "target_unit_metrics.csv", "bootstrap_summary.csv", "conflict_classifications.csv",
+    "metric_tables.json", "tables/model_metrics.tex", "tables/conflict_classification.tex", "EXPERIMENT_REPORT.md",
+)
+
+
+def write_outputs(folder: str | Path, tables: Mapping[str, DataFrame], rows: DataFrame, metrics: Sequence[str], sources: Mapping[str, str] | None = None) -> list[Path]:
+    """The files of an analysis, each written whole or not at all; gives their paths.
+
+    tables: what the analysis made; rows: its predictions; sources: digests of input files by name.
+    These are summaries and tables of units: rows stream through the driver in order.
+    """
+    unit = ["model_key", "question_id", "label_country", "evidence_country"]
+    targets, directed, intervals, main, classes = (tables[k] for k in ("target_unit_metrics", "directed_unit_metrics", "bootstrap_metrics_long", "main_metrics", "conflict_classification"))
+    small = {"bootstrap": intervals, "conflict_classification": classes, "main_metrics": main}
+    counts = [c for c in classes.columns if c != "model_key"]
+    made = {
+        "analysis.json": json_text({"summary": analysis_manifest(rows, targets, directed), "sources": dict(sources or {}), **{k: [plain(r) for r in df.orderBy("model_key").collect()] for k, df in small.items()}}, compact=False) + "\n",
+        "results.csv": csv_text(rows, [*unit, "condition", *sorted(set(rows.columns) - {*unit, "condition"})], [*unit, "condition"]),
+        "directed_unit_metrics.csv": csv_text(directed, directed.columns, unit),
+        "target_unit_metrics.csv": csv_text(targets, targets.columns, unit[:3]),
+        "bootstrap_summary.csv": csv_text(intervals, intervals.columns, ["model_key", "metric"]),
+        "conflict_classifications.csv": csv_text(directed, [*unit, "EO_raw", "EO_normalized", "classification"], unit),
+        "metric_tables.json": nested_document({k: df.orderBy("model_key") for k, df in small.items()}) + "\n",
+        "tables/model_metrics.tex": "\n".join(latex_estimates(main.orderBy("model_key"), metrics)) + "\n",
+        "tables/conflict_classification.tex": "\n".join(latex_rows(classes.orderBy("model_key"), ["model_key", *counts], 1)) + "\n",
+        "EXPERIMENT_REPORT.md": results_report("Experiment", [("Metrics", main.orderBy("model_key")), ("Conflict classes", classes.orderBy("model_key"))]) + "\n## Files\n\n" + "".join(f"- `{name}`\n" for name in ANALYSIS_FILES),
+    }
+    paths = [Path(folder) / name for name in ANALYSIS_FILES]
+    for path, name in zip(paths, ANALYSIS_FILES, strict=True):
+        write_bytes_atomically(path, made[name].encode())
+    return paths
+
+
 def build_archive(members: Mapping[str, bytes], path: str | Path) -> str:
     """A zip file with the same bytes for the same members; gives its SHA-256."""
-    import io
-
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for name in sorted(members):

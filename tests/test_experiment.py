@@ -54,7 +54,7 @@ def test_analysis(spark, run):
     assert out["violations"].count() == 0
     assert out["directed_unit_metrics"].count() == 20 and out["main_metrics"].count() == 2
     assert {r.source for r in out["source_stratified_metrics"].collect()} == {"Global Attitudes"}
-    assert out["cross_model_agreement_summary"].count() == 9 and out["illustrative_cases"].count() == 3
+    assert out["cross_model_agreement_summary"].count() == 8 and out["illustrative_cases"].count() == 3
     report = sinks.results_report("Run", [("Main", out["main_metrics"]), ("Classes", out["conflict_classification"])])
     assert report.count("\n## ") == 2 and "| m1 |" in report
     assert len(sinks.latex_estimates(out["main_metrics"], ["EO_raw"])) == 2
