@@ -9,10 +9,10 @@ similarity. Rows of signatures are joined by bands, and what meets there is comp
 exactly.
 
 Texts of equal shingle sets are one candidate. In a bucket, each candidate is compared with
-the bucket's smallest key; that links large groups with as many comparisons as members.
-Buckets whose members still differ in class are then compared in full, in blocks, with
-links only between different classes. Links make classes; a class's id is its smallest
-document id.
+the bucket's smallest key; that links large groups with as many comparisons as members. In
+buckets whose members still differ in class, those outside the largest class are then
+compared with all others, in blocks, with links only between different classes. Links make
+classes; a class's id is its smallest document id.
 
 Defined results: a text of fewer words than a shingle is one shingle of what it has; texts
 without words (null ones too) are copies if they are equal; in ``groups`` a null id gets a
@@ -39,14 +39,16 @@ from quorvia.llm.common import WORD, WordHashes, cut, fresh, mix, named, record_
 from quorvia.llm.graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: At 0.8, 26 bands of 5 rows miss a pair with a chance of 3 in 100,000.
-BANDS, ROWS = 26, 5
+#: At 0.8, 20 bands of 4 rows miss a pair with a chance of 3 in 100,000.
+BANDS, ROWS = 20, 4
 #: Rows that are broadcast (an id and 16 bytes of digest each); beyond, they are shuffled.
 BROADCAST_IDS = 1_000_000
 BLOCK = 512
 #: A key is hot if more rows hold it than this and than all rows over HOT_SHARE; so a row is in
 #: hot keys of at most HOT_SHARE a column, which are few enough to be broadcast.
 HOT_ROWS, HOT_SHARE = 1000, 4096
+#: Rows that one copy of a bucket's first member is compared with.
+SPLIT = 1000
 
 _hashes = WordHashes()
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -193,8 +195,11 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(shared / total) if total else 0.0
 
 
-def links(sets: list[tuple[np.ndarray, np.ndarray]], ids: list[int], classes: list[int], least: float) -> Iterator[tuple[int, int]]:
-    """Pairs that join different classes, as many as are needed to join all that are linked."""
+def links(sets: list[tuple[np.ndarray, np.ndarray]], ids: list[int], classes: list[int], least: float, n_first: int, among: bool) -> Iterator[tuple[int, int]]:
+    """Pairs that join different classes, as many as are needed to join all that are linked.
+
+    The first ``n_first`` are compared with the others, or, if ``among``, with each other.
+    """
     root: dict[int, int] = {}
 
     def find(c: int) -> int:
@@ -208,13 +213,16 @@ def links(sets: list[tuple[np.ndarray, np.ndarray]], ids: list[int], classes: li
     codes = np.unique(np.concatenate([e for e, _ in sets]), return_inverse=True)[1]
     weight = np.concatenate([w for _, w in sets])
     mine = np.zeros(codes.max() + 1)
-    for i in range(len(sets) - 1):
+    for i in range(n_first):
+        at = i + 1 if among else n_first
+        if at == len(sets):
+            break
         own = slice(start[i], start[i + 1])
         mine[codes[own]] = weight[own]
-        rest = slice(start[i + 1], None)
-        shared = np.add.reduceat(np.minimum(mine[codes[rest]], weight[rest]), start[i + 1 : -1] - start[i + 1])
+        rest = slice(start[at], None)
+        shared = np.add.reduceat(np.minimum(mine[codes[rest]], weight[rest]), start[at:-1] - start[at])
         mine[codes[own]] = 0
-        for j in (np.flatnonzero(shared >= least * (sizes[i] + sizes[i + 1 :] - shared)) + i + 1).tolist():
+        for j in (np.flatnonzero(shared >= least * (sizes[i] + sizes[at:] - shared)) + at).tolist():
             if (a := find(classes[i])) != (b := find(classes[j])):
                 root[a] = b
                 yield ids[i], ids[j]
@@ -254,15 +262,17 @@ def lead_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar
     own = sketched if nulls else sketched.where("id IS NOT NULL")
     at = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "raw"))
     distinct = cut(own.groupBy("content").agg(at.alias("at"), F.first("rep").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("held")), "minhash-contents")
-    filed = distinct.where("n > 0").select("rep", "n", F.explode("bands").alias("band"))
+    filed = distinct.where("n > 0").select("rep", F.explode("bands").alias("band"))
     buckets = cut(filed.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("held")).where("held > 1"), "minhash-buckets")
     n_rows = distinct.count()
-    members = cut(with_hot(filed, buckets, "band", n_rows).select("band", "rep", "n", "first", "held"), "minhash-members")
-    pairs = members.where("rep <> first").select("rep", "first").distinct()
+    members = cut(with_hot(filed, buckets, "band", n_rows).select("band", "rep", "first", "held"), "minhash-members")
+    pairs = cut(members.where("rep <> first").select("rep", "first").distinct(), "minhash-pairs")
     reps = pairs.select(F.explode(F.array("rep", "first")).alias("rep")).distinct()
     rows = cut(distinct.join(reps, "rep", "left_semi").select(F.col("at.id").alias("at_id"), F.col("at.raw").alias("at_raw")), "minhash-candidates")
-    small = rows.count() <= BROADCAST_IDS
-    held = cut(elements(docs, F.broadcast(rows) if small else rows, id_col, text_col, shingle, counted).groupBy("rep").agg(F.min(F.struct("e", "w", "n")).alias("s")).select("rep", "s.*"), "minhash-elements")
+    n_candidates = rows.count()
+    held = cut(elements(docs, F.broadcast(rows) if n_candidates <= BROADCAST_IDS else rows, id_col, text_col, shingle, counted), "minhash-elements")
+    if held.count() > n_candidates:  # rows that repeat id and text
+        held = cut(held.groupBy("rep").agg(F.min(F.struct("e", "w", "n")).alias("s")).select("rep", "s.*"), "minhash-elements")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -271,7 +281,12 @@ def lead_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar
             kept = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(kept), b.column("b").filter(kept)], ["a", "b"])
 
-    sides = pairs.join(held.toDF("rep", "ae", "aw", "an"), "rep").join(held.toDF("first", "be", "bw", "bn"), "first")
+    # a first member with very many partners is there in several copies, so that they are dealt to several tasks
+    firsts = cut(pairs.groupBy("first").agg(F.count("*").alias("held")), "minhash-firsts")
+    copies = F.ceil(F.col("held") / SPLIT).cast("int")
+    dealt = with_hot(pairs, firsts, "first", n_rows).select("rep", "first", F.pmod(F.xxhash64("rep"), copies).cast("int").alias("copy"))
+    second = held.toDF("first", "be", "bw", "bn").join(firsts.select("first", copies.alias("copies")), "first").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    sides = dealt.join(held.toDF("rep", "ae", "aw", "an"), "rep").join(second, ["first", "copy"])
     # the smaller over the larger weight bounds the similarity
     sides = sides.where(F.least("an", "bn") >= similarity * F.greatest("an", "bn"))
     star = cut(sides.select(F.col("rep").alias("a"), F.col("first").alias("b"), "ae", "aw", "be", "bw").mapInArrow(compare, "a long, b long"), "minhash-links")
@@ -279,17 +294,27 @@ def lead_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar
 
     # what is left: buckets of three and more in which classes still differ
     labelled = cut(members.where("held > 2").select("band", "rep").join(classes.toDF("rep", "class"), "rep", "left").withColumn("class", F.coalesce("class", "rep")), "minhash-labelled")
-    open_buckets = labelled.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("held")).where("low <> high").select("band", "held")
-    rest = with_hot(labelled, cut(open_buckets, "minhash-open"), "band", n_rows)
-    rest = rest.withColumn("n_blocks", F.ceil(F.col("held") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "class")
+    by_class = labelled.groupBy("band", "class").agg(F.count("*").alias("n"))
+    open_buckets = by_class.groupBy("band").agg(F.max_by("class", F.struct("n", "class")).alias("top"), F.sum("n").alias("held"), F.max("n").alias("n_top"), F.count("*").alias("classes")).where("classes > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    open_buckets = open_buckets.select("band", "held", "top", blocks(F.col("n_top")).alias("tops"), blocks(F.col("held") - F.col("n_top")).alias("others"))
+    rest = with_hot(labelled, cut(open_buckets, "minhash-open"), "band", n_rows).withColumn("asks", F.col("class") != F.col("top"))
+    block = F.pmod(F.xxhash64("rep"), F.when(F.col("asks"), F.col("others")).otherwise(F.col("tops"))).cast("int")
+    each = lambda n, task: F.transform(F.sequence(F.lit(0), F.col(n) - 1), task)
+    task = lambda among, i, j: F.struct(F.lit(among).alias("among"), i.alias("i"), j.alias("j"))
+    mine = F.col("block")
+    # members of the largest class meet each block of the others once; the others meet all
+    met = F.when(F.col("asks"), F.concat(each("tops", lambda t: task(False, t, mine)), each("others", lambda o: task(True, F.least(mine, o), F.greatest(mine, o))))).otherwise(each("others", lambda o: task(False, mine, o)))
+    rest = rest.withColumn("block", block).select("band", "rep", "class", "asks", F.explode(met).alias("t")).select("band", "t.*", "rep", "class", "asks")
     rest = rest.join(held.select("rep", "e", "w"), "rep")
 
     def compare_all(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = list(links([as_set(e, w) for e, w in zip(pdf["e"], pdf["w"], strict=True)], pdf["rep"].to_list(), pdf["class"].to_list(), similarity))
+        pdf = pdf.sort_values("asks", ascending=False, kind="stable")
+        sets = [as_set(e, w) for e, w in zip(pdf["e"], pdf["w"], strict=True)]
+        found = list(links(sets, pdf["rep"].to_list(), pdf["class"].to_list(), similarity, int(pdf["asks"].sum()), bool(pdf["among"].iloc[0])))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    more = cut(rest.groupBy("band", "i", "j").applyInPandas(compare_all, "a long, b long"), "minhash-more-links")
+    more = cut(rest.groupBy("band", "among", "i", "j").applyInPandas(compare_all, "a long, b long"), "minhash-more-links")
     if report is not None:
         report |= {"comparisons": pairs.count(), "links": star.count(), "more_links": more.count()}
     if not more.isEmpty():

@@ -74,7 +74,6 @@ def test_groups_and_odd_rows(spark, monkeypatch):
     found = groups(df, report=report).collect()
     assert len(found) == len(rows) + 3
     assert {r.doc_id: r.group_id for r in found if r.doc_id is not None} == classes(rows)
-    assert {r.doc_id: r.group_id for r in groups(df, counted=False).collect() if r.doc_id is not None} == classes(rows, counted=False)
     assert all(r.group_id is None for r in found if r.doc_id is None)
     assert groups(df.limit(0)).count() == 0
     kept = keep_one(df)
@@ -116,34 +115,20 @@ def test_links_of_an_id_with_two_texts(spark):
     assert sorted(r.text for r in keep_one(df).collect()) == sorted([a[0], b[0]])
 
 
-def test_hot_keys_are_not_shuffled(spark, monkeypatch):
-    """Bands and contents of many rows, by the path of hot keys."""
+def test_hot_keys_large_joins_and_clashing_names(spark, monkeypatch):
+    """Bands and contents of many rows by the path of hot keys, rows beyond a broadcast, columns named as inside."""
     monkeypatch.setattr(minhash, "HOT_ROWS", 5)
+    monkeypatch.setattr(minhash, "SPLIT", 4)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 3)
+    names = ["at_id", "at_raw", "whole_row", "id", "raw", "lead", "stays", "held", "content", "dotted.name"]
     rng = np.random.default_rng(9)
     texts = near_group(rng, 30) + near_group(rng, 4) + ["copy of a text with words"] * 20 + ["..."] * 20 + [None] * 3
     rows = list(enumerate(texts))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame([(*r, *names) for r in rows + rows[:2]], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
     want = {i: i for i, _ in rows} | classes(rows) | {i: 54 for i in range(54, 74)}
     found = {r.doc_id: r.group_id for r in groups(df).collect()}
     assert {i: c for i, c in found.items() if i < 74} == {i: c for i, c in want.items() if i < 74}
     assert len({found[i] for i in (74, 75, 76)}) == 1
-    assert keep_one(df).count() == len(set(found.values()))
-
-
-def test_rows_beyond_a_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BROADCAST_IDS", 3)
-    rng = np.random.default_rng(10)
-    rows = list(enumerate(near_group(rng, 25) + near_group(rng, 3)))
-    df = spark.createDataFrame(rows + rows[:2], "doc_id long, text string")
-    want = classes(rows)
-    assert {r.doc_id: r.group_id for r in groups(df).collect()} == want
-    assert sorted(r.doc_id for r in keep_one(df).collect()) == sorted(set(want.values()))
-
-
-def test_clashing_names(spark):
-    names = ["at_id", "at_raw", "whole_row", "id", "raw", "lead", "stays", "held", "content", "dotted.name"]
-    rows = [(i, "some words that are said twice or more often", *(["x"] * len(names))) for i in (1, 2)] + [(3, "other", *(["x"] * len(names)))] * 2
-    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
     kept = keep_one(df)
-    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
-    assert {r.doc_id: r.group_id for r in groups(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(found.values()))
