@@ -31,7 +31,7 @@ LAYOUT = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <
 
 BASE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: (label, keyword, name, versions): the keyword stands, as a word, in every match of the name; versions
+#: (label, keyword, name, versions): the keyword, a word or several, stands in every match of the name; versions
 #: are written with spaces for dots, and only their first is meant where none is given.
 FAMILIES = (
     ("gpl", "gpl", r"(?:gnu )?gpl", ("2 0", "3 0", "1 0")),
@@ -84,12 +84,12 @@ FAMILIES = (
     ("elastic", "elastic", r"elastic licen[cs]e", ("2 0",)),
     ("cc0", "cc0", r"cc0", ("1 0",)),
     ("cc0", "creative", r"creative commons zero", ("1 0",)),
-    ("cc-by-nc-nd", "nd", r"cc by nc nd", ("4 0", "3 0", "2 0")),
-    ("cc-by-nc-sa", "sa", r"cc by nc sa", ("4 0", "3 0", "2 0")),
-    ("cc-by-nc", "nc", r"cc by nc", ("4 0", "3 0", "2 0")),
-    ("cc-by-nd", "nd", r"cc by nd", ("4 0", "3 0", "2 0")),
-    ("cc-by-sa", "sa", r"cc by sa", ("4 0", "3 0", "2 0")),
-    ("cc-by", "cc", r"cc by", ("4 0", "3 0", "2 0")),
+    ("cc-by-nc-nd", "cc by nc nd", r"cc by nc nd", ("4 0", "3 0", "2 0")),
+    ("cc-by-nc-sa", "cc by nc sa", r"cc by nc sa", ("4 0", "3 0", "2 0")),
+    ("cc-by-nc", "cc by nc", r"cc by nc", ("4 0", "3 0", "2 0")),
+    ("cc-by-nd", "cc by nd", r"cc by nd", ("4 0", "3 0", "2 0")),
+    ("cc-by-sa", "cc by sa", r"cc by sa", ("4 0", "3 0", "2 0")),
+    ("cc-by", "cc by", r"cc by", ("4 0", "3 0", "2 0")),
     ("cc-by-nc-nd", "attribution", r"creative commons attribution non ?commercial no ?derivatives", ("4 0", "3 0")),
     ("cc-by-nc-sa", "attribution", r"creative commons attribution non ?commercial share ?alike", ("4 0", "3 0")),
     ("cc-by-nc", "attribution", r"creative commons attribution non ?commercial", ("4 0", "3 0")),
@@ -201,12 +201,18 @@ def signatures() -> list[Signature]:
 
 SIGNATURES = signatures()
 _KEYWORDS = sorted({s.keyword for s in SIGNATURES})
+#: A text without any of these words holds no keyword.
+_FIRST_WORDS = frozenset(k.split()[0] for k in _KEYWORDS)
 _BASE = [(f" {phrase} ".encode(), label) for phrase, label in BASE_PHRASES.items()]
 
 
-def lay_out(text: str | None) -> bytes:
-    """The words between single separators or runs of them, with one at either end."""
-    return b" " + (text or "").encode("utf-8", "surrogatepass").translate(LAYOUT) + b" "
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(LAYOUT).split()
+
+
+def lay_out(words: list[bytes]) -> bytes:
+    """The words with single spaces between and at either end."""
+    return b" " + b" ".join(words) + b" "
 
 
 def detect(laid: bytes) -> list[tuple[int, int, str, str]]:
@@ -232,12 +238,11 @@ def detect(laid: bytes) -> list[tuple[int, int, str, str]]:
 
 def scan_text(text: str | None) -> tuple:
     """n_words, base hits [(label, word)], detections [(first word, words, label, form)]."""
-    laid = lay_out(text)
-    gap = np.frombuffer(laid, np.uint8) == 32
-    n_words = int(np.count_nonzero(gap[:-1] & ~gap[1:]))
-    if not any(k in laid for k in _KEYWORDS):
+    words = words_of(text)
+    n_words = len(words)
+    if _FIRST_WORDS.isdisjoint(words):
         return n_words, [], []
-    laid = re.sub(b" +", b" ", laid)
+    laid = lay_out(words)
     gaps = np.flatnonzero(np.frombuffer(laid, np.uint8) == 32)
     word = lambda places: np.searchsorted(gaps, np.array(places, np.int64)).tolist()  # noqa: E731  the number of gaps before each
     base = []

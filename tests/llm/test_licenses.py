@@ -1,10 +1,12 @@
 import itertools
+import random
 import re
 import re._parser as parser
+import time
 
 import pytest
 
-from quorvia.llm.licenses import BASE_PHRASES, SIGNATURES, SPDX_IDS, license_summary, scan_licenses, scan_text
+from quorvia.llm.licenses import BASE_PHRASES, SIGNATURES, SPDX_IDS, detect, lay_out, license_summary, scan_licenses, scan_text, words_of
 from quorvia.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -112,3 +114,29 @@ def test_a_tag_for_every_identifier():
     assert found("SPDX-License-Identifier: MIT-0") == [("mit-0", "tag")] and found("SPDX-License-Identifier: commit") == []
     tags = [s for s in SIGNATURES if s.form == "tag"]
     assert len(tags) == len(SPDX_IDS) == len(set(SPDX_IDS))
+
+
+def ungated(laid):
+    """All rules without their gates, against all detections that stand so far."""
+    standing = []
+    for rule in SIGNATURES:
+        for m in rule.pattern.finditer(laid):
+            if not any(a <= m.start() and m.end() <= b for a, b, *_ in standing):
+                standing.append((m.start(), m.end(), rule.label, rule.form))
+    return sorted(standing)
+
+
+def test_detections_against_all_rules_and_intervals(spark):
+    rng = random.Random(3)
+    words = "licensed under the terms of gnu general public license version 2 0 3 or later apache mit bsd clause cc by nc sa spdx identifier gpl lgpl mozilla v2 is in public domain lesser library affero creative commons attribution opensource org licenses".split()
+    laid = [f" {' '.join(rng.choice(words) for _ in range(rng.randrange(120)))} ".encode() for _ in range(200)]
+    laid += [lay_out(words_of(r.text)) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    found = [detect(x) for x in laid]
+    assert found == [ungated(x) for x in laid] and sum(map(len, found)) > 200
+
+
+def test_very_many_detections():
+    began = time.perf_counter()
+    n, base, found = scan_text("mit license " * 87_000)
+    assert (n, len(base), len(found)) == (174_000, 87_000, 87_000)
+    assert time.perf_counter() - began < 5
