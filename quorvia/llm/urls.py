@@ -29,6 +29,10 @@ LITERAL_RULES = 256
 #: A rule's row is under 2 KB (checked when made): an index of so many rules is broadcast, a larger one is shuffled.
 BROADCAST_RULES = 20_000
 PATTERN_CHARS = 1000
+#: So many tokens (some tens of bytes each) are broadcast, so that others aren't shuffled.
+BROADCAST_TOKENS = 1_000_000
+#: URLs that one copy of a token's rules is matched with; a token that more hold has several.
+SPLIT_URLS = 100_000
 
 
 @dataclass(frozen=True)
@@ -86,8 +90,9 @@ def tokens(key: Column) -> Column:
     return F.array_distinct(F.split(F.translate(key, UPPER, LOWER), "[^a-z0-9]+"))
 
 
-def rarest_tokens(keys: DataFrame, rules: Sequence[Rule]) -> dict[int, str]:
-    """For each rule, the literal that fewest keys hold ('' for a rule without literals).
+def rarest_tokens(keys: DataFrame, rules: Sequence[Rule]) -> tuple[dict[int, str], dict[str, int]]:
+    """For each rule, the literal that fewest keys hold ('' for a rule without literals), and
+    how many keys hold each literal.
 
     The counts that come to the driver are those of the rules' own literals.
     """
@@ -100,7 +105,7 @@ def rarest_tokens(keys: DataFrame, rules: Sequence[Rule]) -> dict[int, str]:
         else:
             held = held.join(keys.sparkSession.createDataFrame([(t,) for t in wanted], "token string"), "token", "left_semi")
         seen = {r["token"]: r["count"] for r in held.groupBy("token").count().collect()}
-    return {i: min(r.literals, key=lambda t: (seen.get(t, 0), -len(t), t), default="") for i, r in enumerate(rules)}
+    return {i: min(r.literals, key=lambda t: (seen.get(t, 0), -len(t), t), default="") for i, r in enumerate(rules)}, seen
 
 
 ROW = "kind int, size int, place int, name string, verdict string, pattern string"
@@ -119,7 +124,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, url_col: str = "url",
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     base = pages.select(*map(named, kept), host.alias("host"), path.alias("path"))
     (own,) = fresh(pages, "best")
-    index = rarest_tokens(base.select(F.concat("host", "path").alias("key")), rules)
+    index, seen = rarest_tokens(base.select(F.concat("host", "path").alias("key")), rules)
     # a smaller place wins a tie, so places count down
     rows = {i: (r.kind, len(r.name), -i, r.name, r.verdict, r.pattern) for i, r in enumerate(rules)}
     key = F.concat("host", "path")
@@ -136,11 +141,24 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, url_col: str = "url",
         fetched = F.flatten(F.filter(F.transform(F.array_union(tokens(key), F.array(F.lit(""))), lambda t: F.try_element_at(held, t)), lambda x: x.isNotNull()))
         judged = base.withColumn(own, _best(F.filter(fetched, lambda r: F.rlike(F.concat("host", "path"), r["pattern"]))))
     else:
-        table = pages.sparkSession.createDataFrame([(index[i], *row) for i, row in rows.items()], f"token string, {ROW}")
-        if len(rules) <= BROADCAST_RULES:
-            table = F.broadcast(table)
+        spark = pages.sparkSession
+        table = spark.createDataFrame([(index[i], *row) for i, row in rows.items()], f"token string, {ROW}")
         keys = base.select("host", "path").distinct()
-        fetched = keys.select("host", "path", F.explode(F.array_union(tokens(key), F.array(F.lit("")))).alias("token")).join(table, "token")
+        held = keys.select("host", "path", F.explode(F.array_union(tokens(key), F.array(F.lit("")))).alias("token"))
+        if len(rules) <= BROADCAST_RULES:
+            fetched = held.join(F.broadcast(table), "token")
+        else:
+            filed = sorted(set(index.values()))
+            if "" in filed:  # all URLs run the rules without literals
+                seen[""] = keys.count()
+            if len(filed) <= BROADCAST_TOKENS:
+                held = held.join(F.broadcast(spark.createDataFrame([(t,) for t in filed], "token string")), "token", "left_semi")
+            # rules under a token that very many URLs hold are there in several copies
+            often = spark.createDataFrame([(t, -(-seen[t] // SPLIT_URLS)) for t in filed if seen.get(t, 0) > SPLIT_URLS], "token string, copies long")
+            copies = F.coalesce("copies", F.lit(1))
+            dealt = held.join(F.broadcast(often), "token", "left").withColumn("copy", F.pmod(F.xxhash64("host", "path"), copies)).drop("copies")
+            table = table.join(F.broadcast(often), "token", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+            fetched = dealt.join(table, ["token", "copy"])
         best = fetched.where(F.rlike(key, F.col("pattern"))).groupBy("host", "path").agg(F.max(F.struct("kind", "size", "place", "name", "verdict")).alias(own))
         judged = base.join(best, ["host", "path"], "left")
     found = F.col(own)

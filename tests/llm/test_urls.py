@@ -1,7 +1,11 @@
+import random
 import re
 
+import pytest
+
+from quorvia.llm import urls as urls_module
 from quorvia.llm.queries import HOST_RULES, ORACLE_SQL, QUERIES
-from quorvia.llm.urls import OWN_RULES, host_rule, judge_urls
+from quorvia.llm.urls import OWN_RULES, host_rule, judge_urls, pattern_rule, rarest_tokens
 from tests.llm.oracle import same, views
 
 SF = "/root/testdata/sf0.01"
@@ -39,3 +43,27 @@ def test_literals_are_needed():
     for rule in OWN_RULES:
         hits = [p for p in probes if re.search(rule.pattern, p)]
         assert hits and all(set(rule.literals) <= set(re.split("[^a-z0-9]+", p)) for p in hits)
+
+
+def test_a_long_list(spark):
+    """Thousands of rules, the index as a broadcast table and as a shuffled one, against all rules on every URL."""
+    rng = random.Random(5)
+    rules = [host_rule(f"{'abcdef'[i % 6]}{i % 700}.{rng.choice(['com', 'org', 'net'])}/{rng.choice(['', 'de/', 'x', 'en/a'])}", rng.choice(["block", "allow"])) for i in range(2500)]
+    rules += [pattern_rule(f"^(?:[^/]*[.])?{w}[0-9]*[.]com/", "com") for w in ("shop", "promo")] + [pattern_rule("^[^/]*/track$")] + list(OWN_RULES)
+    urls = [f"http://{rng.choice(['www.', '', 'm.'])}{rng.choice('abcdefg')}{rng.randrange(720)}.{rng.choice(['com', 'org', 'net'])}/{rng.choice(['', 'de/1', 'xy', 'en/ab?q', 'track'])}" for _ in range(150)]
+    urls += ["https://shop12.com/a", "https://a.promo.com/", None]
+    df = spark.createDataFrame([(i, u, "kept") for i, u in enumerate(urls)], "page_id int, url string, best string")
+    want = sorted((i, *brute(u, rules)) for i, u in enumerate(urls))
+    assert sum(w[3] is not None for w in want) > 50
+    for most in (100, 20_000):
+        with_bound = pytest.MonkeyPatch()
+        with_bound.setattr(urls_module, "BROADCAST_RULES", most)
+        with_bound.setattr(urls_module, "SPLIT_URLS", 20)
+        out = judge_urls(df, rules)
+        assert out.columns == ["page_id", "url", "best", "host", "path", "rule", "verdict"]
+        rows = out.collect()
+        with_bound.undo()
+        assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in rows) == want and {r.best for r in rows} == {"kept"}
+    index, _ = rarest_tokens(df.selectExpr("coalesce(url, '') AS key"), rules)
+    # filed under what few URLs hold, not under com or org
+    assert sum(index[i] in ("com", "org", "net") for i in range(2500)) < 50
