@@ -34,10 +34,10 @@ from quorvia.llm.common import cut
 
 #: The sample of the fit: rows, and bytes as doubles.
 SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 64 << 20
-BRANCHES, LEAF_ROWS, ROUNDS = 16, 64, 8
+BRANCHES, LEAF_ROWS, ROUNDS = 32, 16, 8
 CALIBRATION_QUERIES = 200
-#: Leaves that share a group, and rows of a block of vectors or queries.
-GROUP_LEAVES, BLOCK_VECTORS, BLOCK_QUERIES = 16, 8192, 4096
+#: Leaves that share a group, and rows of a block of vectors or queries; queries are scored a few at a time.
+GROUP_LEAVES, BLOCK_VECTORS, BLOCK_QUERIES, QUERIES_AT_ONCE = 64, 8192, 4096, 256
 
 
 @dataclass
@@ -133,21 +133,28 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(vector, lambda c: c != 0)
 
 
-def best(q: np.ndarray, x: np.ndarray, ids: list[np.ndarray], k: int) -> list[tuple[list[int], list[float]]]:
-    """For each row of q the k best ids of the rows of x (each with its sorted ids), and scores."""
+def best(q: np.ndarray, x: np.ndarray, ids: list[np.ndarray], k: int, open_to: np.ndarray | None = None) -> list[tuple[list[int], list[float]]]:
+    """For each row of q the k best ids of the rows of x (each with its sorted ids), and scores.
+
+    open_to: which rows of x each row of q looks at; all if not given.
+    """
     if not len(x):
         return [([], [])] * len(q)
-    rough = q @ x.T
     sizes, longest = np.sqrt((q * q).sum(1)), float(np.sqrt((x * x).sum(1).max()))
     out = []
-    for i in range(len(q)):
-        near = np.argpartition(-rough[i], k - 1)[:k] if len(x) > k else np.arange(len(x))
-        if len(x) > k:  # all that tie with the last, up to rounding, which grows with the vectors' lengths
-            last = rough[i][near].min()
-            near = np.flatnonzero(rough[i] >= last - 1e-12 * sizes[i] * longest)
-        exact = (x[near] * q[i]).sum(1)  # the same sum wherever the row lies
-        found = sorted((-s, int(v)) for s, j in zip(exact.tolist(), near.tolist(), strict=True) for v in ids[j][:k])[:k]
-        out.append(([v for _, v in found], [-s for s, _ in found]))
+    for first in range(0, len(q), QUERIES_AT_ONCE):
+        some = slice(first, first + QUERIES_AT_ONCE)
+        rough = q[some] @ x.T
+        if open_to is not None:
+            rough[~open_to[some]] = -np.inf
+        # all that tie with the k-th, up to rounding, which grows with the vectors' lengths
+        last = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(rough), -np.inf)
+        least = np.where(np.isfinite(last), last - 1e-12 * sizes[some] * longest, np.finfo(np.float64).min)
+        for i, near in enumerate(rough >= least[:, None]):
+            at = np.flatnonzero(near)
+            exact = (x[at] * q[first + i]).sum(1)  # the same sum wherever the row lies
+            found = sorted((-s, int(v)) for s, j in zip(exact.tolist(), at.tolist(), strict=True) for v in ids[j][:k])[:k]
+            out.append(([v for _, v in found], [-s for s, _ in found]))
     return out
 
 
@@ -163,7 +170,8 @@ def nearest(
     largest inner product among all others found.
 
     recall: mean share of true neighbours that the calibration queries must find.
-    report: gets leaves, visits and the calibrated recall.
+    report: gets leaves, visits, the calibrated recall, and the share of all rows that the
+    calibration queries' leaves hold.
     """
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), queries.alias("asks"))
@@ -233,7 +241,8 @@ def nearest(
             visits = min(tree.n_leaves, visits + max(1, visits // 4))
         reached = float((ranks < visits).mean()) if len(ranks) else 1.0
     if report is not None:
-        report |= {"leaves": tree.n_leaves, "visits": visits, "recall": reached}
+        share = [tree.held[tree.chosen(q, visits, k + 1)].sum() / tree.held.sum() for q in pq]
+        report |= {"leaves": tree.n_leaves, "visits": visits, "recall": reached, "visited_rows": float(np.mean(share)) if share else 0.0}
     shared_tree = spark.sparkContext.broadcast(tree)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,17 +276,11 @@ def nearest(
     def compare(asks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         q, x, leaf = stacked(asks["q"], kind), stacked(held["x"], kind), held["leaf"].to_numpy()
         ids = held["ids"].to_list()
-        mine: list[list] = [[] for _ in range(len(q))]
-        by_leaf: dict[int, list[int]] = {}
+        # leaves of the group by their numbers from its first; a query sees the rows of those it visits
+        wanted = np.zeros((len(q), GROUP_LEAVES), bool)
         for i, leaves in enumerate(asks["leaves"]):
-            for n in leaves:
-                by_leaf.setdefault(int(n), []).append(i)
-        for n, who in by_leaf.items():
-            at = np.flatnonzero(leaf == n)
-            if len(at):
-                for i, (found, score) in zip(who, best(q[who], x[at], [ids[j] for j in at], k + 1), strict=True):
-                    mine[i] += [(-s, v) for v, s in zip(found, score, strict=True)]
-        mine = [sorted(m)[: k + 1] for m in mine]
+            wanted[i, np.asarray(leaves) % GROUP_LEAVES] = True
+        mine = [[(-s, v) for v, s in zip(found, score, strict=True)] for found, score in best(q, x, ids, k + 1, wanted[:, leaf % GROUP_LEAVES])]
         return pd.DataFrame({"rep": asks["rep"], "found": [[v for _, v in m] for m in mine], "score": [[-s for s, _ in m] for m in mine]})
 
     keys = ["grp", "vb", "qb"]

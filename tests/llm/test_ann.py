@@ -69,3 +69,27 @@ def test_blocks(spark, monkeypatch):
     want = brute(rows, 5, lambda i: i % 3 == 0)
     hits = sum(len(got[q] & {v for v, _ in want[q]}) for q in want)
     assert hits >= 0.85 * 5 * len(want) and report["recall"] >= 0.9 and 1 < report["visits"] <= report["leaves"]
+
+
+def test_ties_of_scores_near_zero(spark):
+    """Vectors that lie about at right angles to the query, many of them alike in score."""
+    rng = np.random.default_rng(11)
+    q = [1.0] + [0.0] * 7
+    rows = [(0, q)] + [(i, [0.0, *rng.normal(size=7).tolist()]) for i in range(1, 120)] + [(i, [-1e-300 * (i % 3), *rng.normal(size=7).tolist()]) for i in range(120, 200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted((r["rank"], r.vec_id) for r in ann.nearest(df, F.col("vec_id") == 0, 20, recall=1.0).collect())
+    assert [v for _, v in found] == [v for v, _ in brute(rows, 20, lambda i: i == 0)[0]]
+
+
+def test_few_leaves_where_vectors_cluster(spark):
+    rng = np.random.default_rng(12)
+    middles = rng.normal(size=(60, 16)) * 4
+    x = middles[rng.integers(60, size=6000)] + rng.normal(size=(6000, 16)) * 0.3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    report = {}
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 10, report=report).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(rows, 10, lambda i: i % 50 == 0)
+    assert sum(len(got[q] & {v for v, _ in want[q]}) for q in want) >= 0.95 * 10 * len(want)
+    assert report["recall"] >= 0.97 and report["visited_rows"] < 0.25
