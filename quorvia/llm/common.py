@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +12,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorvia.sources.stored import stored as cut
+
+__all__ = ["WORD", "WordHashes", "cut", "fresh", "mix", "named", "record_batches", "table"]
+
 #: Rows of one Arrow batch handed to Python; long texts make rows of up to megabytes.
 BATCH_ROWS = 500
 
@@ -26,22 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, ``spark.checkpoint.dir``.
-
-    Where none is set, one is made in a run without other machines; on a cluster that is an
-    error, since files of one machine can't be read by the others.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise ValueError(f"spark.checkpoint.dir must name a shared folder under {master}")
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened where ``df`` has a column of that name."""
     taken = {c.lower() for c in df.columns}
@@ -58,21 +44,6 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later stages start from the files.
-
-    The files outlive lost executors and are removed when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(schema).parquet(path)
-
-
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound (then forgotten as a whole)."""
 

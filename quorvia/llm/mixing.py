@@ -44,7 +44,7 @@ def source_targets(by_source: DataFrame, share: float, most: float, weights: tup
     its source's size, what exceeds that dealt anew. by_source: source, source_size (one row each).
 
     Sorted by size over weight, the capped sources come first; the level of the rest follows
-    from sums over both parts.
+    from sums over both parts. One task orders the sources, of which it gets a row each.
     """
     whole = Window.partitionBy()
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1, F.lit(len(weights))) + 1).cast("int"))
