@@ -200,3 +200,39 @@ def test_later_segments(spark):
     rows = scanned(spark, [data, data[:-30], data[: -len(parts[1]) // 2]])
     assert rows[0].n_frames == 6 and rows[0].error is None
     assert all(4 <= r.n_frames < 6 and "segment" in r.error for r in rows[1:])
+
+
+def plain_feature(payload):
+    """The feature by its description, frame by frame."""
+    frames = [payload[i : i + 192] for i in range(0, len(payload), 192)]
+    held = [[sum(b >> 4 == v for b in f) for v in range(16)] for f in frames]
+    change = [sum(abs(a - b) for a, b in zip(x, y, strict=True)) / 384 for x, y in zip(held, held[1:], strict=False)]
+    starts, peak = [0], 0.0
+    for i, c in enumerate(change):
+        if c <= 0.15 or c != max(change[max(0, i - 1) : i + 2]):
+            continue
+        others = sorted(change[max(0, i - 8) : i] + change[i + 1 : i + 9])
+        middle = max(len(others) - 1, 0) // 2
+        median = others[middle] if others else 0.0
+        spread = (sorted(abs(x - median) for x in others)[middle] if others else 0.0) * 1.4826
+        spread = max(spread, 0.15 / 4) if len(others) < 4 else spread
+        alike = [x for x in others if x <= median + 4 * spread]
+        mean = sum(alike) / max(1, len(alike))
+        deviation = max(sum(x * x for x in alike) / max(1, len(alike)) - mean**2, 0) ** 0.5
+        if c > max(median + 4 * spread, mean + 4 * deviation) and (len(starts) == 1 or i + 1 - starts[-1] >= 2):
+            starts.append(i + 1)
+            peak = max(peak, c)
+    return len(frames), starts, peak
+
+
+def test_feature_against_plain_python(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    shots_found = 0
+    for r in QUERIES["op3_media"](spark, "/root/testdata/sf0.001").collect():
+        utf8 = (docs[r.doc_id] or "").encode()
+        n, starts, peak = plain_feature(utf8.ljust(max(1, -(-len(utf8) // 192)) * 192))
+        head, peak_text = r.feature.rsplit("peak=", 1)
+        assert head == f"frames={n};shots={len(starts)};starts={','.join(map(str, starts))};"
+        assert float(peak_text) == pytest.approx(peak, abs=6e-5)
+        shots_found += len(starts) - 1
+    assert shots_found > 0

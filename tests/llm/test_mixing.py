@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import pandas as pd
 
+from quorvia.llm import mixing
 from quorvia.llm.mixing import mix_documents, mixed
 from quorvia.llm.queries import OP8_SQL, QUERIES
 from tests.llm.oracle import same, views
@@ -61,3 +62,20 @@ def test_odd_rows(spark):
     assert mixed(df.limit(0)).count() == 0
     empty = spark.createDataFrame([(1, "", "a"), (2, None, "b")], "doc_id long, text string, source string")
     assert [(r.size, r.target, r.taken) for r in mix_documents(empty).collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_clashing_names(spark):
+    names = ["times", "below", "mix_source", "mix_times", "mix_below", "mix_copy", "__source", "__copy", "a.b", "hash", "size"]
+    df = spark.createDataFrame([(i, "w " * (i % 5 + 1), "ab"[i % 2], *names) for i in range(60)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    out = mixed(df)
+    assert out.columns == df.columns
+    rows = out.collect()
+    assert len(rows) == sum(r.copies for r in mix_documents(df).collect()) and all(r["a.b"] == "a.b" and r["times"] == "times" for r in rows)
+
+
+def test_shuffled_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 40}") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    frame = pd.DataFrame(rows, columns=["doc_id", "text", "source"])
+    assert same(mix_documents(df).select("doc_id", "size", "source_size", "target", "taken"), OP8_SQL, views(SF, documents=frame)) == 800

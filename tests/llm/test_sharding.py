@@ -1,8 +1,13 @@
+import bisect
 import zlib
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
+from quorvia.llm import sharding
 from quorvia.llm.queries import QUERIES
-from quorvia.llm.sharding import shard_documents, walk
+from quorvia.llm.sharding import bounds, ring, shard_documents, walk
 
 SF = "/root/testdata/sf0.01"
 
@@ -55,3 +60,38 @@ def test_odd_rows(spark):
     assert len(found) == len(rows)
     laws(found, 7)
     assert shard_documents(df.limit(0), 7).count() == 0
+
+
+def passed(rows, n, **options):
+    """Every row lies on the node that its hops lead to, and the shards of the nodes passed are full."""
+    nodes = ring(n)
+    places = [cell for cell, _ in nodes]
+    full = bounds(len(rows), n, options.get("slack", 0.0))
+    held = Counter(r.shard for r in rows)
+    for r in rows:
+        first = bisect.bisect_left(places, r.cell) % len(nodes)
+        assert nodes[(first + r.hops) % len(nodes)][1] == r.shard
+        assert all(held[nodes[(first + h) % len(nodes)][1]] == full[nodes[(first + h) % len(nodes)][1]] for h in range(r.hops))
+
+
+def with_cells(docs, placed):
+    """Cells by the documented rule: the leading bits of the hash of id, checksum and size."""
+    cell = F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "size"), 48).cast("int")
+    return placed.withColumn("cell", cell).collect()
+
+
+@pytest.mark.parametrize("slack", [0.0, 0.2])
+def test_each_row_goes_to_the_first_node_with_room(spark, slack):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = with_cells(docs, shard_documents(docs, 24, slack=slack))
+    passed(rows, 24, slack=slack)
+    assert (sum(r.hops > 0 for r in rows) > 0) == (slack == 0.0) or slack
+
+
+def test_very_many_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_ROWS", 50)
+    docs = spark.createDataFrame([(1, "again")] * 700 + [(None, "x")] * 300 + [(i, str(i)) for i in range(2, 900)], "doc_id long, text string").repartition(7)
+    rows = with_cells(docs, shard_documents(docs, 5))
+    assert len(rows) == 1898
+    laws(rows, 5)
+    passed(rows, 5)
