@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but
 the last return the columns of documents.
+
+Defined results: those of the four operators. A null or empty text is scored, is a copy of
+other such texts, has size 0 in the mix, and is packed as its closing id if the mix takes it;
+rows with null ids take part in every stage; of rows that repeat id and text one stays; a very
+long text goes through whole; an empty table gives no rows; other columns of any name are kept
+up to the last stage, which gives the pieces.
 """
 
 from __future__ import annotations
