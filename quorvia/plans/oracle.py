@@ -171,6 +171,7 @@ SQL = {
     "condition_pivot": query(PREDICTIONS, f"SELECT {UNIT}, option, {r('baseline')}, {r('country_label')}, {r('population_evidence')}, {r('conflict')} FROM wide"),
     "unit_metrics_target": query(METRICS, f"SELECT model_key, question_id, label_country, {r('country_influence')}, {r('evidence_influence')}, {r('evidence_advantage')}, repetitions FROM targets"),
     "unit_metrics_directed": query(METRICS, f"SELECT {UNIT}, {r('EO_raw')}, {r('EO_normalized')}, classification FROM metrics"),
+    "every_pair_metrics": query(METRICS.replace("WHERE place <= 3)", ")").replace(", a, b LIMIT 20)", ", a, b)"), f"SELECT {UNIT}, {r('EO_raw')}, {r('EO_normalized')}, classification FROM metrics"),
     "divergence_components": query(METRICS, f"SELECT {UNIT}, {r('jb', 9, 'jsd_baseline')}, {r('jc', 9, 'jsd_label')}, {r('je', 9, 'jsd_evidence')}, {r('jl', 9, 'jsd_conflict_label')}, {r('jx', 9, 'jsd_conflict_evidence')}, {r('jr', 9, 'jsd_references')} FROM d WHERE jr > 0"),
     "conflict_classes": query(METRICS, "SELECT model_key, count(*) FILTER (classification = 'evidence-side') AS evidence_side_n, count(*) FILTER (classification = 'label-side') AS label_side_n, count(*) FILTER (classification = 'tie') AS tie_n FROM metrics GROUP BY model_key"),
     "class_proportions": query(METRICS, f"SELECT model_key, c.classification, count(m.classification) AS n, {r('count(m.classification) / sum(count(m.classification)) OVER (PARTITION BY model_key)', 9, 'proportion')} FROM (SELECT DISTINCT model_key FROM metrics) CROSS JOIN (VALUES ('evidence-side'), ('label-side'), ('tie')) c(classification) LEFT JOIN metrics m USING (model_key, classification) GROUP BY model_key, c.classification"),

@@ -128,12 +128,17 @@ def pivoted(spark, sf_dir):
 
 
 def unit_metrics_target(spark, sf_dir):
-    df = sv.targets(spark, sf_dir)
+    df = target_units(sv.metrics(spark, sf_dir))
     return rounded(df.select("model_key", "question_id", "label_country", *METRICS[:3], "repetitions"), *METRICS[:3])
 
 
 def unit_metrics_directed(spark, sf_dir):
-    return rounded(sv.directed(spark, sf_dir), "EO_raw", "EO_normalized")
+    return rounded(directed_units(sv.metrics(spark, sf_dir)), "EO_raw", "EO_normalized")
+
+
+def every_pair_metrics(spark, sf_dir):
+    """The same over all pairs of populations, whose number grows with the square of theirs."""
+    return rounded(directed_units(sv.metrics(spark, sf_dir, None)), "EO_raw", "EO_normalized")
 
 
 def components(spark, sf_dir):
@@ -142,11 +147,11 @@ def components(spark, sf_dir):
 
 
 def classes(spark, sf_dir):
-    return conflict_classes(sv.directed(spark, sf_dir)).select("model_key", "evidence_side_n", "label_side_n", "tie_n")
+    return conflict_classes(directed_units(sv.metrics(spark, sf_dir))).select("model_key", "evidence_side_n", "label_side_n", "tie_n")
 
 
 def proportions(spark, sf_dir):
-    return rounded(class_proportions(sv.directed(spark, sf_dir)).select("model_key", "classification", "n", "proportion"), "proportion")
+    return rounded(class_proportions(directed_units(sv.metrics(spark, sf_dir))).select("model_key", "classification", "n", "proportion"), "proportion")
 
 
 def summary(spark, sf_dir):
@@ -177,7 +182,7 @@ def main_metrics_wide(spark, sf_dir):
 
 
 def by_unit(spark, sf_dir) -> DataFrame:
-    return agreement_by_unit(sv.directed(spark, sf_dir), sv.MODELS)
+    return agreement_by_unit(directed_units(sv.metrics(spark, sf_dir)), sv.MODELS)
 
 
 def agreement_units(spark, sf_dir):
@@ -317,6 +322,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "condition_pivot": pivoted,
     "unit_metrics_target": unit_metrics_target,
     "unit_metrics_directed": unit_metrics_directed,
+    "every_pair_metrics": every_pair_metrics,
     "divergence_components": components,
     "conflict_classes": classes,
     "class_proportions": proportions,

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorvia.functions.prompts import CONDITIONS
-from quorvia.operators.metrics import UNIT, condition_pivot, directed_units, target_units, unit_metrics, with_references
-from quorvia.operators.pairs import directed_manifest
+from quorvia.operators.metrics import UNIT, condition_pivot, unit_metrics, with_references
+from quorvia.operators.pairs import candidate_pairs, directed, directed_manifest
 from quorvia.sources.stored import stored
 
 MODELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -55,8 +55,9 @@ def survey(counts: DataFrame) -> DataFrame:
     return filled(by, ["question_id", "country"], options_of(counts)).select("question_id", "country", "options", F.transform("n", lambda x: x / total("n")).alias("p"))
 
 
-def manifest(cells: DataFrame, n_directed: int = N_DIRECTED) -> DataFrame:
-    return stored(directed_manifest(cells, n_directed), "manifest")
+def manifest(cells: DataFrame, n_directed: int | None = N_DIRECTED) -> DataFrame:
+    """The most divergent pairs in both directions; all pairs if no number is given."""
+    return stored(directed(candidate_pairs(cells)) if n_directed is None else directed_manifest(cells, n_directed), "manifest")
 
 
 def predictions(counts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -85,22 +86,14 @@ def predictions(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     return df.select(*UNIT, "condition", "options", F.transform("w", lambda x: x / total("w")).alias("p"))
 
 
-def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def metrics(spark: SparkSession, sf_dir: str, n_directed: int | None = N_DIRECTED) -> DataFrame:
     """Unit metrics of all directed pairs whose references differ (equal ones are a violation elsewhere)."""
     counts = cube(spark, sf_dir)
     cells = stored(survey(counts), "cells")
-    rows = stored(predictions(counts, manifest(cells)), "predictions")
+    rows = stored(predictions(counts, manifest(cells, n_directed)), "predictions")
     return stored(unit_metrics(with_references(condition_pivot(rows), cells)).where("jsd_references > 0"), "unit-metrics")
 
 
-def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return target_units(metrics(spark, sf_dir))
-
-
-def directed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return directed_units(metrics(spark, sf_dir))
-
-
 def domains(cells: DataFrame) -> DataFrame:
     return cells.select("question_id").distinct().withColumn("domain", F.when(F.substring("question_id", 2, 4).cast("int") < 1998, "GAS").otherwise("WVS"))
 
