@@ -1,3 +1,4 @@
+import functools
 import random
 import re
 
@@ -16,12 +17,15 @@ def test_query_and_sql(spark):
     assert same(QUERIES["op4_url_filters"](spark, SF), ORACLE_SQL["op4_url_filters"], views(SF)) == 250
 
 
+compiled = functools.lru_cache(None)(re.compile)
+
+
 def brute(url, rules):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match("[^/?#]*", rest)[0]
     path = re.match("[^?#]*", rest[len(host) :])[0]
     host = "".join(c.lower() if c.isascii() else c for c in host)
-    fits = [(r.kind, len(r.name), -i) for i, r in enumerate(rules) if re.search(r.pattern, host + path)]
+    fits = [(r.kind, len(r.name), -i) for i, r in enumerate(rules) if compiled(r.pattern).search(host + path)]
     best = rules[-max(fits)[2]] if fits else None
     return host, path, best.name if best and best.kind else None, best.verdict if best else "allow"
 
@@ -48,13 +52,14 @@ def test_literals_are_needed():
 def test_a_long_list(spark):
     """Thousands of rules, the index as a broadcast table and as a shuffled one, against all rules on every URL."""
     rng = random.Random(5)
-    rules = [host_rule(f"{'abcdef'[i % 6]}{i % 700}.{rng.choice(['com', 'org', 'net'])}/{rng.choice(['', 'de/', 'x', 'en/a'])}", rng.choice(["block", "allow"])) for i in range(2500)]
+    rules = [host_rule(f"{'abcdef'[i % 6]}{i % 700}.{rng.choice(['com', 'org', 'net'])}/{rng.choice(['', 'de/', 'x', 'en/a'])}", rng.choice(["block", "allow"])) for i in range(1300)]
+    hosts = [r.name.split("/")[0] for r in rules]
     rules += [pattern_rule(f"^(?:[^/]*[.])?{w}[0-9]*[.]com/", "com") for w in ("shop", "promo")] + [pattern_rule("^[^/]*/track$")] + list(OWN_RULES)
-    urls = [f"http://{rng.choice(['www.', '', 'm.'])}{rng.choice('abcdefg')}{rng.randrange(720)}.{rng.choice(['com', 'org', 'net'])}/{rng.choice(['', 'de/1', 'xy', 'en/ab?q', 'track'])}" for _ in range(150)]
+    urls = [f"http://{rng.choice(['www.', '', 'm.', 'not'])}{rng.choice(hosts)}/{rng.choice(['', 'de/1', 'xy', 'en/ab?q', 'track'])}" for _ in range(150)]
     urls += ["https://shop12.com/a", "https://a.promo.com/", None]
     df = spark.createDataFrame([(i, u, "kept") for i, u in enumerate(urls)], "page_id int, url string, best string")
     want = sorted((i, *brute(u, rules)) for i, u in enumerate(urls))
-    assert sum(w[3] is not None for w in want) > 50
+    assert sum(w[3] is not None for w in want) > 30
     for most in (100, 20_000):
         with_bound = pytest.MonkeyPatch()
         with_bound.setattr(urls_module, "BROADCAST_RULES", most)
@@ -66,4 +71,4 @@ def test_a_long_list(spark):
         assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in rows) == want and {r.best for r in rows} == {"kept"}
     index, _ = rarest_tokens(df.selectExpr("coalesce(url, '') AS key"), rules)
     # filed under what few URLs hold, not under com or org
-    assert sum(index[i] in ("com", "org", "net") for i in range(2500)) < 50
+    assert sum(index[i] in ("com", "org", "net") for i in range(1300)) < 50
