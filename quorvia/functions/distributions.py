@@ -210,11 +210,6 @@ def path_score(token_log_probabilities: Column | str) -> Column:
     return total(token_log_probabilities)
 
 
-def divergence_components(named: dict[str, tuple[Column | str, Column | str]]) -> Column:
-    """A struct of named divergences, each computed once."""
-    return F.struct(*[js_divergence(a, b).alias(k) for k, (a, b) in named.items()])
-
-
 def agreement_predicates(evidence_side: Column, label_side: Column, n_models: int, lone: Column | None = None) -> dict[str, Column]:
     """The agreement statistics by name, in their order. lone: one given model alone on the label's side."""
     found = {

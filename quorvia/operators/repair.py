@@ -35,11 +35,13 @@ QUESTION_TEXTS = {
     "Q0914": "Does the government of Russia respect the personal freedoms of its people?",
     "Q1510": "How would you rate corruption in the respondent's country on a 10-point scale where 1 means there is no corruption and 10 means there is abundant corruption?",
 }
-TEXT_REPAIR = "audited_deictic_or_placeholder_normalization"
+#: What repaired questions carry.
+REPAIR_STATUS, TEXT_REPAIR = "exact_shared_response_schema", "audited_deictic_or_placeholder_normalization"
 #: The one option text that is rewritten.
 OPTION_TEXT = ("Q1510", "my country", "the respondent's country")
 
 MIN_MASS = 0.5
+#: The reasons for which a question, and below a sample, is set aside, in order.
 REASONS = (
     *QUARANTINE,
     "invalid_options",
@@ -152,7 +154,7 @@ def repair_survey(questions: DataFrame, samples: DataFrame, min_mass: float = MI
             "source_question": F.when(new.isNotNull(), F.col("question")),
             "question": F.coalesce(new, "question"),
             "text_repair": F.when(new.isNotNull(), TEXT_REPAIR),
-            "repair_status": F.lit("exact_shared_response_schema"),
+            "repair_status": F.lit(REPAIR_STATUS),
         }
     )
     pairs = F.filter(F.arrays_zip("options", "p"), lambda x: ~is_nonresponse(x["options"]))

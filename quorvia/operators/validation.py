@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from quorvia.functions.distributions import distribution_fault, distributions_close, evidence_override_normalized, label_map, map_label_probabilities, normalize_log_scores, option_labels
 from quorvia.functions.prompts import CONDITIONS
-from quorvia.functions.text import canonical_option, directed_unit_id, is_blank, target_unit_id, text_hash
+from quorvia.functions.text import canonical_option, directed_unit_id, is_blank, stable_seed, target_unit_id, text_hash
+from quorvia.functions.udfs import shuffle_options
 from quorvia.operators.metrics import DIRECTED_METRICS, TARGET, TARGET_METRICS, UNIT
 from quorvia.operators.pairs import missing_reciprocals
 
@@ -270,6 +271,21 @@ def cluster_rules(targets: DataFrame, directed: DataFrame, models: Sequence[str]
     )
 
 
+def permutation_rules(rows: DataFrame, seed: int = 42) -> DataFrame:
+    """Seeds and displayed orders that don't follow from the run's seed and the target.
+
+    rows: question_id, label_country, options, displayed, permutation_seed.
+    """
+    own = stable_seed(seed, target_unit_id("question_id", "label_country"))
+    df = rows.withColumn("own_seed", own).withColumn("own_order", shuffle_options("options", "own_seed"))
+    return failing(df, {"permutation seed": F.col("permutation_seed") != F.col("own_seed"), "displayed order": F.col("displayed") != F.col("own_order")}, "question_id", "label_country").distinct()
+
+
+def provenance_rules(rows: DataFrame, expected: Mapping[str, str]) -> DataFrame:
+    """Rows that are not bound to the run: a column whose value is another than the expected digest."""
+    return failing(rows, {f"other {name}": F.col(name) != value for name, value in expected.items()}, *UNIT, "condition")
+
+
 def target_rules(targets: DataFrame) -> DataFrame:
     return flagged(targets.where(~F.col("invariant")), "target metric varies with its partner", *TARGET)
 

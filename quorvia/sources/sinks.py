@@ -104,6 +104,24 @@ def hash_manifest(files: DataFrame) -> DataFrame:
     return file_hashes(files).orderBy("path").select(F.concat_ws("  ", "sha256", "path").alias("value"))
 
 
+def verify_hashes(files: DataFrame, listed: DataFrame) -> DataFrame:
+    """fault, path: files that lack, differ from their listed digest, or aren't listed.
+
+    listed: lines (value) of a hash manifest, with the paths that ``files`` has.
+    """
+    parts = F.split("value", "  ", 2)
+    wanted = listed.where("value <> ''").select(parts[1].alias("path"), parts[0].alias("wanted"))
+    both = file_hashes(files).join(wanted, "path", "full")
+    fault = F.when(F.col("sha256").isNull(), "missing").when(F.col("wanted").isNull(), "unexpected").when(F.col("sha256") != F.col("wanted"), "differs")
+    return both.select(fault.alias("fault"), "path").where("fault IS NOT NULL")
+
+
+def derived_faults(folder: str | Path, made: Mapping[str, bytes]) -> list[str]:
+    """Stored files that are not byte for byte what was made again: names with what is wrong."""
+    found = {name: Path(folder, name) for name in sorted(made)}
+    return [f"{n}: {'missing' if not p.is_file() else 'differs'}" for n, p in found.items() if not p.is_file() or p.read_bytes() != made[n]]
+
+
 def credential_hits(files: DataFrame, pattern: str = r"(?i)(?:api[_-]?key|secret|token)['\"]?\s*[:=]\s*['\"][A-Za-z0-9_\-]{16,}|-----BEGIN [A-Z ]*PRIVATE KEY-----") -> DataFrame:
     """Paths of files that seem to hold credentials; bytes are looked at as Latin-1."""
     return files.where(F.decode("content", "ISO-8859-1").rlike(pattern)).select("path")

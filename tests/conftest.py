@@ -13,7 +13,7 @@ os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parent.parent}:{os.enviro
 def spark():
     session = (
         SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")

@@ -5,12 +5,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quorvia.functions.distributions import all_metrics
 from quorvia.functions.prompts import first_difference, marker_count
-from quorvia.functions.text import csv_cell
+from quorvia.functions.text import canonical_option, csv_cell
+from quorvia.functions.udfs import python_json
 from quorvia.operators import bootstrap as boot
 from quorvia.operators.resume import finished_prefix, pair_limit, permutation_digest, progress_document
 from quorvia.operators.summaries import agreement_summary, extreme_cases, main_metrics
-from quorvia.operators.validation import cluster_rules, metadata_faults, row_rules
+from quorvia.operators.validation import cluster_rules, metadata_faults, permutation_rules, provenance_rules, row_rules
 from quorvia.plans.inputs import load_dataset, load_inputs
 from quorvia.sources import readers, sinks, stored
 
@@ -230,3 +232,59 @@ def test_shared_folder():
     assert stored.shared_dir(Session).startswith("file://") and stored.shared_dir(Session) == Session.conf.found
     Session.sparkContext.master, Session.conf.found = "yarn", "hdfs://x/y"
     assert stored.shared_dir(Session) == "hdfs://x/y"
+
+
+def test_release(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / name).write_text(name)
+    files = readers.list_files(spark, str(tmp_path))
+    lines = sinks.hash_manifest(files).collect()
+    listed = spark.createDataFrame([(r.value,) for r in lines], "value string")
+    assert sinks.verify_hashes(files, listed).count() == 0
+    (tmp_path / "a").write_text("x")
+    (tmp_path / "b").unlink()
+    (tmp_path / "d").write_text("d")
+    found = {r.path[-1]: r.fault for r in sinks.verify_hashes(readers.list_files(spark, str(tmp_path)), listed).collect()}
+    assert found == {"a": "differs", "b": "missing", "d": "unexpected"}
+    assert sinks.derived_faults(tmp_path, {"a": b"x", "c": b"d", "e": b""}) == ["c: differs", "e: missing"]
+
+
+def test_bound_rows(spark):
+    from quorvia.functions.text import stable_seed, target_unit_id
+    from quorvia.functions.udfs import shuffle_options
+
+    df = spark.createDataFrame([("m", "Q", c, "Z", "baseline", list("abcdef"), "run") for c in "ABC"], "model_key string, question_id string, label_country string, evidence_country string, condition string, options array<string>, run_fingerprint string")
+    df = df.withColumn("permutation_seed", stable_seed(42, target_unit_id("question_id", "label_country"))).withColumn("displayed", shuffle_options("options", "permutation_seed"))
+    assert permutation_rules(df).count() == 0 and provenance_rules(df, {"run_fingerprint": "run"}).count() == 0
+    wrong = df.withColumn("displayed", F.when(F.col("label_country") == "A", F.col("options")).otherwise(F.col("displayed"))).withColumn("permutation_seed", F.col("permutation_seed") + F.when(F.col("label_country") == "B", 1).otherwise(0))
+    assert {(r.rule, r.key) for r in permutation_rules(wrong).collect()} == {("displayed order", "Q|A"), ("permutation seed", "Q|B")}
+    assert provenance_rules(df, {"run_fingerprint": "other"}).count() == 3
+
+
+def test_harmonised_rows(spark, tmp_path):
+    (tmp_path / "r.jsonl").write_text(json.dumps({"question_id": "Q", "condition": "evidence", "backend": "b", "domain": "x", "normalized_prediction": {"A": 1.0}}))
+    raw = spark.read.schema("question_id string, condition string, backend string, domain string, normalized_prediction map<string,double>").json(str(tmp_path / "r.jsonl"))
+    row = readers.harmonized(raw, "k", "Name", spark.createDataFrame([("Q", "GAS")], "question_id string, domain string")).first()
+    assert (row.model_key, row.model_name, row.domain, row.condition, row.backend, row.normalized_prediction, row.unit_id) == ("k", "Name", "GAS", "population_evidence", "b", {"A": 1.0}, None)
+    (tmp_path / "d.json").write_text(json.dumps({"metadata": {}, "results": [{"a": 1}, {"a": 2}]}))
+    assert sorted(r.a for r in readers.read_results(spark, str(tmp_path / "d.json"), "STRUCT<a: INT>").collect()) == [1, 2]
+
+
+def test_models_and_numbers(spark):
+    models = spark.createDataFrame([("b", 1), ("a", 2)], "name string, n int")
+    assert [(r.name, r.position) for r in readers.select_models(models, ["a", "b"]).collect()] == [("a", 0), ("b", 1)]
+    with pytest.raises(ValueError, match="unknown models"):
+        readers.select_models(models, ["c"])
+    df = spark.createDataFrame([(["y", "x"], [0.1, 1.0], [0.5, 0.5], [0.0, 1.0])], "k array<string>, v array<double>, p array<double>, q array<double>")
+    row = df.select(python_json("k", "v").alias("j"), all_metrics("p", "q", "q", "p", label="q", evidence="p").alias("m")).first()
+    assert row.j == '{"x": 1.0, "y": 0.1}'
+    apart = row.m.country_influence
+    assert row.m.evidence_influence == apart > 0 and row.m.evidence_advantage == 0 and row.m.EO_raw == apart and row.m.EO_normalized == 1
+    assert [r.o for r in spark.createDataFrame([(" x\u00a0",), ("  ",)], "t string").select(canonical_option("t").alias("o")).collect()] == ["x", None]
+
+
+def test_figure(spark, tmp_path):
+    pytest.importorskip("matplotlib")
+    main = spark.createDataFrame([("m", 0.1, 0.0, 0.3)], "model_key string, EO_raw double, EO_raw_ci_95_lower double, EO_raw_ci_95_upper double")
+    sinks.write_figure(main, "EO_raw", tmp_path / "f.png")
+    assert (tmp_path / "f.png").stat().st_size

@@ -1,5 +1,6 @@
 import pytest
 
+from quorvia.operators.repair import REASONS
 from quorvia.plans import contracts, queries
 from tests.duck import same, views
 
@@ -39,4 +40,5 @@ def test_reports_meet_their_rules(name):
 
 def test_every_reason_is_met():
     met = {r[0] for r in views("/root/testdata/sf0.01").sql(f"SELECT DISTINCT reason FROM ({ORACLE_SQL['quarantine_reason']})").fetchall()}
+    assert met <= {*REASONS, None}
     assert {"invalid_options", "fewer_than_two_substantive_options", "invalid_distribution_schema", "fewer_than_two_eligible_samples", "table_total_parser_artifact", None} <= met
