@@ -106,23 +106,23 @@ def score_documents(docs: DataFrame, weights: dict[int, float], *, text_col: str
     dense[list(weights)] = list(weights.values())
     sparse = docs.sparkSession.sparkContext.broadcast({"at": np.flatnonzero(dense).astype(np.uint32), "w": dense[np.flatnonzero(dense)]})
     others = [c for c in keep or docs.columns if c != score_col]
-    (own,) = fresh(docs, "text_to_score")
-    source = docs.select(*map(named, others), F.col(text_col).cast("string").alias(own))
-    schema = StructType([*source.schema.fields[:-1], StructField(score_col, DoubleType())])
+    # names by place: a name with a dot can't go through Arrow
+    source = docs.select(*[named(c).alias(f"c{i}") for i, c in enumerate(others)], F.col(text_col).cast("string").alias("text"))
+    schema = StructType([*source.schema.fields[:-1], StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros(1 << BITS)
         w[sparse.value["at"]] = sparse.value["w"]
         used = w != 0
-        for batch in record_batches(batches, text=own):
+        for batch in record_batches(batches):
             scores = []
-            for text in batch.column(own).to_pylist():
+            for text in batch.column("text").to_pylist():
                 at = features(text)
                 total = w[BIAS] + w[np.unique(at[used[at]])].sum()
                 scores.append(1 / (1 + np.exp(-np.clip(total, -35, 35))) if len(sparse.value["w"]) else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*others, score_col)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
