@@ -107,7 +107,8 @@ def shard_documents(
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(utf8) + 8).cast("long").alias("size"), F.crc32(utf8).alias("text_crc32"))
     rows = rows.withColumn("hash", F.xxhash64("doc_id", "text_crc32", "size")).withColumn("cell", F.shiftrightunsigned("hash", 64 - cell_bits).cast("int"))
     counts = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}
-    hot = sorted(c for c, n in counts.items() if n > max(HOT_ROWS, sum(counts.values()) // HOT_CELLS))
+    most = max(HOT_ROWS, sum(counts.values()) // HOT_CELLS)
+    hot = sorted(c for c, n in counts.items() if n > most)
     rows = rows.withColumn("part", F.lit(0))
     firsts = [(c, 0, 0) for c in counts]
     if hot:
