@@ -13,6 +13,7 @@ from quorvia.llm.media import scan_avi, write_avi
 from quorvia.llm.minhash import groups
 from quorvia.llm.mixing import mix_documents
 from quorvia.llm.packing import pack_documents
+from quorvia.llm.periods import RUN, periodic_runs
 from quorvia.llm.sharding import shard_documents
 from quorvia.llm.toxicity import toxicity
 from quorvia.llm.urls import OWN_RULES, host_rule, judge_urls
@@ -187,6 +188,28 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_summary(scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; the words of a tenth of the documents, by the checksum of the id, repeat from some place on."""
+    at = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", (at / 10).cast("long").alias("g"), F.when(at % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))).alias("words"))
+    n = F.size("words").cast("long")
+    start = chosen.select("doc_id", "text", "g", "words", F.when(n > 0, F.col("g") % n).alias("a"))
+    period = start.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    repeated = F.transform("words", lambda w, i: F.when(i >= F.col("a"), F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))).otherwise(w))
+    return period.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    # runs are in order of start and period, so the first of equal exponents stays
+    best = F.aggregate("runs", F.lit(None).cast(RUN[6:-1]), lambda b, r: F.when(b.isNull() | (r.length * b.period > b.length * r.period), r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    text = F.when(F.size(lines) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.floor(1000 * F.col("best.length") / F.col("best.period"))
+    return told.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_nearest": op2_nearest,
@@ -198,6 +221,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_preferences": op9_preferences,
     "op10_licenses": op10_licenses,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE_SQL = {
