@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorvia.llm.alignment import align_documents, link_sums, piece_count
 from quorvia.llm.ann import nearest
 from quorvia.llm.chat import branch_conversations, conversations, format_preferences, spans_text
-from quorvia.llm.common import table
+from quorvia.llm.common import cut, table
 from quorvia.llm.licenses import license_summary, scan_licenses
 from quorvia.llm.media import scan_avi, write_avi
 from quorvia.llm.minhash import groups
@@ -210,6 +211,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = tokenizer_path("piece_bpe_32k.model")
+    aligned = align_documents(table(spark, sf_dir, "documents"), tokenizer_path(), pieces)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    held = cut(aligned.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    sums = link_sums(held, piece_count(pieces))
+    return held.join(sums, "row").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_nearest": op2_nearest,
@@ -222,6 +232,7 @@ QUERIES = {
     "op9_preferences": op9_preferences,
     "op10_licenses": op10_licenses,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLE_SQL = {
