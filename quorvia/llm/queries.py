@@ -9,6 +9,7 @@ from quorvia.llm.alignment import align_documents, link_sums, piece_count
 from quorvia.llm.ann import nearest
 from quorvia.llm.chat import branch_conversations, conversations, format_preferences, spans_text
 from quorvia.llm.common import cut, table
+from quorvia.llm.languages import languages
 from quorvia.llm.licenses import license_summary, scan_licenses
 from quorvia.llm.media import scan_avi, write_avi
 from quorvia.llm.minhash import groups
@@ -220,6 +221,11 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.join(sums, "row").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = languages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_nearest": op2_nearest,
@@ -233,6 +239,7 @@ QUERIES = {
     "op10_licenses": op10_licenses,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_alignment": op12_alignment,
+    "op13_languages": op13_languages,
 }
 
 ORACLE_SQL = {
