@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorvia.functions.distributions import let
 from quorvia.llm.alignment import align_documents, link_sums, piece_count
 from quorvia.llm.ann import nearest
 from quorvia.llm.chat import branch_conversations, conversations, format_preferences, spans_text
@@ -193,12 +194,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def planted_periods(docs: DataFrame) -> DataFrame:
     """doc_id and text; the words of a tenth of the documents, by the checksum of the id, repeat from some place on."""
     at = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    chosen = docs.select("doc_id", "text", (at / 10).cast("long").alias("g"), F.when(at % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))).alias("words"))
-    n = F.size("words").cast("long")
-    start = chosen.select("doc_id", "text", "g", "words", F.when(n > 0, F.col("g") % n).alias("a"))
-    period = start.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
-    repeated = F.transform("words", lambda w, i: F.when(i >= F.col("a"), F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))).otherwise(w))
-    return period.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+    g = (at / 10).cast("long")
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        start = g % n
+        places = F.struct(start.alias("a"), (1 + F.floor((n - start) / (3 + g % 8))).alias("p"))
+        again = lambda x: F.transform(words, lambda w, i: F.when(i < x["a"], w).otherwise(F.get(words, (x["a"] + (i - x["a"]) % x["p"]).cast("int"))))
+        return F.when(n > 0, F.array_join(let(places, again), " ")).otherwise(F.col("text"))
+
+    # bound once: a filter on the text would else cut words anew for each of them
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
+    return docs.select("doc_id", F.when(at % 10 == 0, let(words, repeated)).otherwise(F.col("text")).alias("text"))
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
