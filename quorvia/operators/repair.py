@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quorvia.functions.distributions import aligned, distribution_fault, normalized, total
 from quorvia.functions.text import canonical_option, display_country, is_ineligible_sample, is_nonresponse, is_table_total, sample_status
+from quorvia.functions.variants import is_text
 
 #: Questions set aside by hand, by reason.
 QUARANTINE = {
@@ -96,7 +97,10 @@ def sample_rules(samples: DataFrame, ruled: DataFrame, min_mass: float = MIN_MAS
     standing = ruled.where("reason IS NULL").select("question_id", "options")
     keys = F.transform(F.map_entries("distribution"), lambda e: F.struct(repaired_option(q, e["key"]).alias("key"), e["value"].alias("value")))
     df = samples.join(standing, "question_id").withColumn("__entries", keys)
-    df = df.withColumn("__map", F.map_from_entries(F.filter("__entries", lambda e: e["key"].isNotNull())))
+    # of keys that became equal the last one counts, in the place of the first
+    texts = F.array_distinct(F.filter(F.transform("__entries", lambda e: e["key"]), lambda k: k.isNotNull()))
+    last = lambda k: F.element_at(F.filter("__entries", lambda e: e["key"] == k), -1)["value"]
+    df = df.withColumn("__map", F.map_from_arrays(texts, F.transform(texts, last)))
     fault = F.when(F.exists("__entries", lambda e: e["key"].isNull()), "keys").otherwise(distribution_fault("__map", "options"))
     df = df.withColumn("p", aligned("__map", "options")).withColumn("__ineligible", is_ineligible_sample("country")).withColumn("__fault", F.when(~F.col("__ineligible"), fault))
     broken = df.where("__fault IS NOT NULL").groupBy("question_id").agg(F.min("place").alias("__broken"))
@@ -184,11 +188,21 @@ def exclusion_summary(found: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def source_counts(questions: DataFrame, samples: DataFrame) -> DataFrame:
-    """One row of counts of the export itself."""
+    """One row of counts of the export itself.
+
+    Questions with options that aren't texts are counted where options are VARIANTs, or where
+    ``numeric_options`` says so.
+    """
+    kinds = dict(questions.dtypes)
+    numeric = F.lit(False)
+    if kinds["options"] == "array<variant>":
+        numeric = F.exists("options", lambda o: ~is_text(o))
+    elif "numeric_options" in kinds:
+        numeric = F.col("numeric_options")
     labels = samples.agg(
         F.count("*").alias("units"),
         F.count_if(F.col("country").contains("(Non-national sample)")).alias("non_national"),
         F.count_if(F.col("country").contains("(Old national sample)")).alias("old_national"),
         F.count_if(F.col("country").contains("(Current national sample)")).alias("current_national"),
     )
-    return labels.crossJoin(questions.agg(F.count("*").alias("questions")))  # one row each
+    return labels.crossJoin(questions.agg(F.count("*").alias("questions"), F.count_if(numeric).alias("numeric_option_questions")))  # one row each

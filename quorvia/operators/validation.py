@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorvia.functions.distributions import distribution_fault, distributions_close, evidence_override_normalized, label_map, map_label_probabilities, normalize_log_scores, option_labels
+from quorvia.functions.json_text import canonical_hash
 from quorvia.functions.prompts import CONDITIONS
 from quorvia.functions.text import canonical_option, directed_unit_id, is_blank, stable_seed, target_unit_id, text_hash
 from quorvia.functions.udfs import shuffle_options
@@ -286,6 +287,13 @@ def provenance_rules(rows: DataFrame, expected: Mapping[str, str]) -> DataFrame:
     return failing(rows, {f"other {name}": F.col(name) != value for name, value in expected.items()}, *UNIT, "condition")
 
 
+def signature_rules(rows: DataFrame, signature_col: str = "signature", fingerprint_col: str = "run_fingerprint") -> DataFrame:
+    """Rows whose fingerprint is not the hash of their own signature, worked out again from its canonical JSON."""
+    own = canonical_hash(signature_col, rows.schema[signature_col].dataType)
+    lacks = F.col(signature_col).isNull() | is_blank(F.col(fingerprint_col))
+    return failing(rows, {"signature missing": lacks, "signature hash": ~lacks & (F.col(fingerprint_col) != own)}, *UNIT, "condition")
+
+
 def target_rules(targets: DataFrame) -> DataFrame:
     return flagged(targets.where(~F.col("invariant")), "target metric varies with its partner", *TARGET)
 

@@ -104,7 +104,7 @@ rawcell AS (SELECT printf('Q%04d', CASE o_custkey % 60 WHEN 50 THEN 311 WHEN 51
 opts AS (SELECT DISTINCT question_id, option FROM rawcell),
 samp AS (SELECT DISTINCT question_id, country, place FROM rawcell),
 full_cell AS (SELECT s.question_id, s.country, s.place, trim(o.option) AS option,
-    coalesce(r.value, 0) * CASE WHEN s.place = 5 AND o.option = 'Don''t know' THEN 6 ELSE 1 END AS value,
+    coalesce(r.value, 0) * CASE WHEN s.place = 5 AND o.option = 'Don''t know' THEN 6 WHEN s.place = 6 AND o.option = 'HIGH' THEN 3 ELSE 1 END AS value,
     regexp_matches(lower(trim(o.option)), '{NONRESPONSE.replace("'", "''")}') AS nonresponse
   FROM samp s JOIN opts o USING (question_id) LEFT JOIN rawcell r ON r.question_id = s.question_id AND r.country = s.country AND r.option = o.option
   WHERE r.value IS NOT NULL OR CAST(substr(s.question_id, 2, 4) AS INT) % 11 <> 0),
@@ -167,7 +167,7 @@ SQL = {
     "support_check": query(EXPORT, "SELECT question_id, CAST(count(*) FILTER (status = 'kept') AS BIGINT) AS eligible, CAST(count(DISTINCT support) FILTER (status = 'kept') AS BIGINT) AS supports FROM judged GROUP BY question_id"),
     "exclusion_summary": query(EXPORT, "SELECT 'question' AS kind, reason, count(*) AS count FROM decided WHERE reason IS NOT NULL GROUP BY reason UNION ALL SELECT 'sample', CASE status WHEN 'ineligible' THEN 'explicit_non_national_or_old_removed' ELSE 'insufficient_substantive_mass_removed' END, count(*) FROM judged WHERE status IN ('ineligible', 'low mass') GROUP BY status"),
     "repaired_cells": query(EXPORT, f"SELECT question_id, regexp_replace(country, ' \\(Current national sample\\)$', '') AS country_display, CASE WHEN ends_with(country, ' (Current national sample)') THEN 'current_national' ELSE 'national' END AS sample_status, option, {r('value / sum(value) OVER (PARTITION BY question_id, country)', 9, 'p')} FROM full_cell JOIN judged USING (question_id, country) JOIN decided USING (question_id) WHERE status = 'kept' AND reason IS NULL AND NOT nonresponse"),
-    "source_counts": query(EXPORT, "SELECT count(*) AS units, count(*) FILTER (contains(country, '(Non-national sample)')) AS non_national, count(*) FILTER (contains(country, '(Old national sample)')) AS old_national, count(*) FILTER (contains(country, '(Current national sample)')) AS current_national, (SELECT count(DISTINCT question_id) FROM opts) AS questions FROM samp"),
+    "source_counts": query(EXPORT, "SELECT count(*) AS units, count(*) FILTER (contains(country, '(Non-national sample)')) AS non_national, count(*) FILTER (contains(country, '(Old national sample)')) AS old_national, count(*) FILTER (contains(country, '(Current national sample)')) AS current_national, (SELECT count(DISTINCT question_id) FROM opts) AS questions, (SELECT count(DISTINCT question_id) FROM opts WHERE CAST(substr(question_id, 2, 4) AS INT) % 7 = 3) AS numeric_option_questions FROM samp"),
     "condition_pivot": query(PREDICTIONS, f"SELECT {UNIT}, option, {r('baseline')}, {r('country_label')}, {r('population_evidence')}, {r('conflict')} FROM wide"),
     "unit_metrics_target": query(METRICS, f"SELECT model_key, question_id, label_country, {r('country_influence')}, {r('evidence_influence')}, {r('evidence_advantage')}, repetitions FROM targets"),
     "unit_metrics_directed": query(METRICS, f"SELECT {UNIT}, {r('EO_raw')}, {r('EO_normalized')}, classification FROM metrics"),

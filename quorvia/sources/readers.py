@@ -6,12 +6,14 @@ import json
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quorvia.functions.text import canonical_condition, directed_unit_id, strip
-from quorvia.sources.schemas import DATASET, MANIFEST, PREDICTION
+from quorvia.functions.variants import is_text, kind, value_text
+from quorvia.sources.schemas import DATASET, MANIFEST, PREDICTION, TYPED_PREDICTION
+from quorvia.sources.stored import stored
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -69,9 +71,16 @@ def line_count(spark: SparkSession, path: str) -> int:
 
 
 def read_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A survey keyed by question id: questions, and samples in long form with their place."""
+    """A survey keyed by question id: questions, and samples in long form with their place.
+
+    Options are texts; ``numeric_options`` says whether some weren't written as such.
+    """
     entries = read_json(spark, path, DATASET).select(F.explode("value").alias("key", "q"))
-    questions = entries.select(F.col("key").alias("question_id"), "q.domain", "q.question", "q.options", "q.country_display_names")
+    typed = F.col("q.options")
+    questions = entries.select(
+        F.col("key").alias("question_id"), "q.domain", "q.question", F.transform(typed, value_text).alias("options"), "q.country_display_names",
+        F.coalesce(F.exists(typed, lambda o: ~is_text(o)), F.lit(False)).alias("numeric_options"),
+    )
     samples = entries.select(F.col("key").alias("question_id"), F.posexplode(F.map_entries("q.countries")).alias("place", "c"))
     return questions, samples.select("question_id", F.col("c.key").alias("country"), "place", F.col("c.value.distribution").alias("distribution"), F.col("c.value.sample_status").alias("sample_status"))
 
@@ -85,7 +94,49 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def read_predictions(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Harmonised predictions of one or several models; conditions by their canonical names."""
-    return read_jsonl(spark, paths, PREDICTION).withColumn("condition", canonical_condition("condition"))
+    typed = read_jsonl(spark, paths, TYPED_PREDICTION).withColumn("condition", canonical_condition("condition"))
+    return typed.withColumn("quantization", F.when(F.col("quantization").isNotNull() & (kind("quantization") != "VOID"), value_text("quantization")))
+
+
+def read_model_results(spark: SparkSession, paths: Mapping[str, str], *, rows_per_model: int | Mapping[str, int], names: Mapping[str, str] | None = None, domains: DataFrame | None = None) -> DataFrame:
+    """The full result rows of several models as one table, in the shared layout with typed variants.
+
+    paths: a file or folder of JSON lines for each model key. Each line is parsed as a VARIANT,
+    so files may differ in the types of their fields: numbers written as texts are read as
+    numbers, options of any type become texts, and ``quantization`` stays as written. Fields a
+    model didn't write are null. A line that is no object, and a model with another number of
+    rows than asked for, are errors. names: display names by key; domains: question_id, domain.
+    """
+    lines = None
+    for key in paths:  # as many as models are named
+        one = spark.read.text(paths[key]).select(F.lit(key).alias("model_key"), F.col("value").alias("line"))
+        lines = one if lines is None else lines.unionAll(one)
+    if lines is None:
+        raise ValueError("no model is named")
+    parsed = F.try_parse_json("line")
+    row = F.when(kind(parsed).startswith("OBJECT"), parsed).otherwise(F.raise_error(F.concat(F.lit("bad result row of "), "model_key")))
+    rows = stored(lines.select("model_key", row.alias("v")), "model-results")
+    found = {r["model_key"]: r["count"] for r in rows.groupBy("model_key").count().collect()}
+    wanted = dict.fromkeys(paths, rows_per_model) if isinstance(rows_per_model, int) else dict(rows_per_model)
+    wrong = {k: found.get(k, 0) for k in paths if found.get(k, 0) != wanted[k]}
+    if wrong:
+        raise ValueError(f"incomplete model output: found {wrong} rows, {wanted} are asked for")
+    from pyspark.sql.types import VariantType, _parse_datatype_string
+
+    def field(name: str, dtype) -> Column:
+        if isinstance(dtype, VariantType):
+            return F.try_variant_get("v", f"$.{name}", "variant")
+        if name.endswith(("options", "option_order")):
+            return F.transform(F.try_variant_get("v", f"$.{name}", "array<variant>"), value_text)
+        return F.variant_get("v", f"$.{name}", dtype.simpleString())
+
+    own = {"model_key": F.col("model_key"), "condition": canonical_condition(F.variant_get("v", "$.condition", "string"))}
+    if names is not None:
+        own["model_name"] = F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("model_key"))
+    made = rows.select(*[own.get(f.name, field(f.name, f.dataType)).alias(f.name) for f in _parse_datatype_string(TYPED_PREDICTION)])
+    if domains is None:
+        return made
+    return made.drop("domain").join(domains.select("question_id", "domain"), "question_id", "left").select(*made.columns)
 
 
 def harmonized(raw: DataFrame, model_key: str, display_name: str, domains: DataFrame) -> DataFrame:

@@ -1,10 +1,14 @@
-"""Explicit schemas: distributions are maps, seeds are decimals, nothing is inferred."""
+"""Explicit schemas: distributions are maps, seeds are decimals, nothing is inferred.
+
+Where files differ in type (options that are texts or numbers, a quantization that is a text
+or an object) the field is a VARIANT, so that the scan keeps what was written.
+"""
 
 DISTRIBUTION = "MAP<STRING, DOUBLE>"
 
 COUNTRY = f"STRUCT<distribution: {DISTRIBUTION}, source_country_label: STRING, sample_status: STRING, substantive_mass_original: DOUBLE>"
 QUESTION = (
-    f"STRUCT<question_id: STRING, domain: STRING, question: STRING, options: ARRAY<STRING>, countries: MAP<STRING, {COUNTRY}>, "
+    f"STRUCT<question_id: STRING, domain: STRING, question: STRING, options: ARRAY<VARIANT>, countries: MAP<STRING, {COUNTRY}>, "
     "country_display_names: MAP<STRING, STRING>, repair_status: STRING, source_question: STRING, text_repair: STRING>"
 )
 #: One JSON object keyed by question id.
@@ -15,7 +19,7 @@ MANIFEST = (
     "options ARRAY<STRING>, divergence_bits DOUBLE, mapping_status STRING"
 )
 
-#: A harmonised prediction; ``quantization`` is text or an object, so it is kept as its JSON text.
+#: A harmonised prediction; ``quantization`` is text or an object, and here its text or JSON text.
 PREDICTION = (
     "model_key STRING, model_name STRING, model_identifier STRING, model_repository STRING, model_revision STRING, schema_version STRING, run_fingerprint STRING, "
     "backend STRING, quantization STRING, scoring_method STRING, synthetic BOOLEAN, question_id STRING, domain STRING, unit_id STRING, target_unit_id STRING, "
@@ -26,6 +30,9 @@ PREDICTION = (
     "candidate_label_token_ids MAP<STRING, ARRAY<INT>>, serialized_prompt_sha256 STRING"
 )
 
+#: The same with ``quantization`` as it was written.
+TYPED_PREDICTION = PREDICTION.replace("quantization STRING", "quantization VARIANT")
+
 BOOTSTRAP = (
     "model_key STRING, model STRING, metric STRING, n BIGINT, estimate DOUBLE, ci_95_lower DOUBLE, ci_95_upper DOUBLE, "
     "bootstrap_replicates BIGINT, question_clusters BIGINT, seed BIGINT"
