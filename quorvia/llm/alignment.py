@@ -18,8 +18,8 @@ names; a very long text is aligned as a whole and must fit into a task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from quorvia.llm.common import cut, named, record_batches
-from quorvia.llm.packing import Encoder
+from quorvia.llm.packing import PLAIN, Encoder
 
 #: Bound of the pairs whose counts are broadcast (16 bytes each).
 HEAD = 1_000_000
@@ -105,61 +105,53 @@ class Transducer:
         return np.frombuffer(bytes(trace), np.uint8)
 
 
-class Pieces(dict):
-    """Ids of a sentencepiece model by word, remembered up to a bound.
+#: An alignment: tokens of A and of B, groups, their text, linked pairs (binary, unsigned 32-bit) in order of reading.
+Aligned = tuple[int, int, int, str, bytes]
 
-    No piece goes on beyond a space, so what stands between single spaces is encoded alone;
-    other texts are encoded as a whole.
-    """
-
-    def __init__(self, path: str, most: int = 300_000):
-        import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.most = most
-        pieces = map(self.model.id_to_piece, range(self.model.get_piece_size()))
-        self.by_word = not any("▁" in p.lstrip("▁") for p in pieces)
+#: A space at which both tokenizers start a token, whatever stands around it.
+START = re.compile(r"(?<! )(?= \S)")
+#: What makes a text's spaces differ from those that single ``split`` cuts.
+UNEVEN = re.compile(r"^\s| (?:\s|$)")
+#: A word that can stand between others, and the mark that stands for a space in B's pieces.
+EVEN, MARK = re.compile(r" \S(?s:.*)(?<! )"), "▁"
 
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) >= self.most:
-            self.clear()
-        found = self[word] = self.model.encode(word)
-        return found
 
-    def encode(self, text: str) -> list[int]:
-        words = text.split(" ")
-        if not self.by_word or "" in words:
-            return self.model.encode(text)
-        return list(chain.from_iterable(map(self.__getitem__, words)))
+class Aligner:
+    """Two tokenizers, their tokens' bytes and the transducer between them.
 
+    No token of either side goes on beyond a single space before a word, so the residual is
+    empty there, and a text's alignment is made of those of its words. New words are walked one
+    after the other, as one text; ``most`` of them are remembered, if not longer than ``longest``.
+    """
 
-class Aligner:
-    """Two tokenizers, their tokens' bytes and the transducer between them."""
+    def __init__(self, path_a: str, path_b: str, most: int = 600_000, longest: int = 100, at_once: int = 4000):
+        import sentencepiece
 
-    def __init__(self, path_a: str, path_b: str):
+        self.known: dict[str, Aligned | None] = {}
+        self.most, self.longest, self.at_once = most, longest, at_once
         # an encoder of its own: special tokens' strings in a text are plain text here
         self.encode_a = Encoder(path_a)
         self.encode_a.slow.encode_special_tokens = True
-        self.encode_b = Pieces(path_b).encode
+        m = self.model_b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(own))}
-        file_a, m = self.encode_a.slow, self.encode_b.__self__.model
+        file_a = self.encode_a.slow
         pieces_a = [file_a.id_to_token(i) for i in range(file_a.get_vocab_size())]
         bytes_a = [bytes(byte[c] for c in p) for p in pieces_a]
         pieces_b = [m.id_to_piece(i) for i in range(m.get_piece_size())]
-        bytes_b = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces_b)]
+        bytes_b = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces_b)]
+        self.by_word = not any(MARK in p.lstrip(MARK) for p in pieces_b)
         self.n_a, self.n_b = len(bytes_a), len(bytes_b)
         self.bytes_b = bytes_b
+        self.lengths = np.array([len(x) for x in bytes_a]), np.array([len(x) for x in bytes_b])
         self.net = Transducer(bytes_a, bytes_b)
         # an id with the mark before it: of a group, of its second side, or between ids
         self.marked = [f"{mark}{i}" for n, marks in ((self.n_a, ";,"), (self.n_b, "|,")) for mark in marks for i in range(n)]
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """Ids of A, ids of B and the trace; none if the text has no tokens by definition."""
-        if not text:
-            return None
-        spelled = " " + text
-        b = self.encode_b(text)
+    def walked(self, spelled: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of A, ids of B and the trace of a text that starts with the space which B adds itself; none if the bytes differ."""
+        b = self.model_b.encode(spelled[1:])
         if b"".join(map(self.bytes_b.__getitem__, b)) != spelled.encode("utf-8", "surrogatepass"):
             return None
         a = self.encode_a(spelled)
@@ -169,8 +161,74 @@ class Aligner:
             return None
         return a.astype(np.int64), np.array(b, np.int64), trace
 
-    def groups(self, a: np.ndarray, b: np.ndarray, trace: np.ndarray) -> str:
-        """``a1,a2|b1;a3|b2,b3``: the ids of both sides, group by group."""
+    def align(self, words: list[str]) -> list[Aligned | None]:
+        """The alignments of words that stand one after the other; several are all even ones."""
+        found = self.walked("".join(words))
+        if found is None:
+            return [None] if len(words) == 1 else [x for w in words for x in self.align([w])]
+        a, b, trace = found
+        ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in words])
+        upto_a = np.concatenate([[0], np.searchsorted(np.cumsum(self.lengths[0][a]), ends, "right")])
+        upto_b = np.concatenate([[0], np.searchsorted(np.cumsum(self.lengths[1][b]), ends, "right")])
+        steps = upto_a + upto_b
+        before = np.concatenate([[NOBODY], trace[:-1]])
+        groups = np.concatenate([[0], np.cumsum(before == NOBODY)])[steps]
+        texts, links = self.groups(a, b, trace), self.links(a, b, trace).astype("<u4").tobytes()
+        out: list[Aligned | None] = []
+        places = zip(upto_a.tolist(), upto_b.tolist(), groups.tolist(), steps.tolist(), strict=True)
+        s_a, s_b, s_g, s = next(places)
+        for e_a, e_b, e_g, e in places:
+            # a read that opens a group makes no link
+            out.append((e_a - s_a, e_b - s_b, e_g - s_g, "".join(texts[s:e])[1:], links[4 * (s - s_g) : 4 * (e - e_g)]))
+            s_a, s_b, s_g, s = e_a, e_b, e_g, e
+        return out
+
+    def words(self, text: str) -> list[str]:
+        """A text in pieces that start at such spaces, the one that B adds before it included."""
+        if not text:
+            return []
+        if not self.by_word:
+            return [" " + text]
+        if UNEVEN.search(text):
+            return [w for w in START.split(" " + text) if w]
+        return [" " + w for w in text.split(" ")]
+
+    def __call__(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray, np.ndarray] | None]:
+        """For each text its tokens of A and B, groups, their text, distinct linked pairs and how
+        often each; none if it has no tokens."""
+        every = [self.words(t) for t in texts]
+        if len(self.known) > self.most:
+            self.known.clear()
+        known = self.known
+        new = {w for words in every for w in words if w not in known}
+        even, long = [], []
+        for w in new:
+            if len(w) > self.longest or MARK in w or not EVEN.fullmatch(w):
+                long.append(w)
+            else:
+                even.append(w)
+        # the slower encoder takes only those that need it
+        even.sort(key=lambda w: PLAIN.search(w) is not None)
+        cut = sum(PLAIN.search(w) is None for w in even)
+        for part in (even[:cut], even[cut:]):
+            for i in range(0, len(part), self.at_once):
+                some = part[i : i + self.at_once]
+                known.update(zip(some, self.align(some), strict=True))
+        for w in long:
+            known[w] = self.align([w])[0]
+        for words in every:
+            found = [known[w] for w in words]
+            if not found or None in found:
+                yield None
+                continue
+            pairs, times = np.unique(np.frombuffer(b"".join([x[4] for x in found]), "<u4"), return_counts=True)
+            yield sum([x[0] for x in found]), sum([x[1] for x in found]), sum([x[2] for x in found]), ";".join([x[3] for x in found]), pairs, times
+        for w in long:
+            if len(w) > self.longest:
+                del known[w]
+
+    def groups(self, a: np.ndarray, b: np.ndarray, trace: np.ndarray) -> list[str]:
+        """``;a1`` ``,a2`` ``|b1``: the ids of both sides with their marks, group by group."""
         before = np.concatenate([[NOBODY], trace[:-1]])
         group = np.cumsum(before == NOBODY) - 1
         of_b = before == A
@@ -181,7 +239,7 @@ class Aligner:
         first_b = np.concatenate([[True], group_b[1:] != group_b[:-1]])
         codes[np.arange(len(a)) + np.searchsorted(group_b, every)[group_a]] = a + np.where(first_a, 0, self.n_a)
         codes[np.arange(len(b)) + np.searchsorted(group_a, every, "right")[group_b]] = b + 2 * self.n_a + np.where(first_b, 0, self.n_b)
-        return "".join(map(self.marked.__getitem__, codes.tolist()))[1:]
+        return list(map(self.marked.__getitem__, codes.tolist()))
 
     def links(self, a: np.ndarray, b: np.ndarray, trace: np.ndarray) -> np.ndarray:
         """The linked pairs as id of A times ids of B plus id of B, in order of reading."""
@@ -217,14 +275,12 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, *, id_col: str =
         row = TaskContext.get().partitionId() << 33
         for batch in record_batches(batches):
             out: list[list] = [[] for _ in range(8)]
-            for text in batch.column("text").to_pylist():
+            for found in align([t or "" for t in batch.column("text").to_pylist()]):
                 values: tuple = (0, 0, 0, 0, "", b"", b"")
-                found = align(text or "")
                 if found:
-                    a, b, trace = found
-                    links = align.links(a, b, trace)
-                    pairs, times = np.unique(links, return_counts=True)
-                    values = (len(a), len(b), int(np.count_nonzero(trace == NOBODY)), len(links), align.groups(a, b, trace), pairs.astype("<u4").tobytes(), times.astype("<u4").tobytes())
+                    n_a, n_b, n_groups, groups, pairs, times = found
+                    # a group of so many tokens has one link fewer
+                    values = (n_a, n_b, n_groups, n_a + n_b - n_groups, groups, pairs.tobytes(), times.astype("<u4").tobytes())
                 for column, value in zip(out, (row, *values), strict=True):
                     column.append(value)
                 row += 1

@@ -1,13 +1,15 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from quorvia.llm import alignment
-from quorvia.llm.alignment import Aligner, Mismatch, Pieces, Transducer, align_documents, link_sums, piece_count
+from quorvia.llm.alignment import Aligner, Mismatch, Transducer, align_documents, link_sums, piece_count
 from quorvia.llm.common import cut
 from quorvia.llm.queries import QUERIES
 
@@ -97,12 +99,21 @@ def test_odd_rows_and_any_head(spark, head):
     assert link_sums(empty, piece_count(B), head=head).count() == 0
 
 
-def test_pieces_by_word_are_those_of_the_text(spark):
-    pieces = Pieces(B, most=50)
-    texts = [t for t in ODD if t] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text]
-    assert pieces.by_word
-    for t in texts:
-        assert pieces.encode(t) == pieces.model.encode(t)
+def test_words_are_aligned_as_in_their_text(spark):
+    """Texts cut at single spaces against the alignment of the whole text."""
+    align = Aligner(A, B, most=50, longest=30, at_once=7)
+    spaces = [" ", "  ", "\n", " \n", "\n ", "\n \n", "\t", "\u00a0", " \u3000", "\x1c", "\u0085 ", " \u2028"]
+    rng = random.Random(4)
+    made = ["".join(rng.choice(["a", "Bc", "é", "12", "'s", "...", "日", "<s>", "▁"]) + rng.choice(spaces) for _ in range(rng.randrange(1, 12))) for _ in range(600)]
+    texts = [t for t in ODD if t] + made + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text]
+    assert align.by_word
+    for i in range(0, len(texts), 40):
+        for t, got in zip(texts[i : i + 40], align(texts[i : i + 40]), strict=True):
+            whole = align.align([" " + t])[0]
+            assert (got is None) == (whole is None), t
+            if whole:
+                pairs = Counter(np.frombuffer(whole[4], "<u4").tolist())
+                assert got[:4] == whole[:4] and dict(zip(got[4].tolist(), got[5].tolist(), strict=True)) == pairs, t
 
 
 def test_transducer_tracks_the_longer_side(monkeypatch):
@@ -122,6 +133,6 @@ def test_transducer_tracks_the_longer_side(monkeypatch):
 
 def test_groups_and_links_of_a_text():
     align = Aligner(A, B)
-    a, b, trace = align("hello wörld")
-    assert ";".join(Plain().of("hello wörld")[2]) == align.groups(a, b, trace)
-    assert [(x // align.n_b, x % align.n_b) for x in align.links(a, b, trace).tolist()] == Plain().of("hello wörld")[3]
+    found = align.align([" hello wörld"])[0]
+    assert ";".join(Plain().of("hello wörld")[2]) == found[3]
+    assert [(x // align.n_b, x % align.n_b) for x in np.frombuffer(found[4], "<u4").tolist()] == Plain().of("hello wörld")[3]
