@@ -34,9 +34,13 @@ def as_arrays(sums: DataFrame) -> DataFrame:
 
 
 def arithmetic_draws(spark: SparkSession, replicates: int, k: int, seed: int = 42) -> DataFrame:
-    """replicate, draw (array of cluster places): a plain rule that any engine can repeat."""
+    """replicate, draw (array of cluster places): a plain rule that any engine can repeat.
+
+    The square keeps a replicate from drawing every cluster once, as a sum alone would.
+    """
     slots = F.sequence(F.lit(0), F.lit(k - 1))
-    place = lambda s: ((F.col("replicate") * 7919 + s * 104729 + seed) % k).cast("int")
+    x = lambda s: (F.col("replicate") * 7919 + s * 104729 + seed) % 1000003
+    place = lambda s: (x(s) * x(s) % 998244353 % k).cast("int")
     return spark.range(replicates).select(F.col("id").alias("replicate")).withColumn("draw", F.transform(slots, place))
 
 
@@ -81,11 +85,17 @@ def bootstrap(long: DataFrame, *, replicates: int = 10_000, confidence: float =
     k = sums.select("question_id").distinct().count()
     made = (pcg64_draws if draws == "pcg64" else arithmetic_draws)(spark, replicates, max(k, 1), seed)
     values = replicate_values(stored(as_arrays(sums), "cluster-arrays"), made)
+    return spread(sums, values, replicates=replicates, confidence=confidence, seed=seed)
+
+
+def spread(sums: DataFrame, values: DataFrame, *, replicates: int, confidence: float, seed: int) -> DataFrame:
+    """Point estimates of cluster sums, and mean, standard error and interval of the replicates' values."""
     tail = (1 - confidence) / 2
     bounds = F.percentile("value", F.array(F.lit(tail), F.lit(1 - tail)))
-    spread = values.groupBy("model_key", "metric").agg(bounds.alias("b"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("se"))
+    by = values.groupBy("model_key", "metric").agg(bounds.alias("b"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("se"))
     point = sums.groupBy("model_key", "metric").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("estimate"))
-    return point.join(spread, ["model_key", "metric"]).select(
+    k = sums.agg(F.count_distinct("question_id").alias("clusters"))
+    return point.crossJoin(k).join(by, ["model_key", "metric"]).select(  # one row on the right
         "model_key", "metric", "n", "estimate", "mean", "se", F.col("b")[0].alias("ci_lower"), F.col("b")[1].alias("ci_upper"),
-        F.lit(replicates).cast("long").alias("replicates"), F.lit(k).cast("long").alias("clusters"), F.lit(seed).cast("long").alias("seed"),
+        F.lit(replicates).cast("long").alias("replicates"), "clusters", F.lit(seed).cast("long").alias("seed"),
     )

@@ -39,10 +39,23 @@ def directed(pairs: DataFrame) -> DataFrame:
     return df.withColumn("unit_id", directed_unit_id("question_id", "label_country", "evidence_country"))
 
 
-def directed_manifest(cells: DataFrame, n_directed: int, per_question: int = 3) -> DataFrame:
-    """The manifest of ``n_directed`` directed pairs, an even number above 0."""
+#: Populations of a question up to which making all pairs is the shorter way to the best.
+FEW_POPULATIONS = 400
+
+
+def directed_manifest(cells: DataFrame, n_directed: int, per_question: int = 3, few: int = FEW_POPULATIONS) -> DataFrame:
+    """The manifest of ``n_directed`` directed pairs, an even number above 0.
+
+    Both ways to the best pairs give the same rows; the one that bounds distances is taken
+    where a question has more than ``few`` populations.
+    """
+    from quorvia.operators.farthest import farthest_pairs
+
     if n_directed <= 0 or n_directed % 2:
         raise ValueError("an even number of directed pairs above 0 is needed")
+    most = cells.groupBy("question_id").count().agg(F.max("count").alias("n")).first().n or 0
+    if most > few:
+        return directed(farthest_pairs(cells, per_question, n_directed // 2))
     return directed(top_pairs(candidate_pairs(cells), per_question, n_directed // 2))
 
 

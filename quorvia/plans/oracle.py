@@ -68,17 +68,30 @@ long AS (SELECT model_key, question_id, 'country_influence' AS metric, country_i
 sums AS (SELECT model_key, metric, question_id, sum(value) AS total, count(*) AS n FROM long GROUP BY ALL)"""
 )
 
-REPLICATES = 500
+REPLICATES = 10_000
 BOOTSTRAP = (
     METRICS
     + f""",
 places AS (SELECT question_id, row_number() OVER (ORDER BY question_id) - 1 AS place, count(*) OVER () AS k FROM (SELECT DISTINCT question_id FROM sums)),
-draws AS (SELECT r.range AS replicate, (r.range * 7919 + s.place * 104729 + 42) % s.k AS place FROM range({REPLICATES}) r, places s),
+slots AS (SELECT r.range AS replicate, (r.range * 7919 + s.place * 104729 + 42) % 1000003 AS x, s.k FROM range({REPLICATES}) r, places s),
+draws AS (SELECT replicate, x * x % 998244353 % k AS place FROM slots),
 vals AS (SELECT model_key, metric, replicate, sum(total) / sum(n) AS value FROM draws JOIN places USING (place) JOIN sums USING (question_id) GROUP BY ALL),
 boot AS (SELECT model_key, metric, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS se FROM vals GROUP BY ALL),
 point AS (SELECT model_key, metric, sum(total) / sum(n) AS estimate, CAST(sum(n) AS BIGINT) AS n FROM sums GROUP BY ALL)"""
 )
 
+#: The same with counts of each cluster by a rule over its name.
+WEIGHTS = (
+    METRICS
+    + f""",
+own AS (SELECT DISTINCT question_id, CAST('0x' || substr(md5(question_id), 1, 8) AS BIGINT) AS own FROM sums),
+xs AS (SELECT r.range AS replicate, question_id, (r.range * 7919 + own + 42) % 1000003 AS x FROM range({REPLICATES}) r, own),
+counted AS (SELECT replicate, question_id, x * x % 998244353 % 3 AS times FROM xs),
+vals AS (SELECT model_key, metric, replicate, CASE WHEN sum(times * n) > 0 THEN sum(times * total) / sum(times * n) END AS value FROM counted JOIN sums USING (question_id) GROUP BY ALL),
+boot AS (SELECT model_key, metric, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS se FROM vals GROUP BY ALL),
+point AS (SELECT model_key, metric, sum(total) / sum(n) AS estimate, CAST(sum(n) AS BIGINT) AS n FROM sums GROUP BY ALL)"""
+)
+
 MODELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 AGREEMENT = (
     METRICS
@@ -159,6 +172,16 @@ SQL = {
     "normalize_cells": query(CUBE, f"SELECT question_id, country, option, {r('p')} FROM survey"),
     "jsd_pairs": query(PAIRS, f"SELECT question_id, a, b, {r('divergence')} FROM pairs"),
     "pairs_top": query(PAIRS, f"SELECT question_id, a, b, {r('divergence')}, place FROM topn"),
+    "pairs_bounded": query(PAIRS, f"SELECT question_id, a, b, {r('divergence')}, place FROM topn"),
+    "farthest_customers": query(
+        f"""
+sums AS (SELECT c_mktsegment AS question_id, o_custkey, o_orderpriority AS option, sum(floor(o_totalprice)) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+shares AS (SELECT question_id, printf('C%08d', o_custkey) AS country, option, (coalesce(v, 0) + 20000) / sum(coalesce(v, 0) + 20000) OVER (PARTITION BY question_id, o_custkey) AS p
+  FROM (SELECT DISTINCT question_id, o_custkey FROM sums) CROSS JOIN (SELECT DISTINCT o_orderpriority AS option FROM orders) LEFT JOIN sums USING (question_id, o_custkey, option)),
+every AS (SELECT a.question_id, a.country AS a, b.country AS b, {jsd("a.p", "b.p")} AS divergence
+  FROM shares a JOIN shares b ON a.question_id = b.question_id AND a.option = b.option AND a.country < b.country GROUP BY ALL)""",
+        f"SELECT question_id, a, b, {r('divergence')}, place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(divergence, 12) DESC, a, b) AS place FROM every) WHERE place <= 3",
+    ),
     "pairs_directed": query(PAIRS, f"SELECT question_id, label_country, evidence_country, unit_id, {r('divergence')} FROM manifest"),
     "reciprocal_check": query(PAIRS, "SELECT m.question_id, m.label_country, m.evidence_country FROM manifest m WHERE m.label_country < 'NATION_2' AND NOT EXISTS (SELECT 1 FROM manifest o WHERE o.label_country < 'NATION_2' AND o.question_id = m.question_id AND o.label_country = m.evidence_country AND o.evidence_country = m.label_country)"),
     "quarantine_reason": query(EXPORT, "SELECT question_id, reason FROM decided"),
@@ -178,6 +201,7 @@ SQL = {
     "metric_summary": query(METRICS, f"SELECT model_key, metric, count(*) AS n, {r('avg(value)', 9, 'mean')}, {r('stddev_pop(value)', 9, 'population_sd')}, {r('min(value)', 9, 'minimum')}, {r('max(value)', 9, 'maximum')} FROM long GROUP BY ALL"),
     "cluster_sums": query(METRICS, f"SELECT model_key, metric, question_id, {r('total')}, n FROM sums"),
     "bootstrap_ci": query(BOOTSTRAP, f"SELECT model_key, metric, n, {r('estimate')}, {r('mean')}, {r('se')}, {r('lo', 9, 'ci_lower')}, {r('hi', 9, 'ci_upper')} FROM point JOIN boot USING (model_key, metric)"),
+    "bootstrap_weights": query(WEIGHTS, f"SELECT model_key, metric, n, {r('estimate')}, {r('mean')}, {r('se')}, {r('lo', 9, 'ci_lower')}, {r('hi', 9, 'ci_upper')} FROM point JOIN boot USING (model_key, metric)"),
     "main_metrics_wide": query(
         BOOTSTRAP,
         "SELECT model_key, "

@@ -13,6 +13,8 @@ from quorvia.functions.prompts import CONDITIONS, format_evidence, incomplete_ev
 from quorvia.functions.text import canonical_option, directed_unit_id, is_nonresponse, stable_seed, target_unit_id, text_hash
 from quorvia.functions.udfs import shuffle_options as shuffled
 from quorvia.operators import bootstrap as boot
+from quorvia.operators.blocks import block_bootstrap
+from quorvia.operators.farthest import farthest_pairs
 from quorvia.operators.metrics import METRICS, UNIT, class_proportions, condition_pivot, conflict_classes, directed_units, long_metrics, metric_summary, target_units
 from quorvia.operators.pairs import candidate_pairs, directed, missing_reciprocals, top_pairs
 from quorvia.operators.repair import exclusion_summary, repair_survey, source_counts, support
@@ -25,6 +27,8 @@ from quorvia.sources.stored import stored
 
 #: Another order of models than the alphabet's.
 MODEL_ORDER = ("MACHINERY", "BUILDING", "AUTOMOBILE", "HOUSEHOLD", "FURNITURE")
+#: The orders' priorities.
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 #: Stands for what a run has finished.
 DONE = "label_country < 'NATION_2'"
 
@@ -80,6 +84,29 @@ def pairs_top(spark, sf_dir):
     return rounded(df.select("question_id", "a", "b", "divergence", F.col("place").cast("long").alias("place")), "divergence")
 
 
+def bounded_top(spark, sf_dir):
+    """The same by bounds on the metric, over the 7 questions of the survey."""
+    df = farthest_pairs(stored(cells(spark, sf_dir), "cells"), 3, 20)
+    return rounded(df.select("question_id", "a", "b", "divergence", F.col("place").cast("long").alias("place")), "divergence")
+
+
+def customer_shares(spark, sf_dir) -> DataFrame:
+    """question_id, country, p: customers, in the place of populations, by their shares of order value over priorities.
+
+    The question is the market segment, so a fifth of all customers are its populations.
+    """
+    orders = sv.table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_totalprice")
+    customers = sv.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("question_id"))
+    sums = orders.join(customers, "o_custkey").groupBy("question_id", "o_custkey").pivot("o_orderpriority", PRIORITIES).agg(F.sum(F.floor("o_totalprice")))
+    held = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) + 20_000.0 for c in PRIORITIES])
+    return sums.select("question_id", F.format_string("C%08d", "o_custkey").alias("country"), held.alias("p"))
+
+
+def farthest_customers(spark, sf_dir):
+    df = farthest_pairs(customer_shares(spark, sf_dir), 3)
+    return rounded(df.select("question_id", "a", "b", "divergence", F.col("place").cast("long").alias("place")), "divergence")
+
+
 def pairs_directed(spark, sf_dir):
     return rounded(manifest(spark, sf_dir).select("question_id", "label_country", "evidence_country", "unit_id", "divergence"), "divergence")
 
@@ -182,6 +209,20 @@ def bootstrap_ci_pcg64(spark, sf_dir):
     return rounded(intervals(spark, sf_dir, "pcg64", 10_000).select("model_key", "metric", "n", *names), *names)
 
 
+def bootstrap_weights(spark, sf_dir):
+    """In blocks of clusters, with counts that SQL can repeat."""
+    names = ["estimate", "mean", "se", "ci_lower", "ci_upper"]
+    return rounded(block_bootstrap(long(spark, sf_dir), draws="weights").select("model_key", "metric", "n", *names), *names)
+
+
+def bootstrap_clusters(spark, sf_dir):
+    """Mean order value by market segment and priority, where every customer is a cluster: counts split down a tree of blocks."""
+    customers = sv.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("model_key"))
+    orders = sv.table(spark, sf_dir, "orders").join(customers, "o_custkey").select("model_key", F.col("o_orderpriority").alias("metric"), F.format_string("C%010d", "o_custkey").alias("question_id"), F.col("o_totalprice").cast("double").alias("value"))
+    names = ["estimate", "mean", "se", "ci_lower", "ci_upper"]
+    return rounded(block_bootstrap(orders, replicates=1000).select("model_key", "metric", "n", "clusters", *names), *names, digits=4)
+
+
 def main_metrics_wide(spark, sf_dir):
     df = main_metrics(intervals(spark, sf_dir))
     return rounded(df, *[c for c in df.columns if c != "model_key"])
@@ -315,6 +356,8 @@ def first_word_pairs(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pairs_top": pairs_top,
+    "pairs_bounded": bounded_top,
+    "farthest_customers": farthest_customers,
     "pairs_directed": pairs_directed,
     "jsd_pairs": jsd_pairs,
     "normalize_cells": normalize_cells,
@@ -335,6 +378,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "metric_summary": summary,
     "cluster_sums": sums,
     "bootstrap_ci": bootstrap_ci,
+    "bootstrap_weights": bootstrap_weights,
+    "bootstrap_clusters": bootstrap_clusters,
     "main_metrics_wide": main_metrics_wide,
     "agreement_by_unit": agreement_units,
     "agreement_summary": agreement,
