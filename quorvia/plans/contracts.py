@@ -371,8 +371,8 @@ p AS (SELECT conv_id, 'header' AS style, string_agg('<|start_header_id|>' || rol
   UNION ALL SELECT conv_id, 'inst', '<s>' || coalesce(string_agg(CASE role WHEN 'user' THEN '[INST] ' || CASE k WHEN 1 THEN coalesce(lead, '') ELSE '' END || content || '[/INST]' ELSE ' ' || content || '</s>' END, '' ORDER BY turn), '')
     FROM n LEFT JOIN lead USING (conv_id) GROUP BY conv_id),
 other AS (SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || content || '<|im_end|>' || chr(10), '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) AS other FROM c GROUP BY conv_id),
-apart AS (SELECT *, list_filter(range(1, greatest(length(prompt), length(other)) + 1), lambda i: substr(prompt, i, 1) <> substr(other, i, 1))[1] AS at FROM p JOIN other USING (conv_id))
-SELECT conv_id, style, sha256(prompt) AS prompt_sha256, CAST(length(prompt) AS BIGINT) AS n, at - 1 AS differs_at, CAST(octet_length(encode(left(prompt, at - 1))) AS BIGINT) AS differs_at_byte,
+apart AS (SELECT *, list_filter(range(1, greatest(length(prompt), length(other)) + 1), lambda i: substr(prompt, i, 1) <> substr(other, i, 1))[1] AS spot FROM p JOIN other USING (conv_id))
+SELECT conv_id, style, sha256(prompt) AS prompt_sha256, CAST(length(prompt) AS BIGINT) AS n, spot - 1 AS differs_at, CAST(octet_length(encode(left(prompt, spot - 1))) AS BIGINT) AS differs_at_byte,
   CAST(len(regexp_extract_all(prompt, '\[INST\]')) AS BIGINT) AS marks FROM apart""",
     "prompt_hashes": o.query(o.TICKS, union(*[f"SELECT question_id, country, '{c}' AS condition, sha256({sql}) AS prompt_sha256 FROM lines" for c, sql in _PROMPTS.items()])),
 }
