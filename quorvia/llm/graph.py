@@ -14,7 +14,7 @@ from quorvia.llm.common import cut
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """id, root for every end of an edge; root is the component's smallest id. edges: a, b (longs).
+    """id, root for every end of an edge; root is the component's smallest id. edges: a, b (longs, or binary).
 
     In each round every vertex goes to its first neighbour, or stays, in a fixed random order
     of ids; edges within a contracted vertex vanish. Stars take two rounds, and chains of any

@@ -11,8 +11,11 @@ exactly.
 Texts of equal shingle sets are one candidate. In a bucket, each candidate is compared with
 the bucket's smallest key; that links large groups with as many comparisons as members. In
 buckets whose members still differ in class, those outside the largest class are then
-compared with all others, in blocks, with links only between different classes. Links make
-classes; a class's id is its smallest document id.
+compared with all others, in blocks, with links only between different classes. Where very
+many are outside it, as where texts share a template, members meet by their rare shingles
+instead: of two similar texts the rarest shingle that they share is among the rarest of
+each that hold a fifth of its weight, so only texts that share such a one are compared.
+Links make classes; a class's id is its smallest document id.
 
 Defined results: a text of fewer words than a shingle is one shingle of what it has; texts
 without words (null ones too) are copies if they are equal; in ``groups`` a null id gets a
@@ -20,8 +23,7 @@ null class and is never linked; rows that repeat an id with the same text are on
 and with another text each such row follows the classes of its own copies; an empty table
 gives no rows; a text of any length is taken whole and must fit into a task; other columns,
 whatever their names, are ignored by ``groups`` and kept by ``keep_one``. ``keep_one`` counts rows: of each class, rows with
-null ids among them, one stays. Contents are told apart by 16 bytes, and while they are
-compared by the first 8.
+null ids among them, one stays. Contents are told apart by 16 bytes.
 """
 
 from __future__ import annotations
@@ -47,6 +49,9 @@ BLOCK = 512
 #: A key is hot if more rows hold it than this and than all rows over HOT_SHARE; so a row is in
 #: hot keys of at most HOT_SHARE a column, which are few enough to be broadcast.
 HOT_ROWS, HOT_SHARE = 1000, 4096
+#: Members outside a bucket's largest class from which on they meet by rare shingles, and members
+#: of one rare shingle up to which all their pairs of different classes are listed.
+MANY, LISTED = 64, 64
 #: Rows that one copy of a bucket's first member is compared with.
 SPLIT = 1000
 
@@ -148,12 +153,8 @@ def digest(found: tuple[np.ndarray, np.ndarray], raw: bytes) -> bytes:
     return hashlib.blake2b(e.tobytes() + w.tobytes() if len(e) else b"raw" + raw, digest_size=16).digest()
 
 
-def short(content: bytes) -> int:
-    return int.from_bytes(content[:8], "little", signed=True)
-
-
 def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, counted: bool) -> DataFrame:
-    """id, raw, content (digest), rep (its first 8 bytes), n (the set's weight), bands."""
+    """id, raw, rep (16 bytes of digest of the content), n (the set's weight), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in record_batches(batches):
@@ -161,10 +162,10 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, counted: bool
             keys = bands(signatures(sets, BANDS * ROWS), BANDS, ROWS)
             content = [digest(x, raw) for x, raw in zip(sets, b.column("raw").to_pylist(), strict=True)]
             held = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            columns = [b.column("id"), b.column("raw"), pa.array(content, pa.binary()), pa.array(map(short, content), pa.int64()), pa.array([float(w.sum()) for _, w in sets]), held]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "raw", "content", "rep", "n", "bands"])
+            columns = [b.column("id"), b.column("raw"), pa.array(content, pa.binary()), pa.array([float(w.sum()) for _, w in sets]), held]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "raw", "rep", "n", "bands"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "id long, raw binary, content binary, rep long, n double, bands array<long>")
+    return texts(docs, id_col, text_col).mapInArrow(run, "id long, raw binary, rep binary, n double, bands array<long>")
 
 
 def elements(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, size: int, counted: bool) -> DataFrame:
@@ -176,10 +177,10 @@ def elements(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, size:
         for b in record_batches(batches):
             sets = [weighted(shingles(t, size), counted) for t in b.column("text").to_pylist()]
             weights = [None if (w == 1).all() else w.tobytes() for _, w in sets]
-            own = [short(digest(x, raw)) for x, raw in zip(sets, b.column("raw").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([e.tobytes() for e, _ in sets], pa.binary()), pa.array(weights, pa.binary()), pa.array([float(w.sum()) for _, w in sets])], ["rep", "e", "w", "n"])
+            own = [digest(x, raw) for x, raw in zip(sets, b.column("raw").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([e.tobytes() for e, _ in sets], pa.binary()), pa.array(weights, pa.binary()), pa.array([float(w.sum()) for _, w in sets])], ["rep", "e", "w", "n"])
 
-    return source.mapInArrow(run, "rep long, e binary, w binary, n double")
+    return source.mapInArrow(run, "rep binary, e binary, w binary, n double")
 
 
 def as_set(e: bytes, w: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -195,14 +196,14 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(shared / total) if total else 0.0
 
 
-def links(sets: list[tuple[np.ndarray, np.ndarray]], ids: list[int], classes: list[int], least: float, n_first: int, among: bool) -> Iterator[tuple[int, int]]:
+def links(sets: list[tuple[np.ndarray, np.ndarray]], ids: list[bytes], classes: list[bytes], least: float, n_first: int, among: bool) -> Iterator[tuple[bytes, bytes]]:
     """Pairs that join different classes, as many as are needed to join all that are linked.
 
     The first ``n_first`` are compared with the others, or, if ``among``, with each other.
     """
-    root: dict[int, int] = {}
+    root: dict[bytes, bytes] = {}
 
-    def find(c: int) -> int:
+    def find(c: bytes) -> bytes:
         while root.setdefault(c, c) != c:
             root[c] = root[root[c]]
             c = root[c]
@@ -239,6 +240,38 @@ def with_hot(rows: DataFrame, keys: DataFrame, key: str, n_rows: int) -> DataFra
     return rows.join(few, key).union(rows.join(F.broadcast(keys.where(hot).select(key)), key, "left_anti").join(keys.where(~hot), key))
 
 
+def open_buckets(labelled: DataFrame) -> DataFrame:
+    """band, top (its largest class), held and n_top (members in all and in that), of buckets with several classes."""
+    by_class = labelled.groupBy("band", "class").agg(F.count("*").alias("n"))
+    return by_class.groupBy("band").agg(F.max_by("class", F.struct("n", "class")).alias("top"), F.sum("n").alias("held"), F.max("n").alias("n_top"), F.count("*").alias("classes")).where("classes > 1")
+
+
+def rare_shingles(held: DataFrame, some: DataFrame, similarity: float) -> DataFrame:
+    """band (a shingle), rep, class, n: each of ``some`` (rep, class) at those of its rarest shingles that a similar one must share.
+
+    Shingles are ordered by how many of ``some`` hold them. What comes after the rarest that
+    hold more than 1 - similarity of a set's weight weighs too little for any similar set to
+    share that alone.
+    """
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in record_batches(batches, text="e"):
+            sets = [as_set(e, w) for e, w in zip(b.column("e").to_pylist(), b.column("w").to_pylist(), strict=True)]
+            at = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
+            rows = [pa.array(np.concatenate([e for e, _ in sets]).view(np.int64)), pa.array(np.concatenate([w for _, w in sets]))]
+            yield pa.RecordBatch.from_arrays([b.column("rep").take(pa.array(at)), *rows], ["rep", "e", "weight"])
+
+    own = held.join(some.select("rep"), "rep", "left_semi")
+    rows = cut(own.select("rep", "e", "w").mapInArrow(apart, "rep binary, e long, weight double"), "minhash-apart")
+    often = cut(rows.groupBy("e").agg(F.count("*").alias("held")), "minhash-often")
+    every = with_hot(rows, often, "e", rows.count()).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("held", "e", "weight"))).alias("s"), F.sum("weight").alias("n"))
+    # a shingle is of the rarest if what comes before it holds no more than the part that may differ; rounding errs to one more
+    start = F.struct(F.lit(0.0).alias("before"), F.array().cast("array<bigint>").alias("kept"))
+    step = lambda a, x: F.struct((a["before"] + x["weight"]).alias("before"), F.when((a["before"] <= (1 - similarity) * F.col("n") + 1e-9) & (x["held"] > 1), F.concat(a["kept"], F.array(x["e"]))).otherwise(a["kept"]).alias("kept"))
+    rare = every.select("rep", "n", F.explode(F.aggregate("s", start, step)["kept"]).alias("band"))
+    return rare.join(some, "rep").select("band", "rep", "class", "n")
+
+
 def groups(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, counted: bool = True, report: dict | None = None
 ) -> DataFrame:
@@ -261,7 +294,7 @@ def lead_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar
     sketched = cut(sketch(docs, id_col, text_col, shingle, counted), "minhash-sketches")
     own = sketched if nulls else sketched.where("id IS NOT NULL")
     at = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "raw"))
-    distinct = cut(own.groupBy("content").agg(at.alias("at"), F.first("rep").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("held")), "minhash-contents")
+    distinct = cut(own.groupBy("rep").agg(at.alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("held")), "minhash-contents")
     filed = distinct.where("n > 0").select("rep", F.explode("bands").alias("band"))
     buckets = cut(filed.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("held")).where("held > 1"), "minhash-buckets")
     n_rows = distinct.count()
@@ -289,16 +322,34 @@ def lead_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar
     sides = dealt.join(held.toDF("rep", "ae", "aw", "an"), "rep").join(second, ["first", "copy"])
     # the smaller over the larger weight bounds the similarity
     sides = sides.where(F.least("an", "bn") >= similarity * F.greatest("an", "bn"))
-    star = cut(sides.select(F.col("rep").alias("a"), F.col("first").alias("b"), "ae", "aw", "be", "bw").mapInArrow(compare, "a long, b long"), "minhash-links")
+    star = cut(sides.select(F.col("rep").alias("a"), F.col("first").alias("b"), "ae", "aw", "be", "bw").mapInArrow(compare, "a binary, b binary"), "minhash-links")
     classes = components(star, "minhash-stars")
 
     # what is left: buckets of three and more in which classes still differ
     labelled = cut(members.where("held > 2").select("band", "rep").join(classes.toDF("rep", "class"), "rep", "left").withColumn("class", F.coalesce("class", "rep")), "minhash-labelled")
-    by_class = labelled.groupBy("band", "class").agg(F.count("*").alias("n"))
-    open_buckets = by_class.groupBy("band").agg(F.max_by("class", F.struct("n", "class")).alias("top"), F.sum("n").alias("held"), F.max("n").alias("n_top"), F.count("*").alias("classes")).where("classes > 1")
+    buckets = cut(open_buckets(labelled), "minhash-open")
+    heavy = F.col("held") - F.col("n_top") > MANY
+    few = None
+    if not buckets.where(heavy).isEmpty():
+        many = with_hot(labelled, buckets.where(heavy).select("band", "held"), "band", n_rows).select("rep", "class").distinct()
+        met = cut(rare_shingles(held, cut(many, "minhash-many"), similarity), "minhash-rare")
+        sizes = cut(met.groupBy("band").agg(F.count("*").alias("held"), F.count_distinct("class").alias("classes")).where("classes > 1").drop("classes"), "minhash-rare-held")
+        close = with_hot(met, sizes, "band", n_rows)
+        one = close.where(F.col("held") <= LISTED).select("band", "rep", "class", "n")
+        pairs_of = one.toDF("band", "a", "ca", "an").join(one.toDF("band", "b", "cb", "bn"), "band").where("a < b AND ca <> cb").where(F.least("an", "bn") >= similarity * F.greatest("an", "bn"))
+        listed = cut(pairs_of.select("a", "b").distinct(), "minhash-listed")
+        few = listed.join(held.select(F.col("rep").alias("a"), F.col("e").alias("ae"), F.col("w").alias("aw")), "a").join(held.select(F.col("rep").alias("b"), F.col("e").alias("be"), F.col("w").alias("bw")), "b")
+        if report is not None:
+            report["listed"] = listed.count()
+        # what is shared by more is compared in blocks, as buckets are
+        labelled = cut(with_hot(labelled, buckets.where(~heavy).select("band", "held"), "band", n_rows).select("band", "rep", "class").union(close.where(F.col("held") > LISTED).select("band", "rep", "class")), "minhash-labelled")
+        buckets = cut(open_buckets(labelled), "minhash-open")
+    if report is not None:
+        asked = buckets.agg(F.sum((F.col("held") - F.col("n_top")) * F.col("held"))).first()[0] or 0
+        report["in_blocks"] = int(asked)
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    open_buckets = open_buckets.select("band", "held", "top", blocks(F.col("n_top")).alias("tops"), blocks(F.col("held") - F.col("n_top")).alias("others"))
-    rest = with_hot(labelled, cut(open_buckets, "minhash-open"), "band", n_rows).withColumn("asks", F.col("class") != F.col("top"))
+    counted_blocks = buckets.select("band", "held", "top", blocks(F.col("n_top")).alias("tops"), blocks(F.col("held") - F.col("n_top")).alias("others"))
+    rest = with_hot(labelled, counted_blocks, "band", n_rows).withColumn("asks", F.col("class") != F.col("top"))
     block = F.pmod(F.xxhash64("rep"), F.when(F.col("asks"), F.col("others")).otherwise(F.col("tops"))).cast("int")
     each = lambda n, task: F.transform(F.sequence(F.lit(0), F.col(n) - 1), task)
     task = lambda among, i, j: F.struct(F.lit(among).alias("among"), i.alias("i"), j.alias("j"))
@@ -312,9 +363,12 @@ def lead_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar
         pdf = pdf.sort_values("asks", ascending=False, kind="stable")
         sets = [as_set(e, w) for e, w in zip(pdf["e"], pdf["w"], strict=True)]
         found = list(links(sets, pdf["rep"].to_list(), pdf["class"].to_list(), similarity, int(pdf["asks"].sum()), bool(pdf["among"].iloc[0])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(found, columns=["a", "b"], dtype="object")
 
-    more = cut(rest.groupBy("band", "among", "i", "j").applyInPandas(compare_all, "a long, b long"), "minhash-more-links")
+    more = rest.groupBy("band", "among", "i", "j").applyInPandas(compare_all, "a binary, b binary")
+    if few is not None:
+        more = more.union(few.mapInArrow(compare, "a binary, b binary"))
+    more = cut(more, "minhash-more-links")
     if report is not None:
         report |= {"comparisons": pairs.count(), "links": star.count(), "more_links": more.count()}
     if not more.isEmpty():
@@ -327,8 +381,8 @@ def lead_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar
     linked = distinct.join(classes.toDF("rep", "class"), "rep").select("rep", "class", "at")
     first = linked.groupBy("class").agg(F.min("at").alias("first_at"))
     linked = linked.join(first, "class").select("rep", "first_at")
-    leads = cut(distinct.join(linked, "rep", "left").select("content", "held", F.coalesce("first_at", "at").alias("lead")), "minhash-leads")
-    led = with_hot(own, leads, "content", n_rows).select("id", "raw", "lead")
+    leads = cut(distinct.join(linked, "rep", "left").select("rep", "held", F.coalesce("first_at", "at").alias("lead")), "minhash-leads")
+    led = with_hot(own, leads, "rep", n_rows).select("id", "raw", "lead")
     if nulls:
         return led
     return led.union(sketched.where("id IS NULL").select("id", "raw", F.lit(None).cast(led.schema["lead"].dataType)))

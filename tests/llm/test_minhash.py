@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -132,3 +134,46 @@ def test_hot_keys_large_joins_and_clashing_names(spark, monkeypatch):
     kept = keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(found.values()))
+
+
+def templated(n, seed=5):
+    """Texts of one template of 300 words with 120 words of their own; every fiftieth also as a near copy."""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(300)]
+    rows = []
+    for i in range(n):
+        own = template[:150] + [f"w{rng.randrange(10**9)}" for _ in range(120)] + template[150:]
+        rows.append((2 * i, " ".join(own)))
+        if i % 50 == 0:
+            own[160] = "changed"
+            rows.append((2 * i + 1, " ".join(own)))
+    return rows
+
+
+def test_templates_stay_below_the_square(spark):
+    """Documents that share a template but no link: comparisons grow with their number, and near copies among them are found."""
+    made = {}
+    for n in (1500, 3000):
+        rows = templated(n)
+        report = {}
+        found = {r.doc_id: r.group_id for r in groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), report=report).collect()}
+        assert found == {i: i - i % 2 if i % 100 == 1 else i for i, _ in rows}
+        made[n] = report["comparisons"] + report["listed"] + report["in_blocks"]
+    assert made[3000] < 2.6 * made[1500] and made[3000] < 120 * 3000
+
+
+def test_many_different_members_of_a_bucket(spark, monkeypatch):
+    """Groups as of all pairs, where members meet by rare shingles, listed or in blocks."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            words[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    want = classes(rows)
+    for many, listed in ((0, 1), (0, 64), (3, 3)):
+        monkeypatch.setattr(minhash, "MANY", many)
+        monkeypatch.setattr(minhash, "LISTED", listed)
+        assert {r.doc_id: r.group_id for r in groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()} == want
