@@ -13,7 +13,7 @@ holds more than a block of each, however large a leaf is.
 
 Defined results: a vector that is null, zero, of another length than most, or that holds a
 null or non-finite component takes no part, nor does a row without id; rows that repeat an
-id count as one neighbour; a query that has fewer candidates gets all of them; other columns
+id count as one neighbour and as one query, at the nearest of their vectors; a query that has fewer candidates gets all of them; other columns
 are ignored; an empty table gives no rows.
 """
 
@@ -133,6 +133,17 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(vector, lambda c: c != 0)
 
 
+def nearest_ids(scores: np.ndarray, at: np.ndarray, ids: list[np.ndarray], k: int) -> list[tuple[float, int]]:
+    """The k best (negative score, id), each id at its best score."""
+    out: dict[int, float] = {}
+    for s, v in sorted((-s, int(v)) for s, j in zip(scores.tolist(), at.tolist(), strict=True) for v in ids[j][:k]):
+        if v not in out:
+            out[v] = s
+            if len(out) == k:
+                break
+    return [(s, v) for v, s in out.items()]
+
+
 def best(q: np.ndarray, x: np.ndarray, ids: list[np.ndarray], k: int, open_to: np.ndarray | None = None) -> list[tuple[list[int], list[float]]]:
     """For each row of q the k best ids of the rows of x (each with its sorted ids), and scores.
 
@@ -153,7 +164,10 @@ def best(q: np.ndarray, x: np.ndarray, ids: list[np.ndarray], k: int, open_to: n
         for i, near in enumerate(rough >= least[:, None]):
             at = np.flatnonzero(near)
             exact = (x[at] * q[first + i]).sum(1)  # the same sum wherever the row lies
-            found = sorted((-s, int(v)) for s, j in zip(exact.tolist(), at.tolist(), strict=True) for v in ids[j][:k])[:k]
+            found = nearest_ids(exact, at, ids, k)
+            if len(found) < k and len(at) < len(x):  # an id with several vectors takes one place only
+                at = np.arange(len(x)) if open_to is None else np.flatnonzero(open_to[first + i])
+                found = nearest_ids((x[at] * q[first + i]).sum(1), at, ids, k)
             out.append(([v for _, v in found], [-s for s, _ in found]))
     return out
 
@@ -208,8 +222,9 @@ def nearest(
     tree.held = np.array([counts[i]["held"] if i in counts else 0 for i in range(tree.n_leaves)], np.int64)
 
     # calibration against all rows
-    asked = rows.where("asks").groupBy("v").agg(F.min("id").alias("rep"))
-    probes = asked.orderBy(F.xxhash64("rep"), "rep").limit(CALIBRATION_QUERIES).collect()
+    numbered = rows.where("asks").groupBy("v").agg(F.min("id").alias("own")).withColumn("rep", F.monotonically_increasing_id())
+    asked = cut(numbered, "ann-queries")  # so that the vectors keep their numbers
+    probes = asked.orderBy(F.xxhash64("own"), "own", "rep").limit(CALIBRATION_QUERIES).collect()
     pq = np.array([r["v"] for r in probes], np.float64).reshape(len(probes), -1) if probes else np.zeros((0, dim))
     probe = spark.sparkContext.broadcast(pq)
 
@@ -218,9 +233,12 @@ def nearest(
         for b in batches:
             v = stacked(b.column("x").to_pylist(), kind)
             ids, leaf = [np.array(i) for i in b.column("ids").to_pylist()], b.column("leaf").to_pylist()
-            at = {int(i): n for n, own in zip(leaf, ids, strict=True) for i in own}
-            for mine, (found, score) in zip(held, best(probe.value, v, ids, k + 1), strict=True):
-                mine += [(-s, i, at[i]) for i, s in zip(found, score, strict=True)]
+            at: dict[int, list[int]] = {}
+            for row, own in enumerate(ids):
+                for i in own.tolist():
+                    at.setdefault(i, []).append(row)
+            for mine, q, (found, score) in zip(held, probe.value, best(probe.value, v, ids, k + 1), strict=True):
+                mine += [(-s, i, leaf[max(at[i], key=lambda row: float((v[row] * q).sum()))]) for i, s in zip(found, score, strict=True)]
                 mine.sort()
                 del mine[k + 1 :]
         out = [(p, -s, i, n) for p, mine in enumerate(held) for s, i, n in mine]
@@ -233,12 +251,12 @@ def nearest(
         wanted: dict[int, list[int]] = {}
         for r in sorted(true, key=lambda r: r["n"]):
             mine = wanted.setdefault(r["p"], [])
-            if r["id"] != probes[r["p"]]["rep"] and len(mine) < k:
+            if r["id"] != probes[r["p"]]["own"] and len(mine) < k:
                 mine.append(r["leaf"])
         places = [{leaf: n for n, leaf in enumerate(tree.visits(q))} for q in pq]
         ranks = np.array([places[p][leaf] for p, leaves in wanted.items() for leaf in leaves])
         while visits < tree.n_leaves and len(ranks) and (reached := float((ranks < visits).mean())) < recall:
-            visits = min(tree.n_leaves, visits + max(1, visits // 4))
+            visits += 1
         reached = float((ranks < visits).mean()) if len(ranks) else 1.0
     if report is not None:
         share = [tree.held[tree.chosen(q, visits, k + 1)].sum() / tree.held.sum() for q in pq]
@@ -259,8 +277,7 @@ def nearest(
             types = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["rep", "q", "grp", "leaves"])
 
-    asked = cut(asked, "ann-queries")
-    sent = cut(asked.mapInArrow(walk, "rep long, q binary, grp int, leaves array<int>"), "ann-visits")
+    sent = cut(asked.select("rep", "v").mapInArrow(walk, "rep long, q binary, grp int, leaves array<int>"), "ann-visits")
     n_queries = {r["grp"]: r["count"] for r in sent.groupBy("grp").count().collect()}  # as many as groups
     n_vectors: dict[int, int] = {}
     for leaf, r in counts.items():
@@ -287,8 +304,12 @@ def nearest(
     partial = q_side.groupBy(*keys).cogroup(v_side.groupBy(*keys)).applyInPandas(compare, "rep long, found array<long>, score array<double>")
     # a negative score first, so that the smallest pair is the nearest with the smallest id
     pairs = F.transform(F.arrays_zip("found", "score"), lambda p: F.struct((-p["score"]).alias("s"), p["found"].alias("id")))
-    merged = partial.select("rep", pairs.alias("near")).groupBy("rep").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, 2 * k + 2).alias("near"))
-    by_vector = asked.join(merged, "rep").select("v", "near")
-    mine = rows.where("asks").select("id", "v").dropDuplicates(["id"]).join(by_vector, "v")
-    others = F.slice(F.filter("near", lambda p: p["id"] != F.col("id")), 1, k)
-    return mine.select(F.col("id").alias("query_id"), F.posexplode(others).alias("pos", "p")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("p.id").alias("vec_id"), (-F.col("p.s")).alias("score"))
+    every = partial.select("rep", F.explode(pairs).alias("p")).groupBy("rep", F.col("p.id").alias("vec_id")).agg(F.min("p.s").alias("s"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("s", "vec_id"))
+    near = every.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("rep").agg(F.collect_list(F.struct("vec_id", "s")).alias("near"))
+    by_vector = asked.select("rep", "v").join(near, "rep").select("v", "near")
+    # an id is as near as the nearest of its vectors
+    found = rows.where("asks").select(F.col("id").alias("query_id"), "v").distinct().join(by_vector, "v").select("query_id", F.explode("near").alias("p")).where("p.vec_id <> query_id")
+    found = found.groupBy("query_id", F.col("p.vec_id").alias("vec_id")).agg(F.min("p.s").alias("s"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("s", "vec_id")).cast("int")
+    return found.select("query_id", rank.alias("rank"), "vec_id", (-F.col("s")).alias("score")).where(F.col("rank") <= k)

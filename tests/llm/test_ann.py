@@ -93,3 +93,21 @@ def test_few_leaves_where_vectors_cluster(spark):
     want = brute(rows, 10, lambda i: i % 50 == 0)
     assert sum(len(got[q] & {v for v, _ in want[q]}) for q in want) >= 0.95 * 10 * len(want)
     assert report["recall"] >= 0.97 and report["visited_rows"] < 0.25
+
+
+def test_ids_repeated_with_other_vectors(spark):
+    """An id is one neighbour, at its nearest vector, and one query, from its nearest vector."""
+    rng = np.random.default_rng(21)
+    for least in (0, 40):
+        rows = [(i, rng.normal(size=6)) for i in (20, 20, 2, 2, 1, 3, *range(100, 100 + least))] + [(2, np.ones(6)), (20, np.ones(6))] * 2
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+        for k in (2, 5):
+            got = {}
+            for r in ann.nearest(df, F.col("vec_id").isin(20, 2), k, recall=1.0).collect():
+                got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+            for q in (20, 2):
+                scores = {c: max(float((v * w).sum()) for i, v in rows if i == q for j, w in rows if j == c) for c, _ in rows if c != q}
+                want = sorted(scores, key=lambda c: (-scores[c], c))[:k]
+                found = sorted(got[q])
+                assert [r for r, _, _ in found] == list(range(1, len(want) + 1)) and [v for _, v, _ in found] == want
+                assert all(abs(s - scores[v]) < 1e-12 for _, v, s in found)
