@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorvia.functions.distributions import distribution_fault, distributions_close, evidence_override_normalized, label_map, map_label_probabilities, normalize_log_scores, option_labels
+from quorvia.functions.distributions import aligned, distribution_fault, distributions_close, evidence_override_normalized, js_divergence, label_map, map_label_probabilities, normalize_log_scores, option_labels
 from quorvia.functions.json_text import canonical_hash
 from quorvia.functions.prompts import CONDITIONS
 from quorvia.functions.text import canonical_option, directed_unit_id, is_blank, stable_seed, target_unit_id, text_hash
@@ -225,8 +225,9 @@ def dataset_rules(questions: DataFrame, samples: DataFrame) -> DataFrame:
     )
 
 
-def pair_rules(manifest: DataFrame, questions: DataFrame, samples: DataFrame) -> DataFrame:
-    """Pairs of a manifest against a survey: fields that are there, known questions and samples, the same options."""
+def pair_rules(manifest: DataFrame, questions: DataFrame, samples: DataFrame, tolerance: float = 1e-12) -> DataFrame:
+    """Pairs of a manifest against a survey: fields that are there, known questions and samples, the
+    same options, and the divergence of the two samples where the manifest states one."""
     key = UNIT[1:]
     canonical = lambda c: F.transform(c, canonical_option)
     rules = {f"{k} missing": is_blank(F.col(k)) for k in key}
@@ -236,6 +237,12 @@ def pair_rules(manifest: DataFrame, questions: DataFrame, samples: DataFrame) ->
     if "options" in manifest.columns:
         both = manifest.where("options IS NOT NULL").join(questions.select("question_id", canonical("options").alias("own")), "question_id")
         found.append(flagged(both.where(~canonical("options").eqNullSafe(F.col("own"))), "other options", *key))
+    if "divergence" in manifest.columns:
+        side = lambda name: samples.select("question_id", F.col("country").alias(f"{name}_country"), F.col("distribution").alias(name))
+        both = manifest.select(*key, "divergence").join(side("label"), ["question_id", "label_country"]).join(side("evidence"), ["question_id", "evidence_country"])
+        order = F.array_sort(F.map_keys("label"))
+        value = js_divergence(aligned("label", order), aligned("evidence", order))
+        found.append(flagged(both.where(~F.coalesce(F.abs(F.col("divergence") - value) <= tolerance, F.lit(False))), "divergence", *key))
     return gather(*found)
 
 
@@ -336,12 +343,14 @@ def path_rules(rows: DataFrame, tolerance: float = 1e-9) -> DataFrame:
 def first_word_rules(rows: DataFrame) -> DataFrame:
     """Options of a row that share their first word, ignoring case, must differ in label and score.
 
-    rows: key, options array<struct<label, text, score>>.
+    rows: key, options array<struct<label, text, score>>, or one row for each option: key,
+    label, text, score. Options are counted by first word, and no pairs of them are made; a
+    violation names the row and the word.
     """
-    o = rows.select("key", F.posexplode("options").alias("place", "o")).select("key", "place", "o.*", F.lower(F.split_part(F.trim("o.text"), F.lit(" "), F.lit(1))).alias("word"))
-    a, b = o.alias("a"), o.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.word") == F.col("b.word"))).where("a.place < b.place")
-    return flagged(pairs.where("a.label = b.label OR a.score = b.score"), "options with one first word are alike", "a.key", "a.place", "b.place")
+    o = rows.select("key", F.explode("options").alias("o")).select("key", "o.*") if "options" in rows.columns else rows
+    word = F.lower(F.split_part(F.trim("text"), F.lit(" "), F.lit(1)))
+    by = o.where("text IS NOT NULL").groupBy("key", word.alias("word")).agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"), F.count_distinct("score").alias("scores"))
+    return flagged(by.where((F.col("labels") < F.col("n")) | (F.col("scores") < F.col("n"))), "options with one first word are alike", "key", "word")
 
 
 def endpoint_orientation(units: DataFrame, tolerance: float = 1e-12) -> DataFrame:

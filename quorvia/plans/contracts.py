@@ -140,6 +140,7 @@ def survey_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.map_from_arrays("options", F.transform("p", lambda x: F.when(F.col("country").endswith("1"), -x).otherwise(x)))
     samples = cells.where("question_id <> 'Y1997' OR country = 'NATION_0'").select("question_id", "country", whole.alias("distribution"))
     listed = pairs.join(questions, "question_id").withColumn("options", F.when(F.col("label_country").endswith("4"), F.reverse("options")).otherwise(F.col("options")))
+    listed = listed.withColumn("divergence", F.col("divergence") + F.when(F.col("label_country").endswith("5"), 1e-9).otherwise(1e-14))
     domains = sv.domains(cells).where("question_id <> 'Y1995'")
     sound = cells.select("question_id", "country", F.map_from_arrays("options", "p").alias("distribution"))
     return gather(dataset_rules(odd, samples), pair_rules(listed, questions, sound), domain_rules(pairs, domains))
@@ -340,6 +341,7 @@ ends AS (SELECT model_key, question_id, label_country FROM u UNION SELECT model_
             "SELECT DISTINCT 'distribution', question_id || '|' || country FROM survey WHERE (country LIKE '%1' OR question_id = 'Y1996') AND (question_id <> 'Y1997' OR country = 'NATION_0')",
             "SELECT 'fewer than two samples', 'Y1997'",
             f"SELECT 'other options', {_PAIR_KEY} FROM manifest WHERE label_country LIKE '%4'",
+            f"SELECT 'divergence', {_PAIR_KEY} FROM manifest WHERE label_country LIKE '%5'",
             "SELECT DISTINCT 'question without domain', question_id FROM manifest WHERE question_id = 'Y1995'",
         ),
     ),

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from quorvia.functions.prompts import CONDITIONS
 from quorvia.functions.text import text_hash
+from quorvia.operators.full_rows import trace_rules
 from quorvia.operators.metrics import UNIT
+from quorvia.operators.smoke import smoke_assertions
 from quorvia.operators.summaries import positions
+from quorvia.operators.validation import BACKEND, first_word_rules
 from quorvia.plans import oracle as o
 from quorvia.plans import survey as sv
 from quorvia.plans.contracts import base
+from quorvia.plans.traces import full_rows
 from quorvia.sources.credentials import credential_places, file_lengths
 from quorvia.sources.stored import shared_dir, stored
 from quorvia.streaming.states import CHECKPOINT, COMPLETE, PENDING, follow, furthest, judged
@@ -86,10 +90,37 @@ def credential_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credential_places(file_lengths(spark, folder, "*.txt"), size=1 << 20).groupBy("token").agg(F.count("*").alias("n"))
 
 
+def first_word_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a brand and size whose names share the first word must differ in type and price."""
+    parts = sv.table(spark, sf_dir, "part")
+    price = F.when(F.col("p_partkey") % 7 == 0, F.floor(F.col("p_retailprice") / 100) * 100).otherwise(F.col("p_retailprice"))
+    return first_word_rules(parts.select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("key"), F.col("p_type").alias("label"), F.col("p_name").alias("text"), price.alias("score")))
+
+
+def smoke(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assertions of a short run for every model: two units in both directions, and a fault in most models' rows."""
+    _, pairs, _ = base(spark, sf_dir)
+    first = pairs.orderBy(F.desc(F.round("divergence", 12)), "question_id", F.least("label_country", "evidence_country")).limit(2)
+    two = stored(first.select(*UNIT[1:]), "smoke-units")
+    rows = stored(full_rows(spark, sf_dir).join(F.broadcast(two), UNIT[1:], "left_semi"), "smoke-rows")
+    conflict, building = F.col("condition") == "conflict", F.col("model_key") == "BUILDING"
+    rows = rows.where(~(building & conflict)).union(rows.where(conflict & (F.col("model_key") == "HOUSEHOLD")))
+    rows = rows.withColumns(
+        {
+            "backend": F.lit(BACKEND), "model_identifier": F.col("model_key"), "synthetic": (F.col("model_key") == "FURNITURE") & conflict,
+            "generated_answer": F.when((F.col("model_key") == "MACHINERY") & conflict, "A"), "template_verified": ~((F.col("model_key") == "MACHINERY") & conflict),
+            "answer_target": F.col("answer_target") + F.when((F.col("model_key") == "FURNITURE") & conflict, 1).otherwise(0),
+        }
+    )
+    return smoke_assertions(rows, trace_rules(rows), two)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "checkpoint_states": checkpoint_states,
     "checkpoint_stream": checkpoint_stream,
     "credential_scan": credential_scan,
+    "first_word_report": first_word_report,
+    "smoke_assertions": smoke,
 }
 
 _STATES = o.query(
@@ -102,7 +133,17 @@ UNION ALL SELECT unit || '|' || c, odd, FALSE, CAST(1 AS BIGINT) FROM odd WHERE
 UNION ALL SELECT unit || '|none', odd, FALSE, CAST(count(*) AS BIGINT) FROM odd WHERE odd = 'row key' GROUP BY ALL""",
 )
 
+_SMOKE = {
+    "genuine_backend_only": "model_key <> 'FURNITURE'", "exactly_all_rows": "model_key NOT IN ('BUILDING', 'HOUSEHOLD')", "unique_keys": "model_key <> 'HOUSEHOLD'",
+    "reciprocal_units": "TRUE", "all_conditions_per_unit": "model_key NOT IN ('BUILDING', 'HOUSEHOLD')", "template_verified": "model_key <> 'MACHINERY'", "candidate_tokenization_valid": "TRUE",
+    "correct_answer_position": "model_key <> 'FURNITURE'", "all_labels_scored": "TRUE", "no_generation": "model_key <> 'MACHINERY'",
+}
+
 ORACLE_SQL = {
+    "first_word_report": """SELECT 'options with one first word are alike' AS rule, o.key || '|' || word AS key
+FROM (SELECT p_brand || '/' || CAST(p_size AS VARCHAR) AS key, lower(split_part(trim(p_name), ' ', 1)) AS word, p_type AS label, CASE WHEN p_partkey % 7 = 0 THEN floor(p_retailprice / 100) * 100 ELSE p_retailprice END AS score FROM part) AS o
+GROUP BY o.key, word HAVING count(*) > count(DISTINCT label) OR count(*) > count(DISTINCT score)""",
+    "smoke_assertions": o.query(o.PREDICTIONS, "SELECT DISTINCT model_key, " + ", ".join(f"{rule} AS {name}" for name, rule in _SMOKE.items()) + " FROM wide"),
     "checkpoint_states": _STATES,
     "checkpoint_stream": _STATES,
     "credential_scan": """SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(coalesce(text, '') || CASE WHEN doc_id % 50 = 0 THEN ' hf_' || md5(CAST(doc_id AS VARCHAR)) ELSE '' END, 'hf_[A-Za-z0-9]{20,}')) AS token FROM documents) GROUP BY token""",

@@ -16,7 +16,7 @@ RULES = {
     "reference_report": {"evidence reference differs", "endpoint orientation", "target metric varies with its partner"},
     "recomputed_report": {"stored EO_raw differs", "not derived", "not stored"},
     "order_report": {"row out of order", "missing row", "unexpected row"},
-    "survey_report": {"options", "distribution", "fewer than two samples", "other options", "question without domain"},
+    "survey_report": {"options", "distribution", "fewer than two samples", "other options", "divergence", "question without domain"},
     "violations_report": {"unknown pair", "unequal coverage", "duplicate row", "incomplete conditions", "distribution: sum"},
 }
 

@@ -90,3 +90,14 @@ def test_any_order_gives_the_same_states(spark, tmp_path):
         assert at_once == streamed and [(k, s) for k, s, _, _ in at_once] == [("q|a|b|x", "complete"), ("q|a|b|y", "pending")]
         seen.add(tuple(at_once))
     assert len(seen) == 1
+
+
+def test_smoke_contract(spark):
+    from quorvia.operators.smoke import smoke_contract
+
+    pairs = spark.createDataFrame([("q", "a", "b"), ("q", "b", "a")], "question_id string, label_country string, evidence_country string")
+    models = spark.createDataFrame([("m", "deterministic_smoke")], "name string, backend string")
+    settings = {"conditions": ["baseline", "country_label", "population_evidence", "conflict"], "experiment": {"smoke": {"synthetic_backend": True, "scientific_inference": False, "expected_records": 8}}}
+    assert set(smoke_contract(pairs, models, settings).first()) == {True}
+    wrong = smoke_contract(pairs.union(pairs), models.union(models), {"conditions": settings["conditions"][::-1]}).first()
+    assert set(wrong) == {False} and len(wrong) == 5
