@@ -109,7 +109,7 @@ def reference_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = stored(with_references(rows.where("condition = 'baseline' AND model_key = 'BUILDING'"), cells), "units")
     changed = units.withColumn("evidence_reference", F.when(F.col("evidence_country").endswith("4"), F.reverse("evidence_reference")).otherwise(F.col("evidence_reference")))
     same = units.withColumn("evidence_reference", F.when(F.col("evidence_country").endswith("7"), F.col("label_reference")).otherwise(F.col("evidence_reference")))
-    varied = sv.metrics(spark, sf_dir)
+    varied = stored(sv.unit_rows(rows, cells), "unit-metrics")
     first = F.min("evidence_country").over(Window.partitionBy(*TARGET))
     varied = varied.withColumn("country_influence", F.col("country_influence") + F.when(F.col("label_country").endswith("0") & (F.col("evidence_country") == first), 1).otherwise(0))
     return gather(reference_rules(changed), endpoint_orientation(same), target_rules(target_units(varied)))

@@ -245,7 +245,8 @@ def extremes(spark, sf_dir):
 
 
 def stratified(spark, sf_dir):
-    df = stratified_metrics(*grains(spark, sf_dir), sv.domains(cells(spark, sf_dir)))
+    found = sv.metrics(spark, sf_dir)
+    df = stratified_metrics(target_units(found), directed_units(found), sv.domains(found))
     return rounded(rounded(df, *METRICS), "evidence_side_pct", digits=6)
 
 

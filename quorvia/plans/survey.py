@@ -89,9 +89,13 @@ def predictions(counts: DataFrame, pairs: DataFrame) -> DataFrame:
 def metrics(spark: SparkSession, sf_dir: str, n_directed: int | None = N_DIRECTED) -> DataFrame:
     """Unit metrics of all directed pairs whose references differ (equal ones are a violation elsewhere)."""
     counts = cube(spark, sf_dir)
-    cells = stored(survey(counts), "cells")
-    rows = stored(predictions(counts, manifest(cells, n_directed)), "predictions")
-    return stored(unit_metrics(with_references(condition_pivot(rows), cells)).where("jsd_references > 0"), "unit-metrics")
+    cells = survey(counts)
+    return stored(unit_rows(predictions(counts, manifest(cells, n_directed)), cells), "unit-metrics")
+
+
+def unit_rows(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """Unit metrics from predictions and the populations' distributions."""
+    return unit_metrics(with_references(condition_pivot(rows), cells)).where("jsd_references > 0")
 
 
 def domains(cells: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages start from the files.
 
-    The files outlive lost executors and are removed when the driver's JVM ends.
+    The files outlive lost executors. They are removed by ``freed``, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
@@ -37,4 +38,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(schema).parquet(path)
+
+
+#: The tables of each application that are still there, in the order in which they were made.
+_made: dict[str, list[str]] = {}
+
+
+def tables(spark: SparkSession) -> list[str]:
+    """The paths of this application's stored tables, the latest last."""
+    return list(_made.get(spark.sparkContext.applicationId, []))
+
+
+def freed(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove stored tables that nothing will read any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+        _made[spark.sparkContext.applicationId].remove(path)
