@@ -21,6 +21,7 @@ from quorvia.llm.mixing import mixed
 from quorvia.llm.packing import pack_documents
 from quorvia.llm.queries import tokenizer_path
 from quorvia.llm.toxicity import drop_toxic
+from quorvia.sources.stored import freed, tables
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each but the last written to the shared folder."""
+    """All stages over the documents, each but the last written to the shared folder.
+
+    Once a stage is written, what it built on is removed; the last one's input stays.
+    """
     docs = table(spark, sf_dir, "documents")
+    before = set(tables(spark))
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        *used, _ = (t for t in tables(spark) if t not in before)
+        freed(spark, used)
     return STAGES[-1][1](spark, docs, sf_dir)

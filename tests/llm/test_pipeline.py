@@ -79,3 +79,13 @@ def test_run(spark, stages):
     # as many begin and as many end a document, and every other cut ends one piece and begins one
     for (_, total), places in got[0].items():
         assert places[0] == places[total] and all(n % 2 == 0 for at, n in places.items() if 0 < at < total)
+
+
+def test_run_leaves_only_the_last_stage_s_input(spark):
+    from quorvia.sources.stored import tables
+
+    before = set(tables(spark))
+    found = corpus_pipeline.run(spark, SF)
+    left = [t for t in tables(spark) if t not in before]
+    assert len(left) == 1 and "stage-mixing" in left[0]
+    assert found.count() > 0
