@@ -70,6 +70,26 @@ def row_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.alias("prompt"),
         text_hash(F.concat(text, F.when(at("BUILDING", "4"), "?").otherwise(""))).alias("prompt_sha256"),
     )
+    first = F.col("condition") == "baseline"
+    twice = lambda m, where: F.when(where, F.transform_values(m, lambda _, x: 2 * x)).otherwise(F.col(m))
+    no_prompt = at("MACHINERY", "0")
+    same = at("BUILDING", "0") & first
+    df = df.withColumns(
+        {
+            "condition": F.when(at("FURNITURE", "0") & first, "other").otherwise(F.col("condition")),
+            "evidence_country": F.when(same, F.col("label_country")).otherwise(F.col("evidence_country")),
+            "unit_id": F.when(same, directed_unit_id("question_id", "label_country", "label_country")).otherwise(F.col("unit_id")),
+            "target_unit_id": F.concat("target_unit_id", F.when(at("HOUSEHOLD", "0"), "x").otherwise("")),
+            "prompt": F.when(no_prompt, " ").otherwise(F.col("prompt")),
+            "prompt_sha256": F.when(no_prompt, text_hash(F.lit(" "))).otherwise(F.col("prompt_sha256")),
+            "options": F.when(at("AUTOMOBILE", "3"), F.concat("options", F.slice("options", 1, 1))).otherwise(F.col("options")),
+            "label_log_scores": F.when(at("BUILDING", "3"), F.map_filter("label_log_scores", lambda k, _: k != "A")).otherwise(F.col("label_log_scores")),
+            "label_probabilities": twice("label_probabilities", at("HOUSEHOLD", "3")),
+            "prediction": twice("prediction", at("MACHINERY", "3")),
+            "label_reference": twice("label_reference", at("FURNITURE", "4") & first),
+            "evidence_reference": twice("evidence_reference", at("BUILDING", "5") & first),
+        }
+    )
     return row_rules(df)
 
 
@@ -275,6 +295,16 @@ ORACLE_SQL = {
             planted("evidence without condition", f"{ends('MACHINERY', '6')} AND NOT {_SHOWN}"),
             planted("evidence flag", f"{ends('FURNITURE', '5')} AND condition = 'baseline'"),
             planted("prompt hash", ends("BUILDING", "4")),
+            planted("unknown condition", f"{ends('FURNITURE', '0')} AND condition = 'baseline'", key=f"{_UNIT_KEY} || '|other'"),
+            planted("self pair", f"{ends('BUILDING', '0')} AND condition = 'baseline'", key="concat_ws('|', model_key, question_id, label_country, label_country, condition)"),
+            planted("target unit id", ends("HOUSEHOLD", "0")),
+            planted("prompt missing", ends("MACHINERY", "0")),
+            planted("options", ends("AUTOMOBILE", "3")),
+            planted("log scores", ends("BUILDING", "3")),
+            planted("label probabilities", ends("HOUSEHOLD", "3")),
+            planted("prediction distribution", ends("MACHINERY", "3")),
+            planted("label_reference distribution", f"{ends('FURNITURE', '4')} AND condition = 'baseline'"),
+            planted("evidence_reference distribution", f"{ends('BUILDING', '5')} AND condition = 'baseline'"),
         ),
     ),
     "origin_report": o.query(

@@ -9,7 +9,7 @@ ORACLE_SQL = queries.ORACLE_SQL | contracts.ORACLE_SQL
 EMPTY = {"reciprocal_check", "permutation_constancy", "coverage_diff"}
 #: What must be met: a report without one of its rules would prove nothing about it.
 RULES = {
-    "row_contract": {"unit id", "displayed options", "label map", "round trip", "softmax", "presented evidence", "evidence without condition", "evidence flag", "prompt hash"},
+    "row_contract": {"unit id", "displayed options", "label map", "round trip", "softmax", "presented evidence", "evidence without condition", "evidence flag", "prompt hash", "unknown condition", "self pair", "target unit id", "prompt missing", "options", "log scores", "label probabilities", "prediction distribution", "label_reference distribution", "evidence_reference distribution"},
     "origin_report": {"synthetic", "backend", "scoring method", "generated answer", "unknown question", "rows of model"},
     "cluster_report": {"country_influence not finite", "duplicate target", "missing reciprocal", "endpoint without target", "target without endpoint", "target not in all models", "unit not in all models"},
     "manifest_report": {"duplicate pair", "missing reciprocal", "unit id", "unknown label_country", "unknown evidence_country", "size"},
