@@ -333,7 +333,10 @@ def lead_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar
     if not buckets.where(heavy).isEmpty():
         many = with_hot(labelled, buckets.where(heavy).select("band", "held"), "band", n_rows).select("rep", "class").distinct()
         met = cut(rare_shingles(held, cut(many, "minhash-many"), similarity), "minhash-rare")
-        sizes = cut(met.groupBy("band").agg(F.count("*").alias("held"), F.count_distinct("class").alias("classes")).where("classes > 1").drop("classes"), "minhash-rare-held")
+        # shingles that the same members share, as those of one passage, are one bucket
+        same = [F.bit_xor(F.xxhash64(F.lit(i), "rep")).alias(f"members{i}") for i in (0, 1)]
+        sizes = met.groupBy("band").agg(F.count("*").alias("held"), F.count_distinct("class").alias("classes"), *same).where("classes > 1")
+        sizes = cut(sizes.groupBy("held", "members0", "members1").agg(F.min("band").alias("band")).select("band", "held"), "minhash-rare-held")
         close = with_hot(met, sizes, "band", n_rows)
         one = close.where(F.col("held") <= LISTED).select("band", "rep", "class", "n")
         pairs_of = one.toDF("band", "a", "ca", "an").join(one.toDF("band", "b", "cb", "bn"), "band").where("a < b AND ca <> cb").where(F.least("an", "bn") >= similarity * F.greatest("an", "bn"))
