@@ -44,7 +44,7 @@ raw AS (SELECT base.model_key, m.question_id, m.label_country, m.evidence_countr
   LEFT JOIN reg nr ON nr.model_key = base.model_key AND nr.question_id = m.question_id AND nr.region = cr.region AND nr.option = base.option),
 wide AS (SELECT raw.model_key, raw.question_id, raw.label_country, raw.evidence_country, raw.option, b AS baseline,
     (nr + b) / sum(nr + b) OVER u AS country_label, (nl + b) / sum(nl + b) OVER u AS population_evidence,
-    (3 * ne + nl + b) / sum(3 * ne + nl + b) OVER u AS conflict, l.p AS lr, e.p AS er
+    CASE WHEN raw.model_key = 'BUILDING' AND raw.label_country LIKE '%8' THEN (l.p + e.p) / 2 ELSE (3 * ne + nl + b) / sum(3 * ne + nl + b) OVER u END AS conflict, l.p AS lr, e.p AS er
   FROM raw JOIN survey l ON l.question_id = raw.question_id AND l.country = raw.label_country AND l.option = raw.option
   JOIN survey e ON e.question_id = raw.question_id AND e.country = raw.evidence_country AND e.option = raw.option
   WINDOW u AS (PARTITION BY raw.model_key, raw.question_id, raw.label_country, raw.evidence_country))"""

@@ -218,8 +218,8 @@ def file_identity(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     status = F.when(F.col("there"), "present").otherwise("missing").alias("status")
     if not there:
         return asked.select("path", status, F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("long").alias("bytes"))
-    held = None
-    for p in there:  # as many as are asked for
-        one = spark.read.format("binaryFile").load(p).select(F.lit(p).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").cast("long").alias("bytes"))
-        held = one if held is None else held.unionByName(one)
+    # one load of them all; Spark names files by their whole URI
+    held = spark.read.format("binaryFile").load(there).select(F.col("path").alias("uri"), F.sha2("content", 256).alias("sha256"), F.col("length").cast("long").alias("bytes"))
+    whole = spark.createDataFrame([(p, jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).makeQualified(jvm.org.apache.hadoop.fs.Path(p)).toString()) for p in there], "path string, uri string")
+    held = held.dropDuplicates(["uri"]).join(F.broadcast(whole), "uri").drop("uri")  # as many as are asked for
     return asked.join(held, "path", "left").select("path", status, "sha256", "bytes")

@@ -42,3 +42,9 @@ def test_every_reason_is_met():
     met = {r[0] for r in views("/root/testdata/sf0.01").sql(f"SELECT DISTINCT reason FROM ({ORACLE_SQL['quarantine_reason']})").fetchall()}
     assert met <= {*REASONS, None}
     assert {"invalid_options", "fewer_than_two_substantive_options", "invalid_distribution_schema", "fewer_than_two_eligible_samples", "table_total_parser_artifact", None} <= met
+
+
+def test_ties_are_met():
+    con = views("/root/testdata/sf0.01")
+    assert con.sql(f"SELECT sum(tie_n) FROM ({ORACLE_SQL['conflict_classes']})").fetchone()[0] > 0
+    assert {"evidence-side", "label-side", "tie"} == {r[0] for r in con.sql(f"SELECT classification FROM ({ORACLE_SQL['class_proportions']}) WHERE n > 0").fetchall()}
