@@ -46,5 +46,5 @@ def test_every_reason_is_met():
 
 def test_ties_are_met():
     con = views("/root/testdata/sf0.01")
-    assert con.sql(f"SELECT sum(tie_n) FROM ({ORACLE_SQL['conflict_classes']})").fetchone()[0] > 0
+    assert con.sql(f"SELECT sum(tie_n) FROM ({ORACLE_SQL['conflict_classes']})").fetchall()[0][0] > 0
     assert {"evidence-side", "label-side", "tie"} == {r[0] for r in con.sql(f"SELECT classification FROM ({ORACLE_SQL['class_proportions']}) WHERE n > 0").fetchall()}
