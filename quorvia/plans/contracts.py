@@ -26,6 +26,7 @@ from quorvia.operators.validation import (
 from quorvia.plans import oracle as o
 from quorvia.plans import survey as sv
 from quorvia.plans.experiment import analyse
+from quorvia.plans.queries import tied
 from quorvia.sources.stored import stored
 
 #: Four models in an order in which the lone one is not the last.
@@ -176,7 +177,7 @@ def analysis_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conflict_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sv.metrics(spark, sf_dir)
-    directed = directed_units(found)
+    directed = tied(directed_units(found))
     means = metric_summary(long_metrics(target_units(found), directed))
     main = means.groupBy("model_key").pivot("metric", list(METRICS)).agg(F.first("mean"))
     df = conflict_with_main(conflict_classes(directed), main)
@@ -383,10 +384,10 @@ four AS (SELECT question_id, label_country, evidence_country, count(*) FILTER (c
         union(*[f"SELECT '{name}' AS statistic, count(*) FILTER ({rule}) AS count, {o.r(f'100.0 * count(*) FILTER ({rule}) / count(*)', 6, 'percent')} FROM four" for name, rule in _AGREE]),
     ),
     "conflict_main": o.query(
-        o.METRICS,
+        o.TIED,
         "SELECT model_key, "
         + ", ".join(f"count(*) FILTER (classification = '{c}') AS {c.replace('-', '_')}_n, {o.r(_PERCENT.format(c), 9, c.replace('-', '_') + '_pct')}" for c in ("evidence-side", "label-side", "tie"))
-        + f", {o.r('avg(EO_raw)', 9, 'EO_raw')}, {o.r('avg(EO_normalized)', 9, 'EO_normalized')} FROM metrics GROUP BY model_key",
+        + f", {o.r('avg(EO_raw)', 9, 'EO_raw')}, {o.r('avg(EO_normalized)', 9, 'EO_normalized')} FROM tied GROUP BY model_key",
     ),
     "unexpected_units": o.query(o.PAIRS, "SELECT unit_id FROM manifest WHERE label_country LIKE '%0'"),
     "displayed_shares": o.query(

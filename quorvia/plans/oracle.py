@@ -44,7 +44,7 @@ raw AS (SELECT base.model_key, m.question_id, m.label_country, m.evidence_countr
   LEFT JOIN reg nr ON nr.model_key = base.model_key AND nr.question_id = m.question_id AND nr.region = cr.region AND nr.option = base.option),
 wide AS (SELECT raw.model_key, raw.question_id, raw.label_country, raw.evidence_country, raw.option, b AS baseline,
     (nr + b) / sum(nr + b) OVER u AS country_label, (nl + b) / sum(nl + b) OVER u AS population_evidence,
-    CASE WHEN raw.model_key = 'BUILDING' AND raw.label_country LIKE '%8' THEN (l.p + e.p) / 2 ELSE (3 * ne + nl + b) / sum(3 * ne + nl + b) OVER u END AS conflict, l.p AS lr, e.p AS er
+    (3 * ne + nl + b) / sum(3 * ne + nl + b) OVER u AS conflict, l.p AS lr, e.p AS er
   FROM raw JOIN survey l ON l.question_id = raw.question_id AND l.country = raw.label_country AND l.option = raw.option
   JOIN survey e ON e.question_id = raw.question_id AND e.country = raw.evidence_country AND e.option = raw.option
   WINDOW u AS (PARTITION BY raw.model_key, raw.question_id, raw.label_country, raw.evidence_country))"""
@@ -80,6 +80,14 @@ boot AS (SELECT model_key, metric, quantile_cont(value, 0.025) AS lo, quantile_c
 point AS (SELECT model_key, metric, sum(total) / sum(n) AS estimate, CAST(sum(n) AS BIGINT) AS n FROM sums GROUP BY ALL)"""
 )
 
+#: Some overrides lie below the tolerance, on either side of 0.
+TIED = (
+    METRICS
+    + """,
+near AS (SELECT * REPLACE (CASE WHEN model_key = 'BUILDING' AND label_country LIKE '%8' THEN sign(EO_raw) * 5e-13 ELSE EO_raw END AS EO_raw) FROM metrics),
+tied AS (SELECT * REPLACE (CASE WHEN EO_raw > 1e-12 THEN 'evidence-side' WHEN EO_raw < -1e-12 THEN 'label-side' ELSE 'tie' END AS classification) FROM near)"""
+)
+
 #: The same with counts of each cluster by a rule over its name.
 WEIGHTS = (
     METRICS
@@ -196,8 +204,8 @@ every AS (SELECT a.question_id, a.country AS a, b.country AS b, {jsd("a.p", "b.p
     "unit_metrics_directed": query(METRICS, f"SELECT {UNIT}, {r('EO_raw')}, {r('EO_normalized')}, classification FROM metrics"),
     "every_pair_metrics": query(METRICS.replace("WHERE place <= 3)", ")").replace(", a, b LIMIT 20)", ", a, b)"), f"SELECT {UNIT}, {r('EO_raw')}, {r('EO_normalized')}, classification FROM metrics"),
     "divergence_components": query(METRICS, f"SELECT {UNIT}, {r('jb', 9, 'jsd_baseline')}, {r('jc', 9, 'jsd_label')}, {r('je', 9, 'jsd_evidence')}, {r('jl', 9, 'jsd_conflict_label')}, {r('jx', 9, 'jsd_conflict_evidence')}, {r('jr', 9, 'jsd_references')} FROM d WHERE jr > 0"),
-    "conflict_classes": query(METRICS, "SELECT model_key, count(*) FILTER (classification = 'evidence-side') AS evidence_side_n, count(*) FILTER (classification = 'label-side') AS label_side_n, count(*) FILTER (classification = 'tie') AS tie_n FROM metrics GROUP BY model_key"),
-    "class_proportions": query(METRICS, f"SELECT model_key, c.classification, count(m.classification) AS n, {r('count(m.classification) / sum(count(m.classification)) OVER (PARTITION BY model_key)', 9, 'proportion')} FROM (SELECT DISTINCT model_key FROM metrics) CROSS JOIN (VALUES ('evidence-side'), ('label-side'), ('tie')) c(classification) LEFT JOIN metrics m USING (model_key, classification) GROUP BY model_key, c.classification"),
+    "conflict_classes": query(TIED, "SELECT model_key, count(*) FILTER (classification = 'evidence-side') AS evidence_side_n, count(*) FILTER (classification = 'label-side') AS label_side_n, count(*) FILTER (classification = 'tie') AS tie_n FROM tied GROUP BY model_key"),
+    "class_proportions": query(TIED, f"SELECT model_key, c.classification, count(m.classification) AS n, {r('count(m.classification) / sum(count(m.classification)) OVER (PARTITION BY model_key)', 9, 'proportion')} FROM (SELECT DISTINCT model_key FROM tied) CROSS JOIN (VALUES ('evidence-side'), ('label-side'), ('tie')) c(classification) LEFT JOIN tied m USING (model_key, classification) GROUP BY model_key, c.classification"),
     "metric_summary": query(METRICS, f"SELECT model_key, metric, count(*) AS n, {r('avg(value)', 9, 'mean')}, {r('stddev_pop(value)', 9, 'population_sd')}, {r('min(value)', 9, 'minimum')}, {r('max(value)', 9, 'maximum')} FROM long GROUP BY ALL"),
     "cluster_sums": query(METRICS, f"SELECT model_key, metric, question_id, {r('total')}, n FROM sums"),
     "bootstrap_ci": query(BOOTSTRAP, f"SELECT model_key, metric, n, {r('estimate')}, {r('mean')}, {r('se')}, {r('lo', 9, 'ci_lower')}, {r('hi', 9, 'ci_upper')} FROM point JOIN boot USING (model_key, metric)"),

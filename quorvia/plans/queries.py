@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorvia.functions.distributions import label_map, largest_remainder, map_label_probabilities, normalize_log_scores, option_labels, recover_canonical
+from quorvia.functions.distributions import classify_conflict, label_map, largest_remainder, map_label_probabilities, normalize_log_scores, option_labels, recover_canonical
 from quorvia.functions.json_text import json_string
 from quorvia.functions.prompts import CONDITIONS, format_evidence, incomplete_evidence, prompt, serialize_messages, synthetic_score
 from quorvia.functions.text import canonical_option, directed_unit_id, is_nonresponse, stable_seed, target_unit_id, text_hash
@@ -179,12 +179,18 @@ def components(spark, sf_dir):
     return rounded(sv.metrics(spark, sf_dir).select(*UNIT, *names), *names)
 
 
+def tied(directed: DataFrame) -> DataFrame:
+    """Some overrides below the tolerance, on either side of 0."""
+    near = directed.withColumn("EO_raw", F.when(F.expr(sv.TIES), F.signum("EO_raw") * 5e-13).otherwise(F.col("EO_raw")))
+    return near.withColumn("classification", classify_conflict("EO_raw"))
+
+
 def classes(spark, sf_dir):
-    return conflict_classes(directed_units(sv.metrics(spark, sf_dir))).select("model_key", "evidence_side_n", "label_side_n", "tie_n")
+    return conflict_classes(tied(directed_units(sv.metrics(spark, sf_dir)))).select("model_key", "evidence_side_n", "label_side_n", "tie_n")
 
 
 def proportions(spark, sf_dir):
-    return rounded(class_proportions(directed_units(sv.metrics(spark, sf_dir))).select("model_key", "classification", "n", "proportion"), "proportion")
+    return rounded(class_proportions(tied(directed_units(sv.metrics(spark, sf_dir)))).select("model_key", "classification", "n", "proportion"), "proportion")
 
 
 def summary(spark, sf_dir):

@@ -20,7 +20,7 @@ MODELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 N_DIRECTED = 40
 
 
-#: Rows whose conflict is a tie.
+#: Directed units that are made ties.
 TIES = "model_key = 'BUILDING' AND label_country LIKE '%8'"
 
 
@@ -69,7 +69,6 @@ def predictions(counts: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Baseline: the segment's shares over all nations. The others add counts of the label's
     region, the label's nation, or three parts evidence and one part label, to one part baseline.
-    Some conflicts lie right between the two populations, which is a tie.
     """
     options = options_of(counts)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
@@ -83,11 +82,9 @@ def predictions(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     units = units.join(of(nation, "country", "label_country", "nl"), ["model_key", "question_id", "label_country"], "left")
     units = units.join(of(nation, "country", "evidence_country", "ne"), ["model_key", "question_id", "evidence_country"], "left")
     units = units.join(of(region, "region", "region", "nr"), ["model_key", "question_id", "region"], "left")
-    own = lambda side, name: survey(counts).select("question_id", F.col("country").alias(side), F.col("p").alias(name))
-    units = units.join(own("label_country", "lr"), ["question_id", "label_country"]).join(own("evidence_country", "er"), ["question_id", "evidence_country"])
     zero = F.transform("b", lambda x: F.lit(0.0))
     nl, ne, nr = (F.coalesce(c, zero) for c in ("nl", "ne", "nr"))
-    made = {"baseline": F.col("b"), "country_label": add(nr, F.col("b")), "population_evidence": add(nl, F.col("b")), "conflict": F.when(F.expr(TIES), add(F.col("er"), F.col("lr"))).otherwise(add(add(ne, nl, 3.0), F.col("b")))}
+    made = {"baseline": F.col("b"), "country_label": add(nr, F.col("b")), "population_evidence": add(nl, F.col("b")), "conflict": add(add(ne, nl, 3.0), F.col("b"))}
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), made[c].alias("w")) for c in CONDITIONS]))
     df = units.select(*UNIT, "options", rows.alias("r")).select(*UNIT, "options", "r.*")
     return df.select(*UNIT, "condition", "options", F.transform("w", lambda x: x / total("w")).alias("p"))
