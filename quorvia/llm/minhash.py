@@ -240,10 +240,18 @@ def with_hot(rows: DataFrame, keys: DataFrame, key: str, n_rows: int) -> DataFra
     return rows.join(few, key).union(rows.join(F.broadcast(keys.where(hot).select(key)), key, "left_anti").join(keys.where(~hot), key))
 
 
+def members_hash(*columns: str) -> list[Column]:
+    """Two 64-bit checksums over members, whatever their order; of members, or of such checksums."""
+    own = [F.xxhash64(F.lit(i), "rep") for i in (0, 1)] if not columns else [F.col(c) for c in columns]
+    return [F.bit_xor(c).alias(f"members{i}") for i, c in enumerate(own)]
+
+
 def open_buckets(labelled: DataFrame) -> DataFrame:
-    """band, top (its largest class), held and n_top (members in all and in that), of buckets with several classes."""
-    by_class = labelled.groupBy("band", "class").agg(F.count("*").alias("n"))
-    return by_class.groupBy("band").agg(F.max_by("class", F.struct("n", "class")).alias("top"), F.sum("n").alias("held"), F.max("n").alias("n_top"), F.count("*").alias("classes")).where("classes > 1")
+    """band, top (its largest class), held and n_top (members in all and in that), of buckets with
+    several classes; one for each set of members, however many bands have it."""
+    by_class = labelled.groupBy("band", "class").agg(F.count("*").alias("n"), *members_hash())
+    found = by_class.groupBy("band").agg(F.max_by("class", F.struct("n", "class")).alias("top"), F.sum("n").alias("held"), F.max("n").alias("n_top"), F.count("*").alias("classes"), *members_hash("members0", "members1"))
+    return found.where("classes > 1").groupBy("held", "members0", "members1").agg(F.min_by(F.struct("band", "top", "n_top"), "band").alias("b")).select("b.*", "held")
 
 
 def rare_shingles(held: DataFrame, some: DataFrame, similarity: float) -> DataFrame:
@@ -334,8 +342,7 @@ def lead_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar
         many = with_hot(labelled, buckets.where(heavy).select("band", "held"), "band", n_rows).select("rep", "class").distinct()
         met = cut(rare_shingles(held, cut(many, "minhash-many"), similarity), "minhash-rare")
         # shingles that the same members share, as those of one passage, are one bucket
-        same = [F.bit_xor(F.xxhash64(F.lit(i), "rep")).alias(f"members{i}") for i in (0, 1)]
-        sizes = met.groupBy("band").agg(F.count("*").alias("held"), F.count_distinct("class").alias("classes"), *same).where("classes > 1")
+        sizes = met.groupBy("band").agg(F.count("*").alias("held"), F.count_distinct("class").alias("classes"), *members_hash()).where("classes > 1")
         sizes = cut(sizes.groupBy("held", "members0", "members1").agg(F.min("band").alias("band")).select("band", "held"), "minhash-rare-held")
         close = with_hot(met, sizes, "band", n_rows)
         one = close.where(F.col("held") <= LISTED).select("band", "rep", "class", "n")
@@ -357,8 +364,9 @@ def lead_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar
     each = lambda n, task: F.transform(F.sequence(F.lit(0), F.col(n) - 1), task)
     task = lambda among, i, j: F.struct(F.lit(among).alias("among"), i.alias("i"), j.alias("j"))
     mine = F.col("block")
-    # members of the largest class meet each block of the others once; the others meet all
-    met = F.when(F.col("asks"), F.concat(each("tops", lambda t: task(False, t, mine)), each("others", lambda o: task(True, F.least(mine, o), F.greatest(mine, o))))).otherwise(each("others", lambda o: task(False, mine, o)))
+    # members of the largest class meet each block of the others once; the others meet all, and where one block holds either, in one task
+    small = (F.col("tops") == 1) & (F.col("others") == 1)
+    met = F.when(small, F.array(task(True, F.lit(0), F.lit(0)))).when(F.col("asks"), F.concat(each("tops", lambda t: task(False, t, mine)), each("others", lambda o: task(True, F.least(mine, o), F.greatest(mine, o))))).otherwise(each("others", lambda o: task(False, mine, o)))
     rest = rest.withColumn("block", block).select("band", "rep", "class", "asks", F.explode(met).alias("t")).select("band", "t.*", "rep", "class", "asks")
     rest = rest.join(held.select("rep", "e", "w"), "rep")
 

@@ -215,7 +215,7 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
     text = F.when(F.size(lines) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(F.lit(""))
     told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
-    milli = F.floor(1000 * F.col("best.length") / F.col("best.period"))
+    milli = F.expr("1000 * best.length div best.period")
     return told.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
