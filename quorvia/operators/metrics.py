@@ -17,6 +17,19 @@ DIRECTED_METRICS = ("EO_raw", "EO_normalized")
 METRICS = (*TARGET_METRICS, *DIRECTED_METRICS)
 
 
+#: Fixed value: the one override of analyses from before the repair.
+LEGACY_METRIC = "evidence_override"
+
+
+def directed_metrics(directed: DataFrame) -> tuple[str, ...]:
+    """The override columns that a table of directed units has: both of today, or else the older one."""
+    if set(DIRECTED_METRICS) <= set(directed.columns):
+        return DIRECTED_METRICS
+    if LEGACY_METRIC in directed.columns:
+        return (LEGACY_METRIC,)
+    raise ValueError(f"directed units need {' and '.join(DIRECTED_METRICS)}, or {LEGACY_METRIC}")
+
+
 def condition_pivot(predictions: DataFrame, value: str = "p", keys: Sequence[str] = UNIT, conditions: Sequence[str] = CONDITIONS) -> DataFrame:
     """One row per unit with a column for each condition: one shuffle, not a join per condition."""
     return predictions.groupBy(*keys).pivot("condition", list(conditions)).agg(F.first(value))
@@ -87,12 +100,13 @@ def class_proportions(directed: DataFrame, by: Sequence[str] = ("model_key",)) -
 
 
 def long_metrics(targets: DataFrame, directed: DataFrame) -> DataFrame:
-    """model_key, question_id, metric, value, each metric at its own grain."""
+    """model_key, question_id, metric, value, each metric at its own grain. Older analyses have one override and no advantage."""
 
     def melt(df: DataFrame, names: Sequence[str]) -> DataFrame:
         return df.select("model_key", "question_id", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names])).alias("x")).select("model_key", "question_id", "x.*")
 
-    return melt(targets, TARGET_METRICS).unionByName(melt(directed, DIRECTED_METRICS))
+    of_targets = [m for m in TARGET_METRICS if m in targets.columns or directed_metrics(directed) == DIRECTED_METRICS]
+    return melt(targets, of_targets).unionByName(melt(directed, directed_metrics(directed)))
 
 
 def metric_summary(long: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from quorvia.functions.json_text import canonical_hash
 from quorvia.functions.prompts import CONDITIONS
 from quorvia.functions.text import canonical_option, directed_unit_id, is_blank, stable_seed, target_unit_id, text_hash
 from quorvia.functions.udfs import shuffle_options
-from quorvia.operators.metrics import DIRECTED_METRICS, TARGET, TARGET_METRICS, UNIT
+from quorvia.operators.metrics import DIRECTED_METRICS, TARGET, TARGET_METRICS, UNIT, directed_metrics
 from quorvia.operators.pairs import missing_reciprocals
 
 VIOLATIONS = "rule string, key string"
@@ -268,8 +268,8 @@ def cluster_rules(targets: DataFrame, directed: DataFrame, models: Sequence[str]
         return flagged(n.where(F.col("n") != len(models)), rule, *keys)
 
     return gather(
-        failing(targets, row(TARGET, TARGET_METRICS), *TARGET),
-        failing(directed, row(UNIT, DIRECTED_METRICS) | {"self pair": F.col("label_country") == F.col("evidence_country")}, *UNIT),
+        failing(targets, row(TARGET, [m for m in TARGET_METRICS if m in targets.columns or directed_metrics(directed) == DIRECTED_METRICS]), *TARGET),
+        failing(directed, row(UNIT, directed_metrics(directed)) | {"self pair": F.col("label_country") == F.col("evidence_country")}, *UNIT),
         duplicates(targets, TARGET, "duplicate target"),
         duplicates(directed, UNIT, "duplicate unit"),
         missing(back, directed, UNIT, "missing reciprocal"),
@@ -330,6 +330,22 @@ def recomputed_rules(stored: DataFrame, derived: DataFrame, keys: Sequence[str],
     return gather(*wrong, missing(stored, derived, keys, "not derived"), missing(derived, stored, keys, "not stored"))
 
 
+def release_rules(intervals: DataFrame, classes: DataFrame, published: DataFrame, counts: DataFrame, tolerance: float = 5e-10) -> DataFrame:
+    """Summaries that differ from the published ones, and published ones that aren't there.
+
+    intervals: model_key, metric, estimate, ci_lower, ci_upper; published: the same and
+    decimals, where a value was published rounded (null: in full); classes and counts:
+    model_key, evidence_side_n.
+    """
+    names = ("estimate", "ci_lower", "ci_upper")
+    keys = ["model_key", "metric"]
+    both = intervals.select(*keys, *names).join(published.select(*keys, "decimals", *[F.col(c).alias(f"__{c}") for c in names]), keys)
+    within = F.coalesce(0.5 * F.pow(F.lit(10.0), -F.col("decimals")) + 1e-12, F.lit(tolerance))
+    far = {f"published {c} differs": ~(F.abs(F.col(c) - F.col(f"__{c}")) <= within) for c in names}
+    counted = classes.select("model_key", "evidence_side_n").join(counts.select("model_key", F.col("evidence_side_n").alias("__n")), "model_key")
+    return gather(failing(both, far, *keys), missing(published, intervals, keys, "published value lacks"), failing(counted, {"published count differs": F.col("evidence_side_n") != F.col("__n")}, "model_key"))
+
+
 def path_rules(rows: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """Token paths of a row's labels: unique, and their log probabilities sum to the label's score.
 

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from quorvia.functions.prompts import CONDITIONS
 from quorvia.functions.text import text_hash
+from quorvia.operators.bootstrap import bootstrap
 from quorvia.operators.full_rows import trace_rules
-from quorvia.operators.metrics import UNIT
+from quorvia.operators.metrics import UNIT, conflict_classes, directed_units, long_metrics, target_units
 from quorvia.operators.smoke import smoke_assertions
 from quorvia.operators.summaries import positions
-from quorvia.operators.validation import BACKEND, first_word_rules
+from quorvia.operators.validation import BACKEND, first_word_rules, release_rules
 from quorvia.plans import oracle as o
 from quorvia.plans import survey as sv
 from quorvia.plans.contracts import base
@@ -97,6 +98,23 @@ def first_word_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_word_rules(parts.select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("key"), F.col("p_type").alias("label"), F.col("p_name").alias("text"), price.alias("score")))
 
 
+def release_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's summaries against published ones: exact, rounded to four places, or changed."""
+    found = sv.metrics(spark, sf_dir)
+    directed = directed_units(found)
+    intervals = stored(bootstrap(long_metrics(target_units(found), directed), replicates=200, draws="arithmetic"), "intervals")
+    classes = conflict_classes(directed)
+    advantage = F.col("metric") == "evidence_advantage"
+    shown = lambda c: F.when(advantage, F.round(c, 4)).otherwise(F.col(c))
+    at = lambda model, metric: (F.col("model_key") == model) & (F.col("metric") == metric)
+    published = intervals.select(
+        "model_key", "metric", F.when(advantage, 4).alias("decimals"), (shown("estimate") + F.when(at("AUTOMOBILE", "EO_raw"), 1e-9).otherwise(0)).alias("estimate"),
+        (shown("ci_lower") + F.when(at("FURNITURE", "evidence_advantage"), 1e-4).otherwise(0)).alias("ci_lower"), (shown("ci_upper") - F.when(at("MACHINERY", "EO_normalized"), 1e-9).otherwise(1e-11)).alias("ci_upper"),
+    )
+    counts = classes.select("model_key", (F.col("evidence_side_n") + F.when(F.col("model_key") == "BUILDING", 1).otherwise(0)).alias("evidence_side_n"))
+    return release_rules(intervals.where(~at("HOUSEHOLD", "country_influence")), classes, published, counts)
+
+
 def smoke(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The assertions of a short run for every model: two units in both directions, and a fault in most models' rows."""
     _, pairs, _ = base(spark, sf_dir)
@@ -121,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "credential_scan": credential_scan,
     "first_word_report": first_word_report,
     "smoke_assertions": smoke,
+    "release_report": release_report,
 }
 
 _STATES = o.query(
@@ -140,6 +159,8 @@ _SMOKE = {
 }
 
 ORACLE_SQL = {
+    "release_report": """SELECT DISTINCT rule, model || key AS key FROM customer JOIN (VALUES ('AUTOMOBILE', '|EO_raw', 'published estimate differs'), ('FURNITURE', '|evidence_advantage', 'published ci_lower differs'),
+  ('MACHINERY', '|EO_normalized', 'published ci_upper differs'), ('HOUSEHOLD', '|country_influence', 'published value lacks'), ('BUILDING', '', 'published count differs')) v(model, key, rule) ON model = c_mktsegment""",
     "first_word_report": """SELECT 'options with one first word are alike' AS rule, o.key || '|' || word AS key
 FROM (SELECT p_brand || '/' || CAST(p_size AS VARCHAR) AS key, lower(split_part(trim(p_name), ' ', 1)) AS word, p_type AS label, CASE WHEN p_partkey % 7 = 0 THEN floor(p_retailprice / 100) * 100 ELSE p_retailprice END AS score FROM part) AS o
 GROUP BY o.key, word HAVING count(*) > count(DISTINCT label) OR count(*) > count(DISTINCT score)""",

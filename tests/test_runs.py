@@ -101,3 +101,15 @@ def test_smoke_contract(spark):
     assert set(smoke_contract(pairs, models, settings).first()) == {True}
     wrong = smoke_contract(pairs.union(pairs), models.union(models), {"conditions": settings["conditions"][::-1]}).first()
     assert set(wrong) == {False} and len(wrong) == 5
+
+
+def test_older_analyses_have_one_override(spark):
+    from quorvia.operators.metrics import long_metrics
+    from quorvia.operators.validation import cluster_rules
+
+    targets = spark.createDataFrame([("m", "q", c, 0.1, 0.2) for c in "ab"], "model_key string, question_id string, label_country string, country_influence double, evidence_influence double")
+    directed = spark.createDataFrame([("m", "q", "a", "b", 0.3), ("m", "q", "b", "a", float("nan"))], "model_key string, question_id string, label_country string, evidence_country string, evidence_override double")
+    assert {(r.metric, r.n) for r in long_metrics(targets, directed).groupBy("metric").count().withColumnRenamed("count", "n").collect()} == {("country_influence", 2), ("evidence_influence", 2), ("evidence_override", 2)}
+    assert [(r.rule, r.key) for r in cluster_rules(targets, directed, ["m"]).collect()] == [("evidence_override not finite", "m|q|b|a")]
+    with pytest.raises(ValueError, match="directed units need"):
+        long_metrics(targets, directed.drop("evidence_override"))
