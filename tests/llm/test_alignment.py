@@ -84,7 +84,7 @@ def test_query_against_plain_places(spark):
 ODD = [None, "", " ", "a", "<|endoftext|> and <s> </s> <unk>", "two  spaces", " led", "tail ", "tabs\tand\nlines\r\n", "naïve café 日本語 🙂🙃 é", "▁ a mark", "x▁y", "don't we'll I'D", "\x00\x01", "ﬁ ligature ½", "word " * 5000, "a b 　c", "لغة عربية שלום"]
 
 
-@pytest.mark.parametrize("head", [0, 1, 5, 1000, 10**6])
+@pytest.mark.parametrize("head", [0, 5, 10**6])
 def test_odd_rows_and_any_head(spark, head):
     rows = [*enumerate(ODD), *enumerate(ODD[:5]), (None, "a null id"), (None, "a null id")]
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, row int, `n.a` string").repartition(3)
