@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quorvia.sources.stored import stored as cut
 
-__all__ = ["WORD", "WordHashes", "cut", "fresh", "mix", "named", "record_batches", "table"]
+__all__ = ["WORD", "WordHashes", "cut", "fresh", "mix", "named", "record_batches", "table", "word_hashes"]
 
 #: Rows of one Arrow batch handed to Python; long texts make rows of up to megabytes.
 BATCH_ROWS = 500
@@ -47,7 +47,7 @@ def named(name: str) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound (then forgotten as a whole)."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most = most
 
     def __missing__(self, word: str) -> int:
@@ -60,6 +60,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One memory for all operators that a worker runs: each of its own would add up.
+word_hashes = WordHashes()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (the finaliser of splitmix64)."""
     x = x ^ (x >> np.uint64(30))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorvia.llm.common import WORD, WordHashes, cut, fresh, mix, named, record_batches
+from quorvia.llm.common import WORD, cut, fresh, mix, named, record_batches, word_hashes
 from quorvia.llm.graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -55,7 +55,7 @@ MANY, LISTED = 64, 64
 #: Rows that one copy of a bucket's first member is compared with.
 SPLIT = 1000
 
-_hashes = WordHashes()
+_hashes = word_hashes
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 

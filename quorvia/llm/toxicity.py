@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quorvia.llm.common import WORD, WordHashes, fresh, mix, named, record_batches
+from quorvia.llm.common import WORD, fresh, mix, named, record_batches, word_hashes
 
 BITS = 20
 #: Bound of the labelled rows that are learned from, and how often each is seen.
@@ -35,7 +35,7 @@ ALPHA, BETA, L1, L2, TOXIC_WEIGHT = 3.0, 1.0, 10.0, 0.01, 3.0
 #: A coordinate present in every text.
 BIAS = 0
 
-_hashes = WordHashes()
+_hashes = word_hashes
 
 
 def features(text: str | None) -> np.ndarray:
