@@ -1,11 +1,14 @@
 """The most divergent pairs of populations, exactly, without making every pair.
 
-The root of the Jensen-Shannon divergence is a metric, so a population's distances to a few
-pivots bound its distance to any other from above. A question's pivots are its mean
-distribution and, for each option, the population with the largest share of it. The distances
-to these give a value that the best pairs reach at least; populations, then blocks of
-populations with like distances, then pairs whose bound stays below it are left out, and a
-divergence is computed for what is left.
+The Jensen-Shannon divergence is a sum over options of a function that is convex in either
+share. Populations whose shares are at least ``low`` lie within the corners that put the rest
+of the mass on one option, so the divergence from any of them is at most that from a corner.
+
+A question's pivots are, for each option, the population with the largest share of it, and then
+those farthest from these. Divergences from pivots give a value that the best pairs reach at
+least. Populations, then blocks of populations with like shares, then pairs whose bound stays
+below it are left out; blocks are halved as long as many pairs are left, and a block meets only
+the parts of what it met before. Of equal distributions the first names are enough.
 """
 
 from __future__ import annotations
@@ -14,76 +17,161 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quorvia.functions.distributions import js_divergence, normalized
+from quorvia.functions.distributions import js_divergence, normalized, total
 from quorvia.operators.pairs import top_pairs
 from quorvia.sources.stored import stored
 
-#: What rounding can take from a distance.
-MARGIN = 1e-7
-#: Width of the rings by which blocks are told apart, and the members that a part of a block holds.
-RING, PART = 0.1, 500
+#: What rounding can take from a divergence, in sums and in the ranking.
+MARGIN = 1e-9
+#: Blocks to a share of 1, halved each time; pairs below which they are not halved again; the members that a part of a block holds.
+SCALES, FEW, PART = (4, 8, 16, 32), 4_000_000, 500
 
 
-def pivots(cells: DataFrame) -> DataFrame:
-    """question_id, names (the first, of the mean, is null) and distributions of its pivots."""
-    shares = cells.select("question_id", "country", "p", F.posexplode("p").alias("place", "share"))
-    by = shares.groupBy("question_id", "place").agg(F.avg("share").alias("mean"), F.max_by(F.struct("country", "p"), F.struct("share", "country")).alias("pivot"))
-    found = by.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("place", "mean"))).alias("means"), F.array_sort(F.collect_set("pivot")).alias("members"))
-    mean = F.struct(F.lit(None).cast("string").alias("country"), F.col("means.mean").alias("p"))
-    every = F.concat(F.array(mean), "members")
-    return found.select("question_id", every["country"].alias("names"), every["p"].alias("points"))
+def dealt(df: DataFrame) -> DataFrame:
+    """Few rows with much to compute, over all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def distances(cells: DataFrame) -> DataFrame:
-    """question_id, country, p, names and r: the distances to the question's pivots. Populations without mass have none and are left out."""
-    own = cells.select("question_id", "country", normalized("p").alias("p")).where("p IS NOT NULL")
-    joined = own.join(pivots(own), "question_id")
-    return joined.select("question_id", "country", "p", "names", F.transform("points", lambda q: F.sqrt(js_divergence("p", q))).alias("r"))
+def shares(df: DataFrame) -> list[Column]:
+    """The share of each option, for as many as a question has at most."""
+    n = df.agg(F.max(F.size("p")).alias("n")).first().n or 1
+    return [F.get("p", F.lit(i)) for i in range(n)]
 
 
-def reached(held: DataFrame, per_question: int) -> DataFrame:
-    """question_id, least: the distance of the last of the best pairs among those with a pivot; null for fewer pairs."""
-    own = F.array_position("names", F.col("country"))  # 0: no pivot itself
-    known = held.select("question_id", "country", own.alias("own"), F.posexplode("r").alias("place", "d"))
-    # the mean is no population, and two pivots make one pair
-    known = known.where((F.col("place") > 0) & ((F.col("own") == 0) | (F.col("own") > F.col("place") + 1)))
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("d").desc()))
-    best = known.select("question_id", "d", rank.alias("k")).where(F.col("k") <= per_question)
-    return best.groupBy("question_id").agg(F.when(F.count("*") == per_question, F.min("d") - MARGIN).alias("least"))
-
-
-def at_least(a: str, b: str, n: int, least: Column) -> Column:
-    """Whether the bound of two rows of distances reaches a value: every pivot's sum does."""
-    out = F.lit(True)
-    for i in range(n):
-        out = out & F.coalesce(F.get(a, F.lit(i)) + F.get(b, F.lit(i)) >= least, F.lit(True))
+def least_shares(options: list[Column]) -> tuple[Column, Column]:
+    """Aggregates low, the least share of each option, and spare, the mass above them."""
+    low = F.array_compact(F.array(*[F.min(x) for x in options]))
+    return low.alias("low"), F.greatest(1.0 - total(low), F.lit(0.0)).alias("spare")
+
+
+def weighed(x: Column) -> Column:
+    return F.coalesce(x * F.log2(x), F.lit(0.0))  # log2(0) is null
+
+
+def gain(more: Column):
+    """What mass put on an option of the first array adds."""
+    return lambda x, y: 0.5 * (weighed(x + more) - weighed(x) + more - weighed(x + y + more) + weighed(x + y))
+
+
+def at_most(a: Column | str, b: Column | str, spare_a: Column | None = None, spare_b: Column | None = None) -> Column:
+    """A bound on the divergence of two arrays, either of a population or, with spare mass, of least shares.
+
+    Without spare mass it is the divergence, but for rounding. Where both put theirs on one
+    option it is no less than that corner's, since the function is submodular.
+    """
+    out = total(F.zip_with(a, b, lambda x, y: 0.5 * (weighed(x) + weighed(y) + x + y - weighed(x + y))))
+    for one, other, more in ((a, b, spare_a), (b, a, spare_b)):
+        if more is not None:
+            out = out + F.array_max(F.zip_with(one, other, gain(more)))
     return out
 
 
+def reaches(bound: Column) -> Column:
+    """Whether a bound reaches the row's value; true where there is none."""
+    return F.coalesce(bound >= F.col("least"), F.lit(True))
+
+
+def points(df: DataFrame, by: list[Column]) -> DataFrame:
+    """question_id, names and points: the populations that are largest by each column."""
+    best = [F.max_by(F.struct("country", "p"), F.struct(value, F.col("country"))) for value in by]
+    found = df.groupBy("question_id").agg(F.array_sort(F.array_distinct(F.array(*best))).alias("found"))
+    return found.select("question_id", F.col("found.country").alias("names"), F.col("found.p").alias("points"))
+
+
+def measured(df: DataFrame, pivots: DataFrame) -> DataFrame:
+    """The rows with r, the divergences from the question's pivots, and best, the largest of a pair that no other row names."""
+    own = F.array_position("names", F.col("country"))  # 0: no pivot itself; two pivots make one pair
+    joined = df.join(pivots, "question_id").withColumn("r", F.transform("points", lambda q: at_most("p", q)))
+    return joined.withColumn("best", F.array_max(F.filter("r", lambda _, i: (own == 0) | (own > i + 1)))).drop("names", "points")
+
+
+def reached(held: DataFrame, per_question: int) -> DataFrame:
+    """question_id, least: what the last of the best pairs reaches at least; no row for fewer pairs."""
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("best").desc()))
+    best = held.where("best IS NOT NULL").select("question_id", "best", rank.alias("k")).where(F.col("k") <= per_question)
+    found = best.groupBy("question_id").agg(F.count("*").alias("n"), F.min("best").alias("best"))
+    return found.where(F.col("n") == per_question).select("question_id", (F.col("best") - MARGIN).alias("least"))
+
+
+def distances(cells: DataFrame, copies: int | None = None) -> DataFrame:
+    """question_id, country, p, r and best: the divergences from the question's pivots. Populations without mass have none and are left out.
+
+    copies: of equal distributions, only so many are kept, by their names.
+    """
+    own = cells.select("question_id", "country", normalized("p").alias("p")).where("p IS NOT NULL")
+    if copies is not None:
+        rank = F.row_number().over(Window.partitionBy("question_id", "p").orderBy("country"))
+        own = own.withColumn("k", rank).where(F.col("k") <= copies).drop("k")
+    own = stored(own, "populations")
+    return measured(own, stored(points(own, shares(own)), "pivots"))
+
+
+def outer(cells: DataFrame, per_question: int) -> DataFrame:
+    """question_id, country, p, least: the populations that one of the best pairs can have, and what these pairs reach."""
+    # a pair with a name that is not among the first of its copies has enough pairs before it; within copies, one name more
+    held = stored(distances(cells, per_question + 1), "distances")
+    options = shares(held)
+    ends = held.groupBy("question_id").agg(*least_shares(options)).join(reached(held, per_question), "question_id", "left")
+    ends = stored(ends.withColumn("least", F.coalesce("least", F.lit(-1.0))), "ends")
+
+    def kept(df: DataFrame, ends: DataFrame) -> DataFrame:
+        near = df.select("question_id", "country", "p").join(ends, "question_id")
+        return near.where(reaches(at_most("p", "low", spare_b=F.col("spare")))).select("question_id", "country", "p", "least")
+
+    far = stored(points(held, [F.get("r", F.lit(i)) for i in range(len(options))]), "pivots")
+    again = stored(measured(kept(held, ends).drop("least"), far), "distances")
+    more = reached(again, per_question).withColumnRenamed("least", "more")
+    ends = ends.join(more, "question_id", "left").withColumn("least", F.greatest("least", "more")).drop("more")
+    return kept(again, stored(ends, "ends"))
+
+
+def block(scale: int) -> Column:
+    return F.array_join(F.transform("p", lambda x: F.floor(x * scale).cast("string")), "-")
+
+
+def meetings(kept: DataFrame, scale: int, before: DataFrame | None, options: list[Column]) -> DataFrame:
+    """The pairs of blocks at a scale, of those that met at half of it, whose bound reaches their question's value; with their least shares and sizes."""
+    within = F.lit("") if before is None else block(scale // 2)
+    blocks = kept.groupBy("question_id", within.alias("within"), block(scale).alias("block"))
+    blocks = stored(blocks.agg(*least_shares(options), F.count("*").alias("size"), F.first("least").alias("least")), "blocks")
+    one, other = (blocks.select("question_id", *[F.col(c).alias(f"{c}_{side}") for c in ("within", "block", "low", "spare", "size")], *rest) for side, rest in (("a", ["least"]), ("b", [])))
+    if before is None:
+        met = dealt(one).join(other, "question_id")
+    else:
+        halves = before.select("question_id", F.col("block_a").alias("within_a"), F.col("block_b").alias("within_b"))
+        met = dealt(halves.join(one, ["question_id", "within_a"])).join(other, ["question_id", "within_b"])
+    met = met.where((F.col("within_a") != F.col("within_b")) | (F.col("block_a") <= F.col("block_b")))
+    met = met.where(reaches(at_most("low_a", "low_b", F.col("spare_a"), F.col("spare_b"))))
+    return stored(met.drop("within_a", "within_b", "least"), "meetings")
+
+
+def met_again(kept: DataFrame, met: DataFrame, scale: int) -> DataFrame:
+    """The populations whose bound with a block that theirs meets reaches their question's value."""
+    sides = [met.select(F.col("question_id").alias("q"), F.col(f"block_{a}").alias("of"), F.col(f"low_{b}").alias("low"), F.col(f"spare_{b}").alias("spare")) for a, b in ("ab", "ba")]
+    same = (F.col("question_id") == F.col("q")) & (F.col("block") == F.col("of"))
+    placed = dealt(kept.withColumn("block", block(scale)))
+    return stored(placed.join(sides[0].union(sides[1]), same & reaches(at_most("p", "low", spare_b=F.col("spare"))), "left_semi").drop("block"), "kept-populations")
+
+
 def bounded_pairs(cells: DataFrame, per_question: int = 3) -> DataFrame:
     """question_id, a, b, divergence of all pairs that can be among the best of their question, and few others."""
-    held = stored(distances(cells), "distances")
-    n = held.agg(F.max(F.size("r")).alias("n")).first().n or 0
-    ends = held.groupBy("question_id").agg(F.array(*[F.max(F.get("r", F.lit(i))) for i in range(n)]).alias("far"))
-    ends = ends.join(reached(held, per_question), "question_id", "left").select("question_id", "far", F.coalesce("least", F.lit(-1.0)).alias("least"))
-    nearest = F.slice(F.array_sort(F.transform("r", lambda x, i: F.struct(x.alias("d"), i.alias("i")))), 1, 3)
-    block = F.concat_ws("-", F.floor(F.get(nearest, F.lit(0))["d"] / RING), *[F.get(nearest, F.lit(i))["i"] for i in range(3)])
-    kept = held.join(ends, "question_id").where(at_least("r", "far", n, F.col("least"))).select("question_id", "country", "p", "r", "least", block.alias("block"))
-    kept = stored(kept, "kept-populations")
-
-    blocks = kept.groupBy("question_id", "block").agg(F.array(*[F.max(F.get("r", F.lit(i))) for i in range(n)]).alias("far"), F.first("least").alias("least"), F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    blocks = stored(blocks, "blocks")
-    one = blocks.select("question_id", F.col("block").alias("block_a"), F.col("far").alias("far_a"), "least")
-    other = blocks.select("question_id", F.col("block").alias("block_b"), F.col("far").alias("far_b"), "parts")
-    met = one.join(other, "question_id").where(F.col("block_a") <= F.col("block_b")).where(at_least("far_a", "far_b", n, F.col("least")))
-    met = met.select("question_id", "block_a", "block_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-
-    a = kept.select("question_id", F.col("block").alias("block_a"), F.col("country").alias("name_a"), F.col("p").alias("pa"), F.col("r").alias("ra"), "least").join(met, ["question_id", "block_a"])
+    kept = stored(outer(cells, per_question), "kept-populations")
+    options, met = shares(kept), None
+    for scale in SCALES:
+        met = meetings(kept, scale, met, options)
+        if (met.agg(F.sum(F.col("size_a") * F.col("size_b")).alias("pairs")).first().pairs or 0) <= FEW:
+            break
+        if scale < SCALES[-1]:
+            kept = met_again(kept, met, scale)
+
+    held, parts = kept.withColumn("block", block(scale)), F.ceil(F.col("size_b") / PART).cast("int")
+    a = held.select("question_id", F.col("block").alias("block_a"), F.col("country").alias("name_a"), F.col("p").alias("pa"), "least")
+    a = a.join(met.select("question_id", "block_a", "block_b", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")), ["question_id", "block_a"])
+    b = held.withColumnRenamed("block", "block_b").join(met.select("question_id", "block_b", parts.alias("parts")).distinct(), ["question_id", "block_b"])
     part = F.pmod(F.xxhash64("country"), F.col("parts").cast("long")).cast("int")
-    b = kept.join(blocks.select("question_id", "block", "parts"), ["question_id", "block"])
-    b = b.select("question_id", F.col("block").alias("block_b"), part.alias("part"), F.col("country").alias("name_b"), F.col("p").alias("pb"), F.col("r").alias("rb"))
-    pairs = a.join(b, ["question_id", "block_b", "part"])
-    pairs = pairs.where((F.col("block_a") < F.col("block_b")) | (F.col("name_a") < F.col("name_b"))).where(at_least("ra", "rb", n, F.col("least")))
+    b = b.select("question_id", "block_b", part.alias("part"), F.col("country").alias("name_b"), F.col("p").alias("pb"))
+    pairs = dealt(a).join(b, ["question_id", "block_b", "part"])
+    pairs = pairs.where((F.col("block_a") != F.col("block_b")) | (F.col("name_a") < F.col("name_b"))).where(reaches(at_most("pa", "pb")))
     # in the order of names, as every pair is
     swap = F.col("name_a") > F.col("name_b")
     ordered = pairs.select(

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quorvia.operators import farthest
 from quorvia.operators.farthest import bounded_pairs, distances, farthest_pairs
 from quorvia.operators.pairs import candidate_pairs, directed_manifest, top_pairs
 from quorvia.plans import queries
@@ -69,3 +70,22 @@ def test_many_populations_of_one_question(spark):
             best.append((round(-d[j], 12), f"c{i:05d}", f"c{i + 1 + j:05d}"))
         best = sorted(best)[:3]
     assert got == [b[1:] for b in best]
+
+
+def test_few_pairs_are_made(spark):
+    """Of 1,200 populations, copies or not, little more than the best pairs get a divergence."""
+    rng = np.random.default_rng(5)
+    df = cells(spark, {"copies": np.repeat(rng.dirichlet([2] * 5, 40), 30, 0), "apart": rng.dirichlet([2] * 5, 1200)})
+    made = stored(bounded_pairs(df, 3), "test-made")
+    assert all(r["count"] < 200 for r in made.groupBy("question_id").count().collect())
+    assert rows(top_pairs(made, 3)) == rows(top_pairs(candidate_pairs(df), 3))
+
+
+def test_blocks_halved_to_the_end(spark, monkeypatch):
+    monkeypatch.setattr(farthest, "FEW", 0)
+    monkeypatch.setattr(farthest, "PART", 3)
+    rng = np.random.default_rng(6)
+    some = {"even": rng.dirichlet([1] * 4, 200), "many": rng.dirichlet([1] * 12, 60), "two": rng.dirichlet([1] * 2, 90), "sparse": rng.dirichlet([0.1] * 6, 90), "copies": np.repeat(rng.dirichlet([1] * 3, 5), 20, 0)}
+    df = cells(spark, some)
+    for best in (1, 4):
+        assert rows(farthest_pairs(df, best)) == rows(top_pairs(candidate_pairs(df), best))
